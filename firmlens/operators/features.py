@@ -39,23 +39,31 @@ DERIVED_METRICS = [
 ]
 
 
-def repaired_age(df: DataFrame, as_of_year: int, year: str = "year_founded") -> DataFrame:
+def repaired_age(
+    df: DataFrame, as_of_year: int, year: str = "year_founded", fitted: tuple[float, float] | None = None
+) -> DataFrame:
     """Adds ``company_age`` with impossible years replaced by the median year.
 
     The median includes the impossible years.  Ages below 0 become 0, ages
-    above 200 the median age.
+    above 200 the median age.  ``fitted`` are (median year, median age) of an
+    earlier table.
     """
-    middle = medians(df, [year])[year]
+    middle, middle_age = fitted or age_medians(df, as_of_year, year)
+    age = _first_repair(as_of_year, year, middle)
+    return df.withColumn("company_age", F.when(age > 200, F.lit(middle_age)).otherwise(age))
+
+
+def _first_repair(as_of_year: int, year: str, middle: float | None):
     bad = (F.col(year) > as_of_year) | (F.col(year) < 1800)
     age = F.lit(float(as_of_year)) - F.when(bad, F.lit(middle)).otherwise(dbl(year))
-    aged = df.withColumn("company_age", F.when(age < 0, 0.0).otherwise(age))
-    # After the repair only years in 1800..as_of remain, unless the median itself is older.
-    if as_of_year - min(1800, middle or 1800) > 200:
-        median_age = medians(aged, ["company_age"])["company_age"]
-        aged = aged.withColumn(
-            "company_age", F.when(F.col("company_age") > 200, F.lit(median_age)).otherwise(F.col("company_age"))
-        )
-    return aged
+    return F.when(age < 0, 0.0).otherwise(age)
+
+
+def age_medians(df: DataFrame, as_of_year: int, year: str = "year_founded") -> tuple[float, float]:
+    """Median founding year, and the median age after the first repair."""
+    middle = medians(df, [year])[year]
+    aged = df.select(_first_repair(as_of_year, year, middle).alias("age"))
+    return middle, medians(aged, ["age"])["age"]
 
 
 def it_intensity(df: DataFrame, missing: str = "median") -> DataFrame:
