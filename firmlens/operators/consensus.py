@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.operators.kmeans import add_partials, fit_many, plus_plus, predict_all, seed_rows
+from firmlens.operators.kmeans import add_partials, few_partitions, fit_many, plus_plus, predict_all, seed_rows
 from firmlens.operators.mixture import mixtures_by_k, predict_mixture
 from firmlens.operators.profile_stats import dbl, impute
 from firmlens.operators.validate import Silhouette, _gower, adjusted_rand, silhouettes
@@ -129,7 +129,7 @@ def _swap_costs(data: DataFrame, pool, chosen, distance):
         if sums:
             yield pd.DataFrame({"model": np.array(list(sums), dtype="int32"), "stats": list(sums.values())})
 
-    found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"))
+    found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"), few_partitions(data))
     return {k: (float(v[0]), v[1:].reshape(len(chosen[k]), -1)) for k, v in found.items()}
 
 
@@ -237,8 +237,8 @@ def consensus(data: DataFrame, k: int = 8, runs: int = 20, seed: int = 42, key:
     """Half the runs K-Means, a quarter mixtures, combined by co-association."""
 
     n_kmeans, n_gmm = runs // 2, runs // 4
-    rows = seed_rows(data, key, seed)[0]
-    fits = fit_many(data, [(0, plus_plus(rows, k, seed + i)) for i in range(n_kmeans)])
+    seeds = seed_rows(data, key, seed)
+    fits = fit_many(data, [(0, plus_plus(seeds[0], k, seed + i)) for i in range(n_kmeans)], seeds)
     labelled = predict_all(data, dict(enumerate(fits)), "run_k")
     names = [f"run_k{i}" for i in range(n_kmeans)]
     for i in range(n_gmm):

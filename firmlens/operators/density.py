@@ -70,8 +70,8 @@ def _representatives(left_ids, right_ids, near):
     a, b = left_ids.copy(), right_ids.copy()
     while True:
         big = np.iinfo("int64").max
-        na = np.minimum(a, np.where(near, b[None], big).min(axis=1))
-        nb = np.minimum(b, np.where(near, na[:, None], big).min(axis=0))
+        na = np.minimum(a, np.where(near, b[None], big).min(axis=1, initial=big))
+        nb = np.minimum(b, np.where(near, na[:, None], big).min(axis=0, initial=big))
         if (na == a).all() and (nb == b).all():
             return a, b
         a, b = na, nb

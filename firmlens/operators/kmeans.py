@@ -58,8 +58,26 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def add_partials(parts: DataFrame, key: str = "model") -> dict[int, np.ndarray]:
-    """Sum the vectors emitted by the partitions, per model."""
+# Partial sums of this few partitions are added on the driver, saving a shuffle per iteration.
+FEW_PARTITIONS = 64
+
+
+def few_partitions(data: DataFrame) -> bool:
+    return data.rdd.getNumPartitions() <= FEW_PARTITIONS
+
+
+def add_partials(parts: DataFrame, few: bool, key: str = "model") -> dict[int, np.ndarray]:
+    """Sum the vectors emitted by the partitions, per model.
+
+    A partition emits one row per model, never data rows.  With many
+    partitions the rows are added up by a distributed aggregation.
+    """
+    if few:
+        out: dict[int, np.ndarray] = {}
+        for row in parts.collect():
+            block = np.array(row["stats"])
+            out[row[key]] = out[row[key]] + block if row[key] in out else block
+        return out
     summed = parts.groupBy(key).agg(Summarizer.sum(array_to_vector(F.col("stats"))).alias("s"))
     return {row[key]: row["s"].toArray() for row in summed.collect()}
 
@@ -69,7 +87,7 @@ def square_gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(gaps, 0.0)
 
 
-def _scan(data: DataFrame, models: list[tuple[int, int, np.ndarray]]) -> dict[int, np.ndarray]:
+def _scan(data: DataFrame, models: list[tuple[int, int, np.ndarray]], few: bool) -> dict[int, np.ndarray]:
     """One pass: per model a (k, d + 3) block of counts, sums, squared and plain distances."""
     grouped = "grp" in data.columns
 
@@ -99,23 +117,39 @@ def _scan(data: DataFrame, models: list[tuple[int, int, np.ndarray]]) -> dict[in
             })
 
     cols = ["features", "grp"] if grouped else ["features"]
-    sums = add_partials(data.select(*cols).mapInArrow(partial, "model int, stats array<double>"))
+    sums = add_partials(data.select(*cols).mapInArrow(partial, "model int, stats array<double>"), few)
     return {m: sums[m].reshape(len(c), -1) for m, _, c in models if m in sums}
 
 
+def _refined(rows: np.ndarray, centres: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Settle starting centres on the seed rows, so that few scans of the whole table are left to do."""
+    for _ in range(rounds):
+        nearest = square_gaps(rows, centres).argmin(axis=1)
+        n = np.bincount(nearest, minlength=len(centres))[:, None]
+        moved = np.where(n > 0, (np.eye(len(centres))[nearest].T @ rows) / np.maximum(n, 1), centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
 def fit_many(
-    data: DataFrame, starts: list[tuple[int, np.ndarray]], max_iter: int = 100, tol: float = 1e-4
+    data: DataFrame, starts: list[tuple[int, np.ndarray]], seeds: dict[int, np.ndarray], max_iter: int = 100,
+    tol: float = 1e-4,
 ) -> list[Fit]:
     """Run Lloyd's iterations from all starts at once; ``data`` should be persisted.
 
-    ``starts`` are (group, centres); with a ``grp`` column a start only sees
-    the rows of its group.
+    ``starts`` are (group, centres) and ``seeds`` the seed rows per group; with
+    a ``grp`` column a start only sees the rows of its group.  A model stops
+    when its centres move by less than ``tol`` times the mean variance.
     """
-    centres = [c.copy() for _, c in starts]
+    few = few_partitions(data)
+    centres = [_refined(seeds[g], c) for g, c in starts]
+    limit = {g: max(tol * float(rows.var(axis=0).mean()), 1e-12) for g, rows in seeds.items()}
     rounds = [0] * len(starts)
     active = list(range(len(starts)))
     for _ in range(max_iter):
-        blocks = _scan(data, [(i, starts[i][0], centres[i]) for i in active])
+        blocks = _scan(data, [(i, starts[i][0], centres[i]) for i in active], few)
         moving = []
         for i in active:
             block = blocks.get(i)
@@ -125,16 +159,14 @@ def fit_many(
             moved = centres[i].copy()
             moved[used] = block[used, 3:] / block[used, :1]
             shift = ((moved - centres[i]) ** 2).sum()
-            # Mean variance of the features, from the block sums about the centres.
-            scale = max(block[:, 1].sum() / max(block[:, 0].sum(), 1) / moved.shape[1], 1e-12)
             centres[i] = moved
             rounds[i] += 1
-            if shift > tol * scale:
+            if shift > limit[starts[i][0]]:
                 moving.append(i)
         active = moving
         if not active:
             break
-    final = _scan(data, [(i, g, centres[i]) for i, (g, _) in enumerate(starts)])
+    final = _scan(data, [(i, g, centres[i]) for i, (g, _) in enumerate(starts)], few)
     fits = []
     for i, (g, start) in enumerate(starts):
         block = final.get(i, np.zeros((len(start), start.shape[1] + 3)))
@@ -176,10 +208,10 @@ def kmeans_by_k(
     data: DataFrame, ks: list[int], n_init: int = 10, seed: int = 42, key: str = "company_id", max_iter: int = 100
 ) -> dict[int, Fit]:
     """Best of ``n_init`` starts for every K, all fitted together."""
-    rows = seed_rows(data, key, seed)[0]
-    sequences = [plus_plus(rows, max(ks), seed + i) for i in range(n_init)]
+    seeds = seed_rows(data, key, seed)
+    sequences = [plus_plus(seeds[0], max(ks), seed + i) for i in range(n_init)]
     starts = [(k, s[:k]) for k in ks for s in sequences]
-    fits = fit_many(data, [(0, c) for _, c in starts], max_iter)
+    fits = fit_many(data, [(0, c) for _, c in starts], seeds, max_iter)
     best: dict[int, Fit] = {}
     for (k, _), fit in zip(starts, fits):
         if k not in best or fit.inertia < best[k].inertia:
@@ -198,7 +230,7 @@ def kmeans_in_groups(
     rows = seed_rows(data.where(F.col("grp").isin(*k_of_group)), key, seed)
     starts = [(g, plus_plus(rows[g], k, seed + i)) for g, k in k_of_group.items() for i in range(n_init)]
     best: dict[int, Fit] = {}
-    for fit in fit_many(data, starts):
+    for fit in fit_many(data, starts, rows):
         if fit.group not in best or fit.inertia < best[fit.group].inertia:
             best[fit.group] = fit
     return best
@@ -251,9 +283,9 @@ def stability_centres(
     """Mean shift of the centres over refits from other starts; stable up to 0.1."""
     from firmlens.operators.validate import centre_shift
 
-    rows = seed_rows(data, key, seed)[0]
-    starts = [(0, plus_plus(rows, fit.k, seed + 1000 * (r + 1) + i)) for r in range(refits) for i in range(n_init)]
-    fits = fit_many(data, starts)
+    seeds = seed_rows(data, key, seed)
+    starts = [(0, plus_plus(seeds[0], fit.k, seed + 1000 * (r + 1) + i)) for r in range(refits) for i in range(n_init)]
+    fits = fit_many(data, starts, seeds)
     best = [min(fits[r * n_init:(r + 1) * n_init], key=lambda f: f.inertia) for r in range(refits)]
     shift = float(np.mean([centre_shift(b.centres, fit.centres) for b in best]))
     return shift, shift <= 0.1

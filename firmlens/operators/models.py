@@ -82,7 +82,7 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "cluster",
     vec = scaler.vector(train, "__x").select(to_vector("__x").alias("__v"), code.alias("__y")).persist()
     fitted = LogisticRegression(
         featuresCol="__v", labelCol="__y", family="multinomial", regParam=1.0 / (c * sum(counts.values())),
-        elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8,
+        elasticNetParam=0.0, standardization=False, maxIter=1000,
     ).fit(vec)
     vec.unpersist()
     return Logistic(fitted, scaler, labels)

@@ -155,7 +155,8 @@ def preprocess(df: DataFrame, as_of_year: int, use_text: bool = True, max_terms:
     tfidf = fit_tfidf(df, combine_text(list(roles.text.values())), max_terms) if use_text and roles.text else None
     fitted = Prepared(made, kept, roles, fences, middle, ve.standard_scaler(made, kept), tfidf, ages)
     frame = _apply(numbers, fitted)
-    frame = ft.calculate_indicators(frame)
+    # The indicators leave gaps where revenue is not positive; the features keep their filled values.
+    frame = ft.calculate_indicators(frame).withColumns({c: F.coalesce(c, F.lit(middle[c])) for c in extra})
     return Prepared(frame, kept, roles, fences, middle, fitted.scaler, tfidf, ages)
 
 
