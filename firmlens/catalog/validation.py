@@ -12,7 +12,8 @@ from firmlens.operators import segments as sg
 from firmlens.operators import significance as sig
 from firmlens.operators import validate as va
 from firmlens.operators import vectors as ve
-from firmlens.operators.text import fit_tfidf, stop_words
+from firmlens.functions.stopwords import ENGLISH
+from firmlens.operators.text import fit_tfidf
 
 COLS = ["revenue", "market_value", "it_spend", "employees", "sites", "servers"]
 
@@ -417,7 +418,7 @@ def _(spark, sf_dir):
 # --- text -----------------------------------------------------------------------------------------------
 
 def tfidf_sql(source: str, key: str, text: str, ctes=(), company_based=True) -> str:
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
     parts = (
         *ctes,
         f"tok AS (SELECT {key} AS id, list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({stops})) AS t FROM {source})",

@@ -5,24 +5,21 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.functions.stopwords import ENGLISH
+
 # Words of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def words(text: Column) -> Column:
     """Lower-cased words without stop words."""
-    stops = stop_words()
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*stops))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(*ENGLISH))
 
 
 def with_bigrams(tokens: Column) -> Column:
