@@ -23,7 +23,11 @@ BLOCK_ROWS = 2_048
 
 
 def _blocks(points: DataFrame, eps: float, axes: list[int], block_rows: int) -> DataFrame:
-    """Rows (cell, rb, vb, resident, ...): every resident block meets every visitor block of its cell."""
+    """Rows (batch, rb, vb, cell, resident, ...): every resident block meets every visitor block of its cell.
+
+    Crowded cells get one group per pair of blocks; sparse cells share groups,
+    so the number of groups follows the number of rows and not of cells.
+    """
     cell = F.array(*[F.floor(F.col("features")[a] / eps).cast("long") for a in axes])
     homed = points.withColumn("cell", cell)
     shifts = F.array(*[
@@ -35,9 +39,14 @@ def _blocks(points: DataFrame, eps: float, axes: list[int], block_rows: int) ->
     # Visitors only matter in cells that have residents.
     homes = homed.groupBy("cell").agg(F.count("*").alias("n_res"))
     guests = visiting.groupBy("cell").agg(F.count("*").alias("n_vis"))
-    sizes = homes.join(guests, "cell").select(
-        "cell", F.ceil(F.col("n_res") / block_rows).cast("int").alias("nr"),
-        F.ceil(F.col("n_vis") / block_rows).cast("int").alias("nv"))
+    sizes = cut_lineage(homes.join(guests, "cell").select(
+        "cell", "n_res", "n_vis", F.ceil(F.col("n_res") / block_rows).cast("int").alias("nr"),
+        F.ceil(F.col("n_vis") / block_rows).cast("int").alias("nv")))
+    total = sizes.agg(F.sum(F.col("n_res") + F.col("n_vis"))).first()[0] or 0
+    batches = max(1, total // (4 * block_rows))
+    crowded = F.col("nr") * F.col("nv") > 1
+    sizes = sizes.select("cell", "nr", "nv", F.when(crowded, F.concat_ws(",", "cell")).otherwise(
+        F.pmod(F.xxhash64("cell"), F.lit(batches)).cast("string")).alias("batch"))
     spread = F.xxhash64("id")
     residents = (
         lookup_join(homed, sizes, ["cell"], "inner")
@@ -47,29 +56,41 @@ def _blocks(points: DataFrame, eps: float, axes: list[int], block_rows: int) ->
         lookup_join(visiting, sizes, ["cell"], "inner")
         .withColumn("vb", F.pmod(spread, F.col("nv")).cast("int"))
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("resident", F.lit(False)))
-    return residents.unionByName(visitors).drop("nr", "nv")
-
-
-def _near(pdf: pd.DataFrame, eps: float):
-    """Residents, visitors and their adjacency within one pair of blocks."""
-    left, right = pdf[pdf["resident"]], pdf[~pdf["resident"]]
-    if left.empty or right.empty:
-        return left, right, np.zeros((len(left), len(right)), dtype=bool)
-    x, y = np.stack(left["features"]), np.stack(right["features"])
+    # A fixed number of partitions: groups are small in bytes but heavy in work, so they must not be coalesced.
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    return (
+        residents.unionByName(visitors).drop("nr", "nv").withColumn("cell", F.concat_ws(",", "cell"))
+        .repartition(min(max(cores, total // (8 * block_rows)), 50_000), "batch", "rb", "vb"))
+
+
+def _cells(pdf: pd.DataFrame):
+    """Per cell of the group: positions of its residents and of its visitors."""
+    code = pd.factorize(pdf["cell"])[0]
+    order = code.argsort(kind="stable")
+    cuts = np.nonzero(np.diff(code[order]))[0] + 1
+    resident = pdf["resident"].to_numpy(dtype=bool)
+    for rows in np.split(order, cuts):
+        mine = resident[rows]
+        if mine.any() and not mine.all():
+            yield rows[mine], rows[~mine]
+
+
+def _near(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of two blocks lie within eps; gaps are summed column by column, without cancellation."""
     near = np.zeros((len(x), len(y)), dtype=bool)
     for lo in range(0, len(x), 256):
         gaps = np.zeros((len(x[lo:lo + 256]), len(y)))
         for j in range(x.shape[1]):
             gaps += (x[lo:lo + 256, j][:, None] - y[:, j][None]) ** 2
         near[lo:lo + 256] = gaps <= eps * eps
-    return left, right, near
+    return near
 
 
 def _representatives(left_ids, right_ids, near):
     """Smallest id reachable from each point within the two blocks."""
     a, b = left_ids.copy(), right_ids.copy()
+    big = np.iinfo("int64").max
     while True:
-        big = np.iinfo("int64").max
         na = np.minimum(a, np.where(near, b[None], big).min(axis=1, initial=big))
         nb = np.minimum(b, np.where(near, na[:, None], big).min(axis=0, initial=big))
         if (na == a).all() and (nb == b).all():
@@ -77,30 +98,29 @@ def _representatives(left_ids, right_ids, near):
         a, b = na, nb
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node id reachable from every node: rows (id, comp).
 
-    Labels are propagated along edges and shortened by pointer jumping.  Every
-    round is checkpointed, so a lost executor does not restart the loop.
+    Every round each node hooks to its smallest neighbour, two pointer jumps
+    shorten the chains, and the edges are contracted to what is left between
+    different nodes, so the graph at least halves.  Rounds are written out; a
+    lost executor does not restart the loop.
     """
-    both = cut_lineage(
-        edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b").distinct())
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("comp")))
+    labels = nodes.select("id", F.col("id").alias("comp"))
+    left = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
     for _ in range(max_rounds):
-        heard = (
-            both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("heard"))
-            .withColumnRenamed("a", "id"))
-        lowered = labels.join(heard, "id", "left").select(
-            "id", F.col("comp").alias("old"), F.least("comp", F.coalesce("heard", "comp")).alias("comp"))
-        lowered = cut_lineage(lowered)
-        jump = lowered.select(F.col("id").alias("__at"), F.col("comp").alias("__to"))
-        stepped = cut_lineage(
-            lowered.join(jump, F.col("comp") == F.col("__at"), "left")
-            .select("id", "old", F.least("comp", F.coalesce("__to", "comp")).alias("comp")))
-        labels = stepped.select("id", "comp")
-        if stepped.where("comp <> old").isEmpty():
+        left = cut_lineage(left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        if left.isEmpty():
             return labels
+        hook = left.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to"))
+        for _ in range(2):
+            onward = hook.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            hook = cut_lineage(lookup_join(hook, onward, ["to"]).select("a", F.coalesce("next", "to").alias("to")))
+        moved = lookup_join(left, hook, ["a"]).select(F.col("to").alias("c"), F.col("b").alias("a"))
+        moved = lookup_join(moved, hook, ["a"]).select(F.col("c").alias("a"), F.col("to").alias("b"))
+        left = moved.where("a <> b")
+        renamed = hook.select(F.col("a").alias("comp"), F.col("to").alias("next"))
+        labels = cut_lineage(lookup_join(labels, renamed, ["comp"]).select("id", F.coalesce("next", "comp").alias("comp")))
     raise RuntimeError("components did not settle")
 
 
@@ -123,29 +143,37 @@ def dbscan(
     blocks = _blocks(merged, eps, axes, block_rows)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, near = _near(pdf, eps)
-        return pd.DataFrame({"id": left["id"].to_numpy(), "near": near.astype("int64") @ right["weight"].to_numpy(dtype="int64")})
-
-    counts = blocks.groupBy("cell", "rb", "vb").applyInPandas(count, "id long, near long").groupBy("id").agg(
+        x = np.stack(pdf["features"])
+        ids, weight = (pdf[c].to_numpy(dtype="int64") for c in ("id", "weight"))
+        found = [(ids[r], _near(x[r], x[v], eps).astype("int64") @ weight[v]) for r, v in _cells(pdf)]
+        if not found:
+            return pd.DataFrame({"id": ids[:0], "near": ids[:0]})
+        return pd.DataFrame({"id": np.concatenate([i for i, _ in found]), "near": np.concatenate([n for _, n in found])})
+
+    counts = blocks.groupBy("batch", "rb", "vb").applyInPandas(count, "id long, near long").groupBy("id").agg(
         F.sum("near").alias("near"))
     cored = cut_lineage(lookup_join(merged, counts, ["id"]).withColumn("core", F.col("near") >= min_samples))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, near = _near(pdf, eps)
-        lc, rc = left["core"].to_numpy(dtype=bool), right["core"].to_numpy(dtype=bool)
-        lid, rid = left["id"].to_numpy(dtype="int64"), right["id"].to_numpy(dtype="int64")
-        core = near[np.ix_(lc, rc)]
-        a, b = _representatives(lid[lc], rid[rc], core)
-        parts = [pd.DataFrame({"src": lid[lc], "dst": a, "border": False}),
-                 pd.DataFrame({"src": rid[rc], "dst": b, "border": False})]
-        for i in np.nonzero(~lc)[0]:
-            seen = np.unique(b[near[i, rc]])
-            parts.append(pd.DataFrame({"src": np.full(len(seen), lid[i]), "dst": seen, "border": True}))
-        out = pd.concat(parts)
-        return out[out["src"] != out["dst"]].astype({"src": "int64", "dst": "int64", "border": bool})
+        x = np.stack(pdf["features"])
+        ids, core = pdf["id"].to_numpy(dtype="int64"), pdf["core"].to_numpy(dtype=bool)
+        src, dst, border = [ids[:0]], [ids[:0]], [core[:0]]
+        for r, v in _cells(pdf):
+            v = v[core[v]]
+            if not len(v):
+                continue
+            near = _near(x[r], x[v], eps)
+            inner = core[r]
+            a, b = _representatives(ids[r[inner]], ids[v], near[inner])
+            edge = np.nonzero(near[~inner])
+            src += [ids[r[inner]], ids[v], ids[r[~inner]][edge[0]]]
+            dst += [a, b, b[edge[1]]]
+            border += [np.zeros(len(a) + len(b), dtype=bool), np.ones(len(edge[0]), dtype=bool)]
+        out = pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "border": np.concatenate(border)})
+        return out[out["src"] != out["dst"]].drop_duplicates()
 
     links = cut_lineage(
-        _blocks(cored.drop("near"), eps, axes, block_rows).groupBy("cell", "rb", "vb")
+        _blocks(cored.drop("near"), eps, axes, block_rows).groupBy("batch", "rb", "vb")
         .applyInPandas(link, "src long, dst long, border boolean").distinct())
     comps = connected_components(cored.where("core").select("id"), links.where("NOT border").select("src", "dst"))
     border = (

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firmlens.operators.validate import CentroidStats
+from firmlens.session import spread_out  # noqa: F401  (callers prepare the data with it)
 
 # Rows used to place the starting centres; the fit itself always uses all rows.
 SEED_ROWS = 1_000
@@ -46,12 +47,6 @@ class Fit:
         return CentroidStats(list(range(used.sum())), self.n[used], self.centres[used], self.spread[used], self.inertia)
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Use all cores for a small table that sits in few partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
-
-
 def matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list column of equal lengths as a 2-d array."""
     flat = column.flatten().to_numpy(zero_copy_only=False)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.stopwords import ENGLISH
+from firmlens.session import spread_out
 
 # Words of at least two letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -45,7 +46,7 @@ class TfIdf:
     def transform(self, df: DataFrame, text: Column, out: str = "tfidf") -> DataFrame:
         """Adds a sparse, L2-normalised vector."""
         model = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="__terms", outputCol="__tf")
-        counted = model.transform(term_column(df, text, "__terms"))
+        counted = model.transform(term_column(spread_out(df), text, "__terms"))
         weighted = ElementwiseProduct(
             scalingVec=Vectors.dense(self.weights), inputCol="__tf", outputCol="__weighted"
         ).transform(counted)
@@ -65,7 +66,7 @@ class TfIdf:
 
 def fit_tfidf(df: DataFrame, text: Column, max_features: int = 100) -> TfIdf:
     """The most frequent terms (ties: alphabetical) with weight ln((1+N)/(1+df)) + 1."""
-    rows = term_column(df.select(text.alias("__text")), F.col("__text"))
+    rows = term_column(spread_out(df.select(text.alias("__text"))), F.col("__text"))
     vocabulary = [
         r["term"]
         for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))

@@ -217,7 +217,10 @@ def _tiled_sums(base: DataFrame, total: int, widths, distance) -> DataFrame:
         sums = _sums(distance, np.stack(left["x"]), np.stack(right["x"]), np.stack(right["codes"]), widths)
         return pd.DataFrame({"id": left["id"].to_numpy(), "codes": list(left["codes"]), "sums": list(sums)})
 
-    parts = pairs.groupBy("i", "j").applyInPandas(tile, f"id {kind}, codes array<int>, sums array<double>")
+    # A fixed number of partitions: the tiles are small in bytes but heavy in work, so they must not be coalesced.
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    spread = pairs.repartition(min(tiles * tiles, 4 * cores), "i", "j")
+    parts = spread.groupBy("i", "j").applyInPandas(tile, f"id {kind}, codes array<int>, sums array<double>")
     return _add_up(parts)
 
 

@@ -14,22 +14,34 @@ BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
+_local_folders: dict[str, str] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``.
+
+    A private folder is made only for local sessions that name none, as in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="firmlens-")
+        folder = _local_folders[app]
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` to the shared folder the cluster names.
+    """Write ``df`` to the shared folder the cluster names and read it back.
 
-    ``spark.checkpoint.dir`` wins; a private folder is made only when the
-    session has none, which is the case in local tests.
+    The table survives lost executors, and the plan starts afresh: the
+    constraints a checkpointed plan carries along grow with every round of a loop.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="firmlens-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup_join(
@@ -67,6 +79,12 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work on a small table that sits in few partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
+
+
 # Rows per partition below which an iterative fit gains nothing from more tasks.
 ROWS_PER_FIT_TASK = 20_000
 
@@ -83,13 +101,3 @@ def lit_map(values: dict, key_type: str, value_type: str) -> Column:
     for key, value in values.items():
         pairs += [F.lit(key).cast(key_type), F.lit(value).cast(value_type)]
     return F.create_map(*pairs).cast(f"map<{key_type},{value_type}>")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the cluster (a private one in local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="firmlens-scratch-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
