@@ -17,7 +17,7 @@ from firmlens.operators.kmeans import add_partials, few_partitions, fit_many, pl
 from firmlens.operators.mixture import mixtures_by_k, predict_mixture
 from firmlens.operators.profile_stats import dbl, impute
 from firmlens.operators.validate import Silhouette, _gower, adjusted_rand, silhouettes
-from firmlens.session import bounded_collect, local_rows, lookup_join
+from firmlens.session import bounded_collect, cut_lineage, local_rows, lookup_join
 
 # A co-association matrix of this many signatures still fits on the driver.
 MAX_SIGNATURES = 5_000
@@ -47,13 +47,6 @@ def gower_to_medoids(df: DataFrame, numeric: list[str], categorical: list[str],
         "cluster", (F.array_position("gower", F.array_min("gower")) - 1).cast("int"))
 
 
-@dataclass(frozen=True)
-class Medoids:
-    keys: list
-    cost: float
-    silhouette: Silhouette | None = None
-
-
 def coded_features(df: DataFrame, numeric: list[str], categorical: list[str], max_categories: int = 10_000):
     """(frame with array ``features`` of numbers then category codes, weights of the numeric part)."""
     filled = impute(df, numeric, categorical)
@@ -66,71 +59,226 @@ def coded_features(df: DataFrame, numeric: list[str], categorical: list[str], ma
     return filled.withColumn("features", F.array(*[dbl(c) for c in numeric], *codes)), weights
 
 
+# Knots per numeric column of the cost bounds, and candidates scored per scan.
+KNOTS = 256
+CANDIDATES_PER_SCAN = 2_000
+# Rows from which the first medoids are picked; the updates look at every row.
+START_ROWS = 200
+
+
+@dataclass(frozen=True)
+class _Tally:
+    """Per cluster: counts and sums of the numbers per bucket, counts per category, summed distance."""
+
+    numbers: list  # per numeric column: (counts, sums), each clusters x buckets
+    levels: list  # per category column: counts, clusters x codes
+    cost: np.ndarray
+
+    @staticmethod
+    def of(x, label, gaps, k, edges, sizes):
+        p = len(edges)
+        numbers, levels = [], []
+        for j in range(p):
+            m = len(edges[j]) - 1
+            at = label * m + _bucket(x[:, j], edges[j])
+            numbers.append((np.bincount(at, minlength=k * m).reshape(k, m).astype(float),
+                            np.bincount(at, weights=x[:, j], minlength=k * m).reshape(k, m)))
+        for j, size in enumerate(sizes):
+            at = label * (size + 1) + x[:, p + j].astype(int)
+            levels.append(np.bincount(at, minlength=k * (size + 1)).reshape(k, size + 1).astype(float))
+        return _Tally(numbers, levels, np.bincount(label, weights=gaps, minlength=k))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for pair in self.numbers for a in pair] + [a.ravel() for a in self.levels] + [self.cost])
+
+    @staticmethod
+    def unflat(values, k, edges, sizes):
+        parts, at = [], 0
+        for width in [w for e in edges for w in (len(e) - 1, len(e) - 1)] + [s + 1 for s in sizes]:
+            parts.append(values[at:at + k * width].reshape(k, width))
+            at += k * width
+        p = len(edges)
+        return _Tally([(parts[2 * j], parts[2 * j + 1]) for j in range(p)], parts[2 * p:], values[at:at + k])
+
+    def bounds(self, x, label, weights, edges):
+        """Lower and upper bounds of the summed distance from each row to its cluster.
+
+        Outside a row's own bucket the sum is exact; inside it is at least
+        |n x - sum| and, being convex, at most the chord between the knots.
+        """
+        low, high = np.zeros(len(x)), np.zeros(len(x))
+        for j, (counts, sums) in enumerate(self.numbers):
+            v, b = x[:, j], _bucket(x[:, j], edges[j])
+            n_below, s_below = counts.cumsum(axis=1) - counts, sums.cumsum(axis=1) - sums
+            n, s = counts[label, b], sums[label, b]
+            nb, sb = n_below[label, b], s_below[label, b]
+            na, sa = counts.sum(axis=1)[label] - nb - n, sums.sum(axis=1)[label] - sb - s
+            outside = v * nb - sb + sa - v * na
+            left, right = edges[j][b], edges[j][b + 1]
+            share = np.where(right > left, (v - left) / np.where(right > left, right - left, 1.0), 0.0)
+            low += weights[j] * (outside + np.abs(n * v - s))
+            high += weights[j] * (outside + (1 - share) * (s - n * left) + share * (n * right - s))
+        for j, counts in enumerate(self.levels):
+            differ = counts.sum(axis=1)[label] - counts[label, x[:, len(edges) + j].astype(int)]
+            low, high = low + differ, high + differ
+        d = x.shape[1]
+        return low / d, high / d
+
+
+def _bucket(v, edges):
+    return np.clip(np.searchsorted(edges, v, side="right") - 1, 0, len(edges) - 2)
+
+
+def _first_medoids(pool, distance, k):
+    """Greedy choice among the starting rows."""
+    between = distance(pool, pool)
+    picked = [int(between.sum(axis=1).argmin())]
+    while len(picked) < k:
+        gain = np.maximum(between[:, picked].min(axis=1)[:, None] - between, 0).sum(axis=0)
+        gain[picked] = -1
+        picked.append(int(gain.argmax()))
+    return pool[picked]
+
+
 def kmedoids_gower(
-    data: DataFrame, weights: np.ndarray, ks: list[int], key: str = "company_id", seed: int = 42,
-    candidates: int = 200, rounds: int = 10,
+    data: DataFrame, weights: np.ndarray, ks: list[int], key: str = "company_id", seed: int = 42, rounds: int = 20
 ) -> dict[int, tuple[np.ndarray, float]]:
-    """Medoids per K: candidate rows compete, every row votes with its distance.
+    """Medoids and total distance per K, alternating assignment and exact medoid updates.
 
-    Each pass scores all K and all candidate replacements against all rows;
-    a medoid is swapped only if the total cost over the whole table falls.
+    The medoid of a cluster is its row with the smallest summed distance to all
+    members.  That sum separates by column, so one scan of histograms bounds it
+    for every row; only rows whose lower bound beats the best upper bound are
+    scored against all members.  No pair of rows is formed, no row is left out,
+    and all K share the scans.
     """
-    pool = np.array([r[0] for r in data.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(candidates).select("features").collect()])
-    distance = _gower(weights, len(weights))
-    between = distance(pool, pool)
-    chosen = {}
-    for k in ks:
-        picked = [int(between.sum(axis=1).argmin())]
-        while len(picked) < k:
-            near = between[:, picked].min(axis=1)
-            gain = np.maximum(near[:, None] - between, 0).sum(axis=0)
-            gain[picked] = -1
-            picked.append(int(gain.argmax()))
-        chosen[k] = picked
+    few = few_partitions(data)
+    p = len(weights)
+    distance = _gower(weights, p)
+    d = data.select(F.size("features")).first()[0]
+    row = data.agg(*[F.min(F.col("features")[j]).alias(f"lo{j}") for j in range(d)],
+                   *[F.max(F.col("features")[j]).alias(f"hi{j}") for j in range(d)]).first()
+    seeds = np.array([r[0] for r in data.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(START_ROWS).select("features").collect()])
+    probs = np.linspace(0, 1, KNOTS)
+    edges = []
+    for j in range(p):
+        knots = np.unique(np.concatenate([[row[f"lo{j}"], row[f"hi{j}"]], np.quantile(seeds[:, j], probs),
+                                          np.linspace(row[f"lo{j}"], row[f"hi{j}"], KNOTS)]))
+        edges.append(knots if len(knots) > 1 else np.array([knots[0], knots[0]]))
+    sizes = [int(row[f"hi{j}"]) for j in range(p, d)]
+    medoids = {k: _first_medoids(seeds, distance, min(k, len(seeds))) for k in ks}
     costs = dict.fromkeys(ks, np.inf)
     active = set(ks)
     for _ in range(rounds):
-        scored = _swap_costs(data, pool, {k: chosen[k] for k in active}, distance)
+        now = {k: medoids[k] for k in sorted(active)}
+        tallies = _tally_scan(data, now, distance, edges, sizes, few)
         for k in list(active):
-            here, table = scored[k]
-            costs[k] = here
-            slot, candidate = np.unravel_index(table.argmin(), table.shape)
-            if table[slot, candidate] < here - 1e-12:
-                chosen[k] = [*chosen[k][:slot], int(candidate), *chosen[k][slot + 1:]]
-                costs[k] = float(table[slot, candidate])
-            else:
+            total = float(tallies[k].cost.sum())
+            if not total < costs[k] - 1e-9 * max(total, 1.0):
                 active.discard(k)
+            costs[k] = min(total, costs[k])
         if not active:
             break
-    return {k: (pool[chosen[k]], costs[k]) for k in ks}
+        found = _best_members(data, {k: now[k] for k in sorted(active)}, tallies, distance, weights, edges, seeds, key)
+        for k in list(active):
+            if np.array_equal(found[k], medoids[k]):
+                active.discard(k)
+            medoids[k] = found[k]
+    return {k: (medoids[k], costs[k]) for k in ks}
 
 
-def _swap_costs(data: DataFrame, pool, chosen, distance):
-    """Cost of the present medoids and of every single replacement, per K, in one pass."""
+def _assigned(x, medoids, distance):
+    gaps = distance(x, medoids)
+    label = gaps.argmin(axis=1)
+    return label, gaps[np.arange(len(x)), label]
 
+
+def _tally_scan(data, medoids, distance, edges, sizes, few) -> dict[int, _Tally]:
     def partial(batches):
-        sums = {}
+        sums: dict[int, np.ndarray] = {}
         for pdf in batches:
             if not len(pdf):
                 continue
-            gaps = distance(np.stack(pdf["features"]), pool)
-            for k, picked in chosen.items():
-                mine = gaps[:, picked]
-                order = mine.argsort(axis=1)
-                rows = np.arange(len(mine))
-                first = mine[rows, order[:, 0]]
-                second = mine[rows, order[:, 1]] if len(picked) > 1 else np.full(len(mine), np.inf)
-                out = [np.array([first.sum()])]
-                for slot in range(len(picked)):
-                    rest = np.where(order[:, 0] == slot, second, first)
-                    out.append(np.minimum(rest[:, None], gaps).sum(axis=0))
-                row = np.concatenate(out)
-                sums[k] = sums[k] + row if k in sums else row
+            x = np.stack(pdf["features"])
+            for k, points in medoids.items():
+                flat = _Tally.of(x, *_assigned(x, points, distance), len(points), edges, sizes).flat()
+                sums[k] = sums[k] + flat if k in sums else flat
         if sums:
             yield pd.DataFrame({"model": np.array(list(sums), dtype="int32"), "stats": list(sums.values())})
 
-    found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"), few_partitions(data))
-    return {k: (float(v[0]), v[1:].reshape(len(chosen[k]), -1)) for k, v in found.items()}
+    found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"), few)
+    return {k: _Tally.unflat(found[k], len(points), edges, sizes) for k, points in medoids.items()}
+
+
+def _best_members(data, medoids, tallies, distance, weights, edges, seeds, key) -> dict[int, np.ndarray]:
+    """Exact medoid of every cluster of every K."""
+    # Any row's upper bound, and the present medoid's own cost, limit what the best row can cost.
+    limit = {}
+    for k, points in medoids.items():
+        best = tallies[k].cost.copy()
+        label, _ = _assigned(seeds, points, distance)
+        _, high = tallies[k].bounds(seeds, label, weights, edges)
+        np.minimum.at(best, label, high)
+        limit[k] = best * (1 + 1e-9) + 1e-9
+
+    def hopeful(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["features"])
+            for k, points in medoids.items():
+                label, _ = _assigned(x, points, distance)
+                low, _ = tallies[k].bounds(x, label, weights, edges)
+                rows = np.nonzero(low <= limit[k][label])[0]
+                if not len(rows):
+                    continue
+                yield pd.DataFrame({"k": np.full(len(rows), k, dtype="int32"), "c": label[rows].astype("int32"),
+                                    "features": list(x[rows]), "id": pdf["id"].to_numpy()[rows]})
+
+    kind = data.schema[key].dataType.simpleString()
+    survivors = cut_lineage(
+        data.select("features", F.col(key).alias("id")).mapInPandas(hopeful, f"k int, c int, features array<double>, id {kind}")
+        .groupBy("k", "c", "features").agg(F.min("id").alias("id")))
+    best = {k: [(np.inf, None, None)] * len(points) for k, points in medoids.items()}
+    chunk: list = []
+
+    def score():
+        held = {k: [[r for r in chunk if r["k"] == k and r["c"] == c] for c in range(len(points))] for k, points in medoids.items()}
+        table = {k: [np.array([r["features"] for r in rows]) for rows in groups] for k, groups in held.items()}
+
+        def partial(batches):
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["features"])
+                for k, points in medoids.items():
+                    label, _ = _assigned(x, points, distance)
+                    parts = [distance(x[label == c], rows).sum(axis=0) for c, rows in enumerate(table[k]) if len(rows)]
+                    if parts:
+                        flat = np.concatenate(parts)
+                        sums[k] = sums[k] + flat if k in sums else flat
+            if sums:
+                yield pd.DataFrame({"model": np.array(list(sums), dtype="int32"), "stats": list(sums.values())})
+
+        found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"), few_partitions(data))
+        for k, groups in held.items():
+            at = 0
+            for c, rows in enumerate(groups):
+                for r, cost in zip(rows, found[k][at:at + len(rows)] if rows else []):
+                    old = best[k][c]
+                    if old[1] is None or (round(cost, 9), r["id"]) < (round(old[0], 9), old[1]):
+                        best[k][c] = (float(cost), r["id"], r["features"])
+                at += len(rows)
+
+    for r in survivors.toLocalIterator():
+        chunk.append(r)
+        if len(chunk) == CANDIDATES_PER_SCAN:
+            score()
+            chunk.clear()
+    if chunk:
+        score()
+    return {k: np.array([best[k][c][2] if best[k][c][2] is not None else points[c] for c in range(len(points))])
+            for k, points in medoids.items()}
 
 
 def predict_medoids(df: DataFrame, medoids: np.ndarray, weights: np.ndarray, out: str = "cluster") -> DataFrame:

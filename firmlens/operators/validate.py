@@ -213,7 +213,8 @@ def _tiled_sums(base: DataFrame, total: int, widths, distance) -> DataFrame:
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["anchor"]], pdf[~pdf["anchor"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"id": left["id"][:0], "codes": [], "sums": []})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"id": left["id"][:0], "codes": none, "sums": none})
         sums = _sums(distance, np.stack(left["x"]), np.stack(right["x"]), np.stack(right["codes"]), widths)
         return pd.DataFrame({"id": left["id"].to_numpy(), "codes": list(left["codes"]), "sums": list(sums)})
 

@@ -308,6 +308,25 @@ def test_medoids_recover_mixed_groups(blobs):
     assert all(-1 <= s.score <= 1 for s in scores.values())
 
 
+def test_medoids_are_the_best_members(companies, monkeypatch):
+    """Each medoid has the smallest summed distance in its cluster, also with coarse bounds and hot copies."""
+    monkeypatch.setattr(cs, "KNOTS", 4)
+    monkeypatch.setattr(cs, "CANDIDATES_PER_SCAN", 7)
+    hot = companies.withColumn("sites", F.when(F.col("company_id") % 3 == 0, 4).otherwise(F.col("sites")))
+    data, weights = cs.coded_features(hot, ["market_value", "sites"], ["entity_type", "industry"])
+    data = data.select("company_id", "features").persist()
+    x = np.array([r[0] for r in data.select("features").collect()])
+    distance = va._gower(weights, 2)
+    for k, (medoids, cost) in cs.kmedoids_gower(data, weights, [2, 4]).items():
+        gaps = distance(x, medoids)
+        label = gaps.argmin(axis=1)
+        assert cost == pytest.approx(gaps.min(axis=1).sum(), rel=1e-6)
+        for c in range(k):
+            members = x[label == c]
+            sums = distance(members, members).sum(axis=0)
+            assert distance(members, medoids[c:c + 1]).sum() == pytest.approx(sums.min(), rel=1e-9)
+
+
 def test_consensus_of_agreeing_runs(blobs):
     runs = blobs.withColumns({
         "a": F.col("truth").cast("int"), "b": (3 - F.col("truth")).cast("int"),
