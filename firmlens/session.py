@@ -79,14 +79,26 @@ def bounded_collect(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work on a small table that sits in few partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 8) else df
-
-
 # Rows per partition below which an iterative fit gains nothing from more tasks.
 ROWS_PER_FIT_TASK = 20_000
+# With more partitions than this a table is certainly not small.
+MANY_PARTITIONS = 1_000
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give a small table about one partition per core; large tables are left alone.
+
+    Iterative fits start a task per partition and round, so both a single
+    partition and hundreds of nearly empty ones are slow.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    present = df.rdd.getNumPartitions()
+    if present < min(cores, 8):
+        return df.repartition(cores)
+    if cores < present <= MANY_PARTITIONS:
+        wanted = max(cores, -(-df.count() // ROWS_PER_FIT_TASK))
+        return df.coalesce(wanted) if wanted < present else df
+    return df
 
 
 def packed(df: DataFrame, rows: int) -> DataFrame:
