@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmlens.llm import op3_language, op4_tokens, op6_shards, op8_pieces
-from firmlens.llm.common import documents
+from firmlens.llm import op3_language, op4_tokens, op5_toxicity, op6_shards, op8_pieces, op10_secrets
+from firmlens.llm.common import documents, read
 
 N_SHARDS = 8
 
@@ -21,6 +21,11 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_tokens.token_files(documents(spark, sf_dir))
 
 
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return op5_toxicity.score(docs, op5_toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_shards.shard_documents(documents(spark, sf_dir), op6_shards.even_tree(N_SHARDS), op6_shards.even_tree(N_SHARDS + 1))
 
@@ -29,7 +34,11 @@ def op8_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pieces.digests(documents(spark, sf_dir))
 
 
+def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_secrets.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ppm_language, op4_wavelet_tokens, op6_hash_tree_shards, op8_offset_pieces)
+    f.__name__: f for f in (op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op8_offset_pieces, op10_assignment_secrets)
 }
 SQL: dict[str, str] = {}
