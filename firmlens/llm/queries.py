@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmlens.llm import op3_language, op4_tokens, op5_toxicity, op6_shards, op8_pieces, op10_secrets
+from firmlens.llm import op3_language, op4_tokens, op5_toxicity, op6_shards, op8_pieces, op9_near_copies, op10_secrets
 from firmlens.llm.common import documents, read
 
 N_SHARDS = 8
@@ -34,11 +34,15 @@ def op8_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pieces.digests(documents(spark, sf_dir))
 
 
+def op9_circulant_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_near_copies.link(documents(spark, sf_dir), k=2)
+
+
 def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.digests(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op8_offset_pieces, op10_assignment_secrets)
+    f.__name__: f for f in (op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op8_offset_pieces, op9_circulant_near_copies, op10_assignment_secrets)
 }
 SQL: dict[str, str] = {}
