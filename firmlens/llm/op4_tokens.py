@@ -20,14 +20,12 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -41,9 +39,12 @@ END_ID = 2
 # Text bytes of the documents that share a file, on average.
 SHARD_BYTES = 6 << 20
 BLOCK_WORDS = 8
+# Words whose ids a task keeps.
+KEPT_WORDS = 250_000
 _MAGIC = b"WVM1"
 _PARTING = "0"
-_LETTERS_AND_MARKS = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
+# A run of ASCII marks (an apostrophe aside) between an ASCII letter and a blank.
+_LETTERS_AND_MARKS = r"([a-z])([!-&(-/:-@\[-`{-~]+) "
 
 
 class WaveletMatrix:
@@ -192,8 +193,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.store = WordStore(self._learn)
-        self.parts: dict[str, list[int]] = {}
+        self.store = WordStore(self._learn, KEPT_WORDS)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -222,14 +222,8 @@ class Encoder:
         return out
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        split = [_LETTERS_AND_MARKS.fullmatch(w) for w in words]
-        pieces = [m.groups() if m else (w,) for m, w in zip(split, words, strict=True)]
-        missing = list({p for ps in pieces for p in ps} - self.parts.keys())
-        if len(self.parts) + len(missing) > self.store.limit:
-            self.parts = {}
-            missing = list({p for ps in pieces for p in ps})
-        self.parts |= self._short(missing)
-        found = [[i for p in ps for i in self.parts[p]] for ps in pieces]
+        known = self._short(words)
+        found = [known[w] for w in words]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
         return counts, ids, ids[:0]
@@ -246,7 +240,8 @@ class Encoder:
             for i in np.flatnonzero(odd):
                 rows[i] = np.array(self._whole([texts[int(i)].as_py()])[0], np.int32)
             return np.concatenate(rows), np.array([len(r) for r in rows])
-        words = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+        lower = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+        words = pc.split_pattern(pc.replace_substring_regex(lower, _LETTERS_AND_MARKS, r"\1 \2 "), " ")
         coded = words.flatten().dictionary_encode()
         which = self.store.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         where, ends = self.store.spread(which)
@@ -254,8 +249,9 @@ class Encoder:
         return self.store.ids[where], np.diff(np.concatenate([[0], ends])[bounds])
 
 
-def encode_documents(docs: DataFrame, model_path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, tie, width, ids) of every row: ids as little-endian integers of ``width`` bytes, ``tie`` orders equal doc_ids."""
+def encode_documents(docs: DataFrame, cuts: list, model_path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(shard, doc_id, tie, width, ids) of every row: ids as little-endian integers of ``width`` bytes, ``tie`` orders equal doc_ids."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(cuts))
     path = model_path or tokenizer_path(MODEL)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -271,9 +267,14 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, end_id: int
             with_end[own] = ids
             offsets = np.concatenate([[0], np.cumsum(n + 1)]) * width
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(with_end)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([width] * len(n), pa.int32()), blob.cast(pa.binary())], ["doc_id", "tie", "width", "ids"])
+            doc_id = batch.column(0)
+            shard = np.zeros(len(n), np.int32)
+            if len(shared.value):
+                known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+                shard[known] = np.searchsorted(shared.value, doc_id.drop_null().to_numpy(zero_copy_only=False), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(shard), doc_id, batch.column(1), pa.array([width] * len(n), pa.int32()), blob.cast(pa.binary())], ["shard", "doc_id", "tie", "width", "ids"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie long, width int, ids binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, f"shard int, doc_id {kind}, tie long, width int, ids binary")
 
 
 def _put(path: str, blob: bytes) -> None:
@@ -299,26 +300,17 @@ def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> list:
 def write_shards(docs: DataFrame, folder: str, model_path: str | None = None, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the files; returns (shard, path, doc_ids, n_docs, n_tokens), a row per file."""
     rows = docs.select("doc_id", "text")
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
-    cuts = spark.sparkContext.broadcast(np.array(shard_bounds(rows, shard_bytes)))
+    kind = dict(docs.dtypes)["doc_id"]
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
-    @F.pandas_udf("int")
-    def shard_of(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna()
-        out = np.zeros(len(doc_id), np.int32)
-        if len(cuts.value):
-            out[known] = np.searchsorted(cuts.value, doc_id[known].to_numpy(dtype=cuts.value.dtype), side="right")
-        return pd.Series(out)
-
     def store(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending")])
         nulls = pc.is_null(table.column("doc_id"))
         if pc.any(nulls).as_py():
             table = pa.concat_tables([table.filter(nulls), table.filter(pc.invert(nulls))])
-        blobs = table.column("ids").combine_chunks().to_pylist()
+        blobs = table.column("ids").to_pylist()
         width = table.column("width")[0].as_py()
         ids = np.frombuffer(b"".join(blobs), f"<u{width}")
         ends = np.cumsum([len(b) // width for b in blobs])
@@ -331,7 +323,7 @@ def write_shards(docs: DataFrame, folder: str, model_path: str | None = None, en
             }
         )
 
-    encoded = encode_documents(rows, model_path, end_id).withColumn("shard", shard_of("doc_id"))
+    encoded = encode_documents(rows, shard_bounds(rows, shard_bytes), model_path, end_id)
     return encoded.groupBy("shard").applyInArrow(store, f"shard int, path string, doc_ids array<{kind}>, n_docs long, n_tokens long")
 
 

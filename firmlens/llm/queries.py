@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmlens.llm import op3_language, op4_tokens, op5_toxicity, op6_shards, op8_pieces, op9_near_copies, op10_secrets
+from firmlens.llm import op2_suffix_dedup, op3_language, op4_tokens, op5_toxicity, op6_shards, op8_pieces, op9_near_copies, op10_secrets
 from firmlens.llm.common import documents, read
 
 N_SHARDS = 8
 
 
+def op2_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return op3_language.identify(docs, op3_language.fit(docs))
@@ -43,6 +47,6 @@ def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op8_offset_pieces, op9_circulant_near_copies, op10_assignment_secrets)
+    f.__name__: f for f in (op2_two_stage_suffixes, op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op8_offset_pieces, op9_circulant_near_copies, op10_assignment_secrets)
 }
 SQL: dict[str, str] = {}
