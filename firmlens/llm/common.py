@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from firmlens.session import cut_lineage, scratch_path
 
 __all__ = [
-    "WordStore", "byte_buckets", "cut_lineage", "documents", "flat_text", "offsets_of", "read", "rebatched", "running_starts", "scratch_path",
+    "WordStore", "byte_buckets", "checked_broadcast", "cut_lineage", "documents", "flat_text", "offsets_of", "read", "rebatched", "running_starts", "scratch_path",
     "text_bytes", "tokenizer_path",
 ]
 
@@ -40,6 +40,15 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(column)), F.lit(0)).cast("long")
 
 
+# Rows of a narrow frame (ids, terms) that may be sent to every task; beyond it joins shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows; give it frames that are cheap to read twice."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def byte_buckets(df: DataFrame, nbytes: Column, target: int, least: int = 1) -> int:
     """How many buckets of about ``target`` bytes the frame needs; one aggregate over one column."""
     total = df.agg(F.sum(nbytes).alias("n")).first()["n"] or 0

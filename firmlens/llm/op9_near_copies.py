@@ -6,11 +6,12 @@ set once, the second, shifted circularly by one place per coordinate, ranks it;
 a coordinate is the least rank.  Rows of the signature form bands; texts that
 share a band are candidates.
 
-Documents with equal sets are one node.  In every band each node is compared
-with the band's smallest node, and links are contracted to components; then all
-pairs of a band that are still in different components are compared, so every
-candidate pair is either verified on the full sets or already connected.  Bands
-of copies therefore cost a comparison per member and not one per pair.
+Documents with equal sets are one node.  In rounds, the nodes of a band are
+compared with a leader of it that is drawn by hash, and links are contracted to
+components; then all pairs of a band that are still in different components are
+compared, so every candidate pair is either verified on the full sets or already
+connected.  Bands of copies therefore cost a few comparisons per member and not
+one per pair.
 
 Results: a text without words has an empty set and is alone; fewer words than a
 shingle make one shingle of all; a null doc_id is alone, its component null;
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import cut_lineage, flat_text, rebatched
+from firmlens.llm.common import checked_broadcast, cut_lineage, flat_text, rebatched
 from firmlens.llm.components import components
 from firmlens.llm.words import WordHashes, distinct, mix32, mix64, shingles
 
-# A pair of likeness 0.8 misses all 40 bands of 6 rows with probability (1 - 0.8**6)**40 = 5e-6.
-BANDS, ROWS = 40, 6
-# A list of ids is sent to every task only up to this length (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 500_000
+# A pair of likeness 0.8 misses all 64 bands of 8 rows with probability (1 - 0.8**8)**64 = 8e-6.
+BANDS, ROWS = 64, 8
+# Rounds in which the members of a band are compared with one leader, before all pairs that are left.
+LEADER_ROUNDS = 3
 _SCATTER = (0x9E3779B1, 0x85EBCA77)
 _RANK = (0x85EBCA6B, 0xC2B2AE35)
 
@@ -85,13 +86,6 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the documents in ``ids`` (doc_id, unique)."""
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi")
-
-
 def sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, own) with the sorted distinct shingle hashes as bytes; one row per doc_id."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -132,6 +126,24 @@ def _may_reach(n_a: Column, n_b: Column, percent: int) -> Column:
     return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
 
 
+def _leader_pairs(state: DataFrame, percent: int, round_: int) -> DataFrame:
+    """Distinct pairs (a, b) of each band's leader, drawn by hash anew in every round, with the members of other components."""
+    draw = F.xxhash64("band", "node", F.lit(round_))
+    leaders = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n", "component"), draw).alias("leader")).where("lo < hi")
+    met = state.join(leaders, "band").where((F.col("component") != F.col("leader.component")) & _may_reach(F.col("n"), F.col("leader.n"), percent))
+    return met.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+
+
+def _pairs_apart(state: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that share a band and not the component."""
+    mixed = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    apart = cut_lineage(state.join(mixed, "band", "left_semi"))
+    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component")]) for side in "ab")
+    open_ = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _may_reach(F.col("n_a"), F.col("n_b"), percent)
+    met = left.join(right, (left["band"] == right["band"]) & open_)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def link(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sketch = cut_lineage(sketches(docs, k, bands, rows))
@@ -139,31 +151,23 @@ def link(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: i
     named = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = cut_lineage(named.groupBy(*of_set).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
     band_rows = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    shared = band_rows.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("n", "node").alias("first_n")).where("first < last")
-    candidates = cut_lineage(band_rows.join(shared, "band").select("band", "node", "n", "first", "first_n"))
-    stars = candidates.where((F.col("node") > F.col("first")) & _may_reach(F.col("n"), F.col("first_n"), percent))
-    pairs = cut_lineage(stars.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    used = candidates.select(F.col("node").alias("doc_id")).distinct()
-    own = cut_lineage(sets(_some(docs.where(F.col("doc_id").isNotNull()), used), k))
-    links = cut_lineage(verified(pairs, own, percent))
+    shared = band_rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    candidates = cut_lineage(band_rows.join(shared, "band", "left_semi"))
+    used = cut_lineage(candidates.select(F.col("node").alias("doc_id")).distinct())
+    own = cut_lineage(sets(docs.select("doc_id", "text").join(checked_broadcast(used), "doc_id", "left_semi"), k))
     # Rows of one doc_id with several sets: the id links them.
     twice = named.groupBy("doc_id", *of_set).agg(F.lit(1).alias("one")).join(nodes.drop("bands"), of_set).where("doc_id <> node")
-    same_id = twice.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    several = same_id.join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-    first_round = cut_lineage(components(links.union(several)))
-    # What the bands still hold apart: every pair of different components that was not compared yet.
-    state = candidates.join(first_round, "node", "left").withColumn("component", F.coalesce("component", "node")).select("band", "node", "n", "component")
-    mixed = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    apart = cut_lineage(state.join(mixed, "band", "left_semi"))
-    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component")]) for side in "ab")
-    rest = left.join(
-        right,
-        (left["band"] == right["band"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _may_reach(F.col("n_a"), F.col("n_b"), percent),
-    )
-    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = cut_lineage(verified(cut_lineage(rest), own, percent))
-    stars_of_first = first_round.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    final = components(second.union(stars_of_first))
+    links = twice.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    final, compared = components(cut_lineage(links)), None
+    for round_ in range(LEADER_ROUNDS + 1):
+        state = candidates.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs = _leader_pairs(state, percent, round_) if round_ < LEADER_ROUNDS else _pairs_apart(state, percent)
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs)
+        compared = pairs if compared is None else compared.union(pairs)
+        known = final.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        final = cut_lineage(components(verified(pairs, own, percent).union(known)))
     by_set = nodes.select(*of_set, "node").join(final, "node", "left").select(*of_set, F.coalesce("component", "node").alias("component"))
     # Copies of one text share a set: the joint side has one row per set, and hot sets are split by the engine.
     joined = sketch.drop("bands").join(by_set, of_set, "left")
@@ -173,10 +177,8 @@ def link(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: i
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all its columns; of repeated rows of one doc_id one stays."""
-    away = link(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct()
-    if away.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        away = F.broadcast(away)
-    kept = docs.join(away, "doc_id", "left_anti")
+    away = cut_lineage(link(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct())
+    kept = docs.join(checked_broadcast(away), "doc_id", "left_anti")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         return kept

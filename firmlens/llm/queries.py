@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmlens.llm import op2_suffix_dedup, op3_language, op4_tokens, op5_toxicity, op6_shards, op8_pieces, op9_near_copies, op10_secrets
+from firmlens.llm import op1_fingerprints, op2_suffix_dedup, op3_language, op4_tokens, op5_toxicity, op6_shards, op7_decontaminate, op8_pieces, op9_near_copies, op10_secrets
 from firmlens.llm.common import documents, read
 
 N_SHARDS = 8
 
 
+def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_fingerprints.compare_edits(documents(spark, sf_dir))
+
+
 def op2_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -34,6 +38,10 @@ def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_shards.shard_documents(documents(spark, sf_dir), op6_shards.even_tree(N_SHARDS), op6_shards.even_tree(N_SHARDS + 1))
 
 
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_decontaminate.decontaminate(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
 def op8_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pieces.digests(documents(spark, sf_dir))
 
@@ -47,6 +55,6 @@ def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_two_stage_suffixes, op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op8_offset_pieces, op9_circulant_near_copies, op10_assignment_secrets)
+    f.__name__: f for f in (op1_simhash_fingerprints, op2_two_stage_suffixes, op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op7_positional_index, op8_offset_pieces, op9_circulant_near_copies, op10_assignment_secrets)
 }
 SQL: dict[str, str] = {}
