@@ -51,7 +51,7 @@ NAME_WORDS = {
 }
 THRESHOLD = 0.8
 NAMED_LEAST = 8
-_PLACEHOLDER = re.compile(r"(?i)^(?:(.)\1*|change_?me|placeholder|example.*|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|none|null|true|false|undefined|redacted.*|\*+)$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:(.)\1*|change_?me|placeholder|example.*|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|none|null|true|false|undefined|redacted.*|\[\w+\]|\*+)$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SENSITIVE = "(?i)(pass|pwd|secret|token|key|cred|auth|bearer|private|signing|encryption|salt)"
 

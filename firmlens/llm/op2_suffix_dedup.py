@@ -165,7 +165,7 @@ def _flags(values: np.ndarray, bits: list[dict], n_buckets: int) -> tuple[np.nda
 def stretches(answered: DataFrame, width: int, n_reports: int, n_sorts: int) -> DataFrame:
     """(bucket, docs, starts, lengths, content) of windows with shared minimizers, and in ``done_*`` what the step settled itself.
 
-    Of equal stretches in a step only that of the smallest doc_id is sent; the others are covered as a whole.
+    Of equal stretches in a step only those of the smallest doc_id are sent; the others are covered as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def stretches(answered: DataFrame, width: int, n_reports: int, n_sorts: int) ->
                 best.setdefault(content[k], k)
             leader = np.fromiter((best[c] for c in content), np.int64, len(content))
             settled = doc_ids[leader] < doc_ids
-            sent = leader == np.arange(len(content))
+            sent = ~settled
             inside = starts - offsets[docs]
             bucket = _buckets_of(key >> np.uint64(7), n_sorts)
             rows: list[list] = [[] for _ in range(8)]

@@ -129,7 +129,7 @@ class ContextTrees:
         # States are numbered order by order.  The known contexts are closed under prefixes and suffixes, so a
         # state's transitions are those of its suffix, but for the longer contexts that are known.
         self.first = np.cumsum([0] + [len(level) for level in levels])
-        self.bits = np.ascontiguousarray(np.concatenate(levels).astype(np.float32).reshape(-1, len(self.languages)).T)
+        self.bits = np.ascontiguousarray(np.concatenate(levels).astype(np.float32).reshape(self.first[-1] * size, len(self.languages)).T)
         self.next = np.zeros((self.first[-1], size), np.int32)
         for k in range(ORDER + 1):
             for c, row in ids[k].items():
