@@ -17,6 +17,9 @@ minimizers:
    window but those of the smallest doc_id marks its bytes;
 4. each document drops the bytes that a marked window covers.
 
+A document whose whole text a smaller doc_id has loses all of it and takes no
+part in this, so a group of copies costs its texts' digests only.
+
 Results: a null text is empty; matches never cross documents; repeated rows and
 rows of one doc_id never remove from one another; a null doc_id neither loses
 bytes nor takes any; an empty table gives no rows; other columns are ignored.
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.common import byte_buckets, flat_text, rebatched, text_bytes
+from firmlens.llm.common import byte_buckets, checked_broadcast, cut_lineage, flat_text, rebatched, text_bytes
 from firmlens.llm.words import BYTE_VALUES, mix64
 
 WIDTH = 50
@@ -43,6 +46,8 @@ REPORT_BYTES = 24 << 20
 SORT_BYTES = 6 << 20
 # From so many documents on, a minimizer's windows are dealt by a second one too.
 FREQUENT = 20_000
+# Documents whose answers or ranges (some dozens of bytes each) may be sent to every task.
+BROADCAST_DOCS = 300_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -173,32 +178,43 @@ def stretches(answered: DataFrame, width: int, n_reports: int, n_sorts: int) ->
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = flat_text(batch.column(1))
             values = minimizers(data, offsets, width)
-            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            named_owner, named = _report(values, np.diff(offsets))
+            lengths_of = np.diff(offsets)
+            named_owner, named = _report(values, lengths_of)
             firsts = np.searchsorted(named_owner, np.arange(len(ids) + 1))
             shared, hot = np.zeros(len(named), bool), np.zeros(len(named), bool)
             for i, bits in enumerate(batch.column(2).to_pylist()):
                 span = slice(firsts[i], firsts[i + 1])
                 shared[span], hot[span] = _flags(named[span], bits, n_reports)
-            # Each window's place among its document's minimizers: both are ordered by (document, value).
-            real = np.flatnonzero(values != _NONE)
-            order = real[np.lexsort((values[real], owner[real]))]
+            # Runs of windows of one document with one minimizer, and each run's place among the document's minimizers.
+            edge = np.ones(len(data), bool)
+            edge[1:] = values[1:] != values[:-1]
+            edge[offsets[:-1][lengths_of > 0]] = True
+            starts = np.flatnonzero(edge)
+            stops = np.append(starts[1:], len(data))
+            real = values[starts] != _NONE
+            starts, stops = starts[real], stops[real]
+            owner, run_values = np.searchsorted(offsets, starts, side="right") - 1, values[starts]
+            order = np.lexsort((run_values, owner))
             new = np.ones(len(order), bool)
-            new[1:] = (values[order][1:] != values[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-            place = np.cumsum(new) - 1
-            take, again = np.zeros(len(data), bool), np.zeros(len(data), bool)
-            take[order], again[order] = shared[place], hot[place]
-            keys = values.copy()
+            new[1:] = (run_values[order][1:] != run_values[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new) - 1
+            keep, again = shared[place], shared[place] & hot[place]
+            keys = run_values
             if again.any():
+                # A very frequent minimizer's windows are cut by their second one.
                 second = minimizers(data, offsets, width, order=1)
-                keys[again] = mix64(values[again] ^ mix64(second[again]))
-            edge = np.ones(len(data) + 1, bool)
-            edge[1:-1] = (keys[1:] != keys[:-1]) | (take[1:] != take[:-1]) | (owner[1:] != owner[:-1])
-            cuts = np.flatnonzero(edge)
-            starts, stops = cuts[:-1], cuts[1:]
-            keep = take[starts] if len(starts) else np.zeros(0, bool)
-            starts, lengths, key = starts[keep], (stops - starts)[keep] + width - 1, keys[starts[keep]]
-            docs = owner[starts]
+                at = np.concatenate([np.arange(a, b) for a, b in zip(starts[again], stops[again], strict=True)])
+                change = np.ones(len(at), bool)
+                change[1:] = (second[at[1:]] != second[at[:-1]]) | (at[1:] != at[:-1] + 1) | np.isin(at[1:], starts)
+                cut = at[change]
+                until = np.append(at[:-1][change[1:]], at[-1]) + 1
+                parent = np.searchsorted(starts, cut, side="right") - 1
+                starts, stops = np.concatenate([starts[~again], cut]), np.concatenate([stops[~again], until])
+                owner = np.concatenate([owner[~again], owner[parent]])
+                keys = np.concatenate([keys[~again], mix64(run_values[parent] ^ mix64(second[cut]))])
+                keep = np.concatenate([keep[~again], np.ones(len(cut), bool)])
+            starts, lengths, key, docs = starts[keep], (stops - starts)[keep] + width - 1, keys[keep], owner[keep]
             raw = data.tobytes()
             best: dict[bytes, int] = {}
             content = [raw[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
@@ -410,14 +426,35 @@ def _drop(joined: DataFrame, with_text: bool) -> DataFrame:
     return joined.select("doc_id", "text", "ranges").mapInArrow(run, schema)
 
 
+def copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n) of the documents, of at least ``width`` bytes, whose whole text a smaller doc_id has; texts are told apart by MD5."""
+    keys = docs.select("doc_id", F.md5("text").alias("name"), F.octet_length("text").alias("n")).where(F.col("n") >= width)
+    firsts = keys.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # Only names of texts that occur twice are joined.
+    return keys.join(checked_broadcast(cut_lineage(firsts)), "name").where("doc_id > first").groupBy("doc_id").agg(F.max("n").alias("n"))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, frequent: int = FREQUENT, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row."""
     rows = docs.select("doc_id", "text")
     n_reports = byte_buckets(rows, text_bytes(), REPORT_BYTES)
     n_sorts = byte_buckets(rows, text_bytes(), SORT_BYTES, least=4)
-    named = rows.where(F.col("doc_id").isNotNull())
-    bits = answers(reports(named, width, n_reports), frequent)
-    bits = bits.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("bits"))
-    found = marked(stretches(named.join(bits, "doc_id"), width, n_reports, n_sorts), width)
+    named = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
+    # A copy of a whole text loses it, and gives others nothing that the first one does not: copies stay out of the sorting.
+    whole = cut_lineage(copies(named, width))
+    several = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    whole = cut_lineage(whole.join(several, "doc_id", "left_anti"))
+    first = named.join(checked_broadcast(whole.select("doc_id")), "doc_id", "left_anti")
+    bits = answers(reports(first, width, n_reports), frequent)
+    bits = cut_lineage(bits.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("bits")))
+    found = marked(stretches(first.join(checked_broadcast(bits, BROADCAST_DOCS), "doc_id"), width, n_reports, n_sorts), width)
     ranges = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("ranges"))
-    return _drop(rows.join(ranges, "doc_id", "left"), with_text)
+    zero = F.array(F.struct(F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("ends")))
+    ranges = cut_lineage(ranges.unionByName(whole.select("doc_id", zero.alias("ranges"))))
+    joined = rows.join(checked_broadcast(ranges, BROADCAST_DOCS), "doc_id", "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    untouched = joined.where(F.col("ranges").isNull()).select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.sha2(text, 256).alias("kept_sha256"), *([text.cast("binary").alias("kept")] if with_text else []),
+    )
+    return untouched.unionByName(_drop(joined.where(F.col("ranges").isNotNull()), with_text))
