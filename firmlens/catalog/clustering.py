@@ -23,7 +23,7 @@ from firmlens.plans import pipelines as pl
 from firmlens.session import local_rows
 
 # Starts per fit in these queries; the library default is 10.
-STARTS = 3
+STARTS = 10
 
 # --- reduction --------------------------------------------------------------------------------
 
@@ -183,10 +183,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     data, weights = mixed(spark, sf_dir)
     runs = data
-    for i in range(3):
+    for i in range(6):
         medoids, _ = cs.kmedoids_gower(data, weights, [4], seed=42 + i)[4]
         runs = cs.predict_medoids(runs, medoids, weights, f"run{i}")
-    mean, stable = cs.stability_ari(runs, ["run1", "run2"], "run0")
+    mean, stable = cs.stability_ari(runs, [f"run{i}" for i in range(1, 6)], "run0")
     return local_rows(spark, [(mean, int(stable))], "mean_ari double, stable int")
 
 
@@ -238,7 +238,7 @@ def _(spark, sf_dir):
 
 @query("consensus", "C8")
 def _(spark, sf_dir):
-    done = cs.consensus(vectors(spark, sf_dir), k=4, runs=8)
+    done = cs.consensus(vectors(spark, sf_dir))
     return sg.cluster_sizes(done.labelled).select("cluster", "n", F.lit(round(done.mean_ari, 6)).alias("mean_ari"))
 
 
@@ -252,7 +252,7 @@ def tier_data(spark, sf_dir):
 
 @query("two_tier", "C10,A19,A21,F33")
 def _(spark, sf_dir):
-    tiers = pl.two_tier(tier_data(spark, sf_dir), ks=(5, 6), n_init=STARTS)
+    tiers = pl.two_tier(tier_data(spark, sf_dir), n_init=STARTS)
     out = tiers.labelled.select("company_id", "cluster")
     if tiers.refined is None:
         return out.withColumn("sub", F.lit(None).cast("int"))

@@ -162,19 +162,19 @@ def _(spark, sf_dir):
 
 @query("run_full", "L3")
 def _(spark, sf_dir):
-    return rounded(pl.run_full(company(spark, sf_dir), Y, n_init=2).report)
+    return rounded(pl.run_full(company(spark, sf_dir), Y).report)
 
 
 @query("run_standard", "L4")
 def _(spark, sf_dir):
     table = ft.derived_metrics(company(spark, sf_dir), Y)
-    return rounded(pl.run_standard(table, n_init=2).report)
+    return rounded(pl.run_standard(table).report)
 
 
 @query("run_enhanced", "L5")
 def _(spark, sf_dir):
     table = ft.derived_metrics(company(spark, sf_dir), Y).drop("it_spend_ratio", "market_value_per_employee", "employees_per_site")
-    return rounded(pl.run_enhanced(table, n_init=2).report)
+    return rounded(pl.run_enhanced(table).report)
 
 
 @query("assign_segment", "M10,J2")
@@ -182,5 +182,5 @@ def _(spark, sf_dir):
     df = company(spark, sf_dir)
     prepared = pl.preprocess(df, Y, use_text=False)
     data = km.spread_out(prepared.frame.select("company_id", "features")).persist()
-    fit = km.kmeans(data, 4, n_init=3)
+    fit = km.kmeans(data, 4)
     return pl.assign_segment(df, prepared, fit, Y).select("company_id", "cluster")

@@ -78,13 +78,15 @@ def _(spark, sf_dir):
     return rounded(out.select("feature", "chi2", "p", "p_adjusted", "significant"))
 
 
-PVALS = ("pv AS (SELECT industry || '/' || entity_type AS feature, pow(CAST(count(*) AS DOUBLE)/1500, 2) AS p FROM company GROUP BY industry, entity_type)")
+PVALS = ("pv AS (SELECT industry || '/' || entity_type AS feature, pow(CAST(count(*) AS DOUBLE)/(SELECT count(*) FROM company), 2) AS p FROM company GROUP BY industry, entity_type)")
 
 
 def pvalues(spark, sf_dir):
     """Stand-in p-values that come from the table: squared shares of category pairs."""
-    return company(spark, sf_dir).groupBy("industry", "entity_type").agg(F.count("*").alias("n")).select(
-        F.concat_ws("/", "industry", "entity_type").alias("feature"), F.pow(F.col("n") / 1500.0, F.lit(2.0)).alias("p"))
+    df = company(spark, sf_dir)
+    total = float(df.count())
+    return df.groupBy("industry", "entity_type").agg(F.count("*").alias("n")).select(
+        F.concat_ws("/", "industry", "entity_type").alias("feature"), F.pow(F.col("n") / total, F.lit(2.0)).alias("p"))
 
 
 @query("adjust_pvalues_bh", "W4", on_company(

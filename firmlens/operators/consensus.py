@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.operators.kmeans import add_partials, few_partitions, fit_many, plus_plus, predict_all, seed_rows
+from firmlens.operators.kmeans import add_partials, draw_candidates, few_partitions, fit_many, predict_all, settled
 from firmlens.operators.mixture import mixtures_by_k, predict_mixture
 from firmlens.operators.profile_stats import dbl, impute
 from firmlens.operators.validate import Silhouette, _gower, adjusted_rand, silhouettes
@@ -385,8 +385,8 @@ def consensus(data: DataFrame, k: int = 8, runs: int = 20, seed: int = 42, key:
     """Half the runs K-Means, a quarter mixtures, combined by co-association."""
 
     n_kmeans, n_gmm = runs // 2, runs // 4
-    seeds = seed_rows(data, key, seed)
-    fits = fit_many(data, [(0, plus_plus(seeds[0], k, seed + i)) for i in range(n_kmeans)], seeds)
+    drawn = draw_candidates(data, {0: k}, n_kmeans, seed, key)
+    fits = fit_many(data, [(0, settled(drawn[0, i], k, seed + i)) for i in range(n_kmeans)])
     labelled = predict_all(data, dict(enumerate(fits)), "run_k")
     names = [f"run_k{i}" for i in range(n_kmeans)]
     for i in range(n_gmm):

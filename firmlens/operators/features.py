@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firmlens.functions import bands, ratios
 from firmlens.functions.clean import zeros_to_null
 from firmlens.operators.profile_stats import dbl, group_zscore, impute, subset_zscore
 from firmlens.operators.quantiles import medians, quantiles
-from firmlens.session import BROADCAST_ROWS, bounded_collect, lit_map, lookup_join
+from firmlens.session import lookup_join
 
 # fixed values
 GROWTH_WEIGHTS = {"revenue_per_employee": 0.4, "market_value_to_revenue_ratio": 0.3, "it_investment_intensity": 0.3}
@@ -141,17 +142,11 @@ def engineered_ratios(df: DataFrame) -> DataFrame:
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """Codes 0, 1, ... in alphabetical order of the distinct values; null gives -1.
 
-    Only the distinct values are ordered.  A column with very many values is
-    ranked through a range partitioning instead of one literal map.
+    Only the distinct values are ordered and joined back.
     """
     values = df.where(F.col(col).isNotNull()).select(col).distinct()
-    if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        names = sorted(r[0] for r in bounded_collect(values, BROADCAST_ROWS, col))
-        code = lit_map({n: i for i, n in enumerate(names)}, "string", "int")[F.col(col)] if names else F.lit(None)
-        return df.withColumn(out, F.coalesce(code, F.lit(-1)))
-    ranked = values.rdd.map(lambda r: r[0]).sortBy(lambda v: v).zipWithIndex()
-    codes = df.sparkSession.createDataFrame(ranked, f"{col} string, {out} int")
-    return lookup_join(df, codes, [col]).withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+    ranked = values.select(col, (F.dense_rank().over(W.orderBy(col)) - 1).alias(out))
+    return lookup_join(df, ranked, [col]).withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 
 def engineer_features(df: DataFrame) -> DataFrame:

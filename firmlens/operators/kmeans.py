@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from firmlens.operators.validate import CentroidStats
 from firmlens.session import spread_out  # noqa: F401  (callers prepare the data with it)
 
-# Rows used to place the starting centres; the fit itself always uses all rows.
-SEED_ROWS = 1_000
+# Rounds in which candidates for starting centres are drawn from all rows, and how many a round draws for each centre.
+DRAW_ROUNDS, DRAW_FACTOR = 4, 2
+# Partitions whose winners one task merges.
+MERGED = 64
 
 
 @dataclass(frozen=True)
@@ -116,31 +117,132 @@ def _scan(data: DataFrame, models: list[tuple[int, int, np.ndarray]], few: bool)
     return {m: sums[m].reshape(len(c), -1) for m, _, c in models if m in sums}
 
 
-def _refined(rows: np.ndarray, centres: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Settle starting centres on the seed rows, so that few scans of the whole table are left to do."""
+def _draw(data: DataFrame, models: list[tuple[int, int, np.ndarray | None, int]], turn: int) -> dict[int, np.ndarray]:
+    """One pass: per model (number, group, centres, wanted) that many rows, drawn in proportion to the squared distance.
+
+    Every row runs a race that its distance speeds up; the first rows win, whatever the partitioning.  A partition
+    sends its own winners only.
+    """
+    grouped = "grp" in data.columns
+
+    def winners(race: np.ndarray, points: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        first = np.argsort(race, kind="stable")[:wanted]
+        first = first[np.isfinite(race[first])]
+        return race[first], points[first]
+
+    def emit(best: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "model": pa.array([m for m, (race, _) in best.items() for _ in race], pa.int32()),
+            "race": pa.array([v for race, _ in best.values() for v in race], pa.float64()),
+            "point": pa.array([p for _, points in best.values() for p in points], pa.list_(pa.float64())),
+        })
+
+    def partial(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, h = matrix(batch.column("features")), batch.column("h").to_numpy().view(np.uint64)
+            groups = batch.column("grp").to_numpy() if grouped else None
+            for number, group, centres, wanted in models:
+                mine = groups == group if grouped else slice(None)
+                rows = x[mine]
+                if not len(rows):
+                    continue
+                gaps = np.ones(len(rows)) if centres is None else square_gaps(rows, centres).min(axis=1)
+                mixed = (h[mine] ^ np.uint64((number + 1) * 0x9E3779B97F4A7C15 + turn * 0xBF58476D1CE4E5B9 & (1 << 64) - 1)) * np.uint64(0x94D049BB133111EB)
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                uniform = ((mixed >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+                with np.errstate(divide="ignore"):
+                    race = np.where(gaps > 0, -np.log(uniform) / gaps, np.inf)
+                race, points = winners(race, rows, wanted)
+                if number in best:
+                    race, points = winners(np.concatenate([best[number][0], race]), np.concatenate([best[number][1], points]), wanted)
+                best[number] = (race, points)
+        if best:
+            yield emit(best)
+
+    wanted_of = {number: wanted for number, _, _, wanted in models}
+
+    def merge(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if batch.num_rows:
+                number, race, points = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+                for m in np.unique(number):
+                    own, rows = race[number == m], points[number == m]
+                    if m in best:
+                        own, rows = np.concatenate([best[m][0], own]), np.concatenate([best[m][1], rows])
+                    best[m] = winners(own, rows, wanted_of[m])
+        if best:
+            yield emit(best)
+
+    schema = "model int, race double, point array<double>"
+    parts = data.select("features", "h", *(["grp"] if grouped else [])).mapInArrow(partial, schema)
+    left = data.rdd.getNumPartitions()
+    while left > MERGED:
+        left = -(-left // MERGED)
+        parts = parts.repartition(left).mapInArrow(merge, schema)
+    found: dict[int, list] = {}
+    for row in parts.collect():  # at most MERGED times the wanted rows
+        found.setdefault(row["model"], []).append((row["race"], row["point"]))
+    return {m: np.array([p for _, p in sorted(rows)[:wanted_of[m]]]) for m, rows in found.items()}
+
+
+def draw_candidates(
+    data: DataFrame, sizes: dict[int, int], n_init: int, seed: int, key: str
+) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Per (group, start) weighted candidates for its centres, drawn from all rows in a few shared passes.
+
+    Candidates are drawn in rounds, each round more of them where rows are still far from all (parallel oversampling
+    for k-means++); a candidate's weight is the number of rows that are nearest to it.
+    """
+    hashed = data.withColumn("h", F.xxhash64(F.col(key), F.lit(seed)))
+    names = [(g, i) for g in sizes for i in range(n_init)]
+    held: dict[int, np.ndarray] = _draw(hashed, [(m, g, None, 1) for m, (g, _) in enumerate(names)], 0)
+    for turn in range(1, DRAW_ROUNDS + 1):
+        asked = [(m, g, held[m], DRAW_FACTOR * sizes[g]) for m, (g, _) in enumerate(names) if m in held]
+        for m, points in _draw(hashed, asked, turn).items():
+            held[m] = np.concatenate([held[m], points])
+    blocks = _scan(data, [(m, names[m][0], points) for m, points in held.items()], few_partitions(data))
+    return {names[m]: (points, blocks[m][:, 0]) for m, points in held.items()}
+
+
+def settled(candidates: tuple[np.ndarray, np.ndarray], k: int, seed: int, rounds: int = 25) -> np.ndarray:
+    """``k`` starting centres: k-means++ and Lloyd's iterations on the weighted candidates."""
+    points, weights = candidates
+    centres = plus_plus(points, k, seed, weights)
     for _ in range(rounds):
-        nearest = square_gaps(rows, centres).argmin(axis=1)
-        n = np.bincount(nearest, minlength=len(centres))[:, None]
-        moved = np.where(n > 0, (np.eye(len(centres))[nearest].T @ rows) / np.maximum(n, 1), centres)
+        nearest = square_gaps(points, centres).argmin(axis=1)
+        share = np.eye(len(centres))[nearest] * weights[:, None]
+        n = share.sum(axis=0)[:, None]
+        moved = np.where(n > 0, (share.T @ points) / np.maximum(n, 1), centres)
         if np.allclose(moved, centres):
             break
         centres = moved
     return centres
 
 
+def mean_variance(data: DataFrame) -> dict[int, float]:
+    """Mean variance of the features over all rows, per group."""
+    vector = array_to_vector(F.col("features")).alias("v")
+    group = F.col("grp").alias("g") if "grp" in data.columns else F.lit(0).alias("g")
+    rows = data.select(group, vector).groupBy("g").agg(Summarizer.variance(F.col("v")).alias("s")).collect()
+    return {row["g"]: float(row["s"].toArray().mean()) for row in rows}
+
+
 def fit_many(
-    data: DataFrame, starts: list[tuple[int, np.ndarray]], seeds: dict[int, np.ndarray], max_iter: int = 100,
-    tol: float = 1e-4,
+    data: DataFrame, starts: list[tuple[int, np.ndarray]], max_iter: int = 100, tol: float = 1e-4,
 ) -> list[Fit]:
     """Run Lloyd's iterations from all starts at once; ``data`` should be persisted.
 
-    ``starts`` are (group, centres) and ``seeds`` the seed rows per group; with
-    a ``grp`` column a start only sees the rows of its group.  A model stops
-    when its centres move by less than ``tol`` times the mean variance.
+    ``starts`` are (group, centres); with a ``grp`` column a start only sees the
+    rows of its group.  A model stops when its centres move by less than ``tol``
+    times the mean variance.
     """
     few = few_partitions(data)
-    centres = [_refined(seeds[g], c) for g, c in starts]
-    limit = {g: max(tol * float(rows.var(axis=0).mean()), 1e-12) for g, rows in seeds.items()}
+    centres = [c for _, c in starts]
+    limit = {g: max(tol * v, 1e-12) for g, v in mean_variance(data).items()}
     rounds = [0] * len(starts)
     active = list(range(len(starts)))
     for _ in range(max_iter):
@@ -172,28 +274,15 @@ def fit_many(
     return fits
 
 
-def seed_rows(data: DataFrame, key: str = "company_id", seed: int = 42) -> dict[int, np.ndarray]:
-    """Up to ``SEED_ROWS`` rows per group, chosen by hash (independent of partitioning)."""
-    order = [F.xxhash64(key, F.lit(seed)), F.col(key)]
-    if "grp" not in data.columns:
-        rows = data.orderBy(*order).limit(SEED_ROWS).select("features").collect()
-        return {0: np.array([row[0] for row in rows])}
-    rank = F.row_number().over(W.partitionBy("grp").orderBy(*order))
-    rows = data.withColumn("__rank", rank).where(F.col("__rank") <= SEED_ROWS).select("grp", "features").collect()
-    out: dict[int, list] = {}
-    for row in rows:
-        out.setdefault(row["grp"], []).append(row["features"])
-    return {g: np.array(v) for g, v in sorted(out.items())}
-
-
-def plus_plus(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Starting centres, each drawn with probability proportional to the squared distance so far."""
+def plus_plus(rows: np.ndarray, k: int, seed: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Starting centres, each drawn with probability proportional to its weight times the squared distance so far."""
     rng = np.random.default_rng(seed)
-    picked = [rows[rng.integers(len(rows))]]
+    weights = np.ones(len(rows)) if weights is None or not weights.sum() else weights
+    picked = [rows[rng.choice(len(rows), p=weights / weights.sum())]]
     gaps = ((rows - picked[0]) ** 2).sum(axis=1)
     while len(picked) < k:
-        total = gaps.sum()
-        i = rng.choice(len(rows), p=gaps / total) if total > 0 else rng.integers(len(rows))
+        total = (gaps * weights).sum()
+        i = rng.choice(len(rows), p=gaps * weights / total) if total > 0 else rng.integers(len(rows))
         picked.append(rows[i])
         gaps = np.minimum(gaps, ((rows - rows[i]) ** 2).sum(axis=1))
     return np.array(picked)
@@ -203,10 +292,9 @@ def kmeans_by_k(
     data: DataFrame, ks: list[int], n_init: int = 10, seed: int = 42, key: str = "company_id", max_iter: int = 100
 ) -> dict[int, Fit]:
     """Best of ``n_init`` starts for every K, all fitted together."""
-    seeds = seed_rows(data, key, seed)
-    sequences = [plus_plus(seeds[0], max(ks), seed + i) for i in range(n_init)]
-    starts = [(k, s[:k]) for k in ks for s in sequences]
-    fits = fit_many(data, [(0, c) for _, c in starts], seeds, max_iter)
+    drawn = draw_candidates(data, {0: max(ks)}, n_init, seed, key)
+    starts = [(k, settled(drawn[0, i], k, seed + i)) for k in ks for i in range(n_init)]
+    fits = fit_many(data, [(0, c) for _, c in starts], max_iter)
     best: dict[int, Fit] = {}
     for (k, _), fit in zip(starts, fits):
         if k not in best or fit.inertia < best[k].inertia:
@@ -222,10 +310,10 @@ def kmeans_in_groups(
     data: DataFrame, k_of_group: dict[int, int], n_init: int = 10, seed: int = 42, key: str = "company_id"
 ) -> dict[int, Fit]:
     """Separate K-Means inside every group of the ``grp`` column, all in the same scans."""
-    rows = seed_rows(data.where(F.col("grp").isin(*k_of_group)), key, seed)
-    starts = [(g, plus_plus(rows[g], k, seed + i)) for g, k in k_of_group.items() for i in range(n_init)]
+    drawn = draw_candidates(data, k_of_group, n_init, seed, key)
+    starts = [(g, settled(drawn[g, i], k, seed + i)) for g, k in k_of_group.items() for i in range(n_init)]
     best: dict[int, Fit] = {}
-    for fit in fit_many(data, starts, rows):
+    for fit in fit_many(data, starts):
         if fit.group not in best or fit.inertia < best[fit.group].inertia:
             best[fit.group] = fit
     return best
@@ -278,9 +366,9 @@ def stability_centres(
     """Mean shift of the centres over refits from other starts; stable up to 0.1."""
     from firmlens.operators.validate import centre_shift
 
-    seeds = seed_rows(data, key, seed)
-    starts = [(0, plus_plus(seeds[0], fit.k, seed + 1000 * (r + 1) + i)) for r in range(refits) for i in range(n_init)]
-    fits = fit_many(data, starts, seeds)
+    drawn = draw_candidates(data, {0: fit.k}, refits * n_init, seed + 1000, key)
+    starts = [(0, settled(drawn[0, i], fit.k, seed + 1000 + i)) for i in range(refits * n_init)]
+    fits = fit_many(data, starts)
     best = [min(fits[r * n_init:(r + 1) * n_init], key=lambda f: f.inertia) for r in range(refits)]
     shift = float(np.mean([centre_shift(b.centres, fit.centres) for b in best]))
     return shift, shift <= 0.1

@@ -13,7 +13,7 @@ from firmlens.functions.clean import require_target
 from firmlens.operators.profile_stats import dbl, varying_columns
 from firmlens.operators.quantiles import quantiles
 from firmlens.operators.vectors import Scaler, standard_scaler, to_vector
-from firmlens.session import lit_map, local_rows, packed
+from firmlens.session import lit_map, local_rows
 
 # fixed values: columns derived from a target, by name fragment
 LEAKS = {
@@ -79,7 +79,7 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "cluster",
     labels = sorted(counts)
     scaler = standard_scaler(train, features)
     code = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col(label)).cast("double") - 1
-    vec = packed(scaler.vector(train, "__x").select(to_vector("__x").alias("__v"), code.alias("__y")), sum(counts.values()))
+    vec = scaler.vector(train, "__x").select(to_vector("__x").alias("__v"), code.alias("__y"))
     vec = vec.persist()
     fitted = LogisticRegression(
         featuresCol="__v", labelCol="__y", family="multinomial", regParam=1.0 / (c * sum(counts.values())),
@@ -146,7 +146,7 @@ def forest_importance(
     code = {v: i for i, v in enumerate(sorted(counts))}
     kind = df.schema[label].dataType.simpleString()
     rows = df.select(to_vector_of(features).alias("__v"), lit_map(code, kind, "double")[F.col(label)].alias("__y"))
-    vec = packed(rows, sum(counts.values())).persist()
+    vec = rows.persist()
     model = RandomForestClassifier(
         featuresCol="__v", labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed).fit(vec)
     vec.unpersist()
@@ -199,7 +199,7 @@ def fit_linear(train: DataFrame, features: list[str], target: str, kind: str = "
     row = train.agg(F.count("*").alias("n"), F.stddev_pop(dbl(target)).alias("s")).first()
     reg, mix = penalty(kind, alpha, row["n"], row["s"] or 1.0)
     scaler = standard_scaler(train, features)
-    vec = packed(scaler.vector(train, "__x").select(to_vector("__x").alias("__v"), dbl(target).alias("__y")), row["n"])
+    vec = scaler.vector(train, "__x").select(to_vector("__x").alias("__v"), dbl(target).alias("__y"))
     vec = vec.persist()
     model = LinearRegression(
         featuresCol="__v", labelCol="__y", regParam=reg, elasticNetParam=mix, standardization=False, maxIter=2000, tol=1e-9,

@@ -92,10 +92,14 @@ def drop_null_rows(df: DataFrame, subset: list[str]) -> DataFrame:
 
 
 def varying_columns(df: DataFrame, cols: list[str]) -> list[str]:
-    """Numeric columns with a positive sample deviation, each once."""
+    """Numeric columns with two different values, each once (nulls do not count).
+
+    Smallest and largest value are compared: a computed deviation of a constant
+    is not always exactly 0.
+    """
     cols = list(dict.fromkeys(cols))
-    row = df.agg(*[F.stddev_samp(dbl(c)).alias(c) for c in cols]).first()
-    return [c for c in cols if (row[c] or 0) > 0]
+    row = df.agg(*[(F.min(dbl(c)) < F.max(dbl(c))).alias(c) for c in cols]).first() if cols else {}
+    return [c for c in cols if row[c]]
 
 
 def drop_zero_variance(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -123,11 +127,12 @@ def drop_single_category(df: DataFrame, cols: list[str]) -> DataFrame:
 def select_available_numeric(
     df: DataFrame, wanted: list[str] | None = None, exclude: list[str] | None = None
 ) -> list[str]:
-    """Wanted columns that exist, or every numeric column that is not excluded."""
-    if wanted is not None:
-        return [c for c in wanted if c in df.columns]
+    """Wanted numeric columns that exist, or every numeric column that is not excluded."""
     numeric = ("byte", "short", "int", "bigint", "float", "double", "decimal", "smallint", "tinyint")
-    return [c for c, t in df.dtypes if t.startswith(numeric) and c not in set(exclude or [])]
+    present = [c for c, t in df.dtypes if t.startswith(numeric)]
+    if wanted is not None:
+        return [c for c in wanted if c in present]
+    return [c for c in present if c not in set(exclude or [])]
 
 
 def dedupe(df: DataFrame) -> DataFrame:
@@ -283,7 +288,7 @@ def group_zscore(df: DataFrame, metrics: list[str], by: str) -> DataFrame:
     """
     moments = df.groupBy(by).agg(
         *[F.avg(dbl(m)).alias(f"__mean_{m}") for m in metrics],
-        *[F.stddev_samp(dbl(m)).alias(f"__std_{m}") for m in metrics],
+        *[F.when(F.min(dbl(m)) < F.max(dbl(m)), F.stddev_samp(dbl(m))).alias(f"__std_{m}") for m in metrics],
     )
     joined = lookup_join(df, moments.where(F.col(by).isNotNull()), [by])
     scores = {

@@ -17,9 +17,6 @@ from firmlens.session import bounded_collect, local_rows
 MAX_CLUSTERS = 10_000
 # Rows of one tile of the exact silhouette; a task sees two tiles at a time.
 TILE_ROWS = 2_048
-# Above this many rows a silhouette is estimated from anchors unless asked otherwise.
-EXACT_ROWS = 20_000
-ANCHORS = 2_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -128,18 +125,19 @@ def silhouettes(
     labels: list[str],
     features: str = "features",
     key: str = "company_id",
-    anchors: int | str | None = "auto",
+    anchors: int | None = None,
     distance=_distances,
 ) -> list[Silhouette]:
     """Mean Euclidean silhouette of each label column; distances are shared by all of them.
 
-    ``anchors=None`` is exact at any size: the rows are cut into tiles, every
-    pair of tiles is one small task, and only summed distances per row leave
-    it.  The work is quadratic by definition.  ``anchors=m`` measures ``m``
-    rows, picked by hash, against all rows in one linear pass (an unbiased
-    estimate, returned with its standard error).  ``auto`` is exact up to
-    ``EXACT_ROWS`` rows.
+    Exact at any size: the rows are cut into tiles, every pair of tiles is one
+    small task, and only summed distances per row leave it.  The work is
+    quadratic by definition.  Rows without a label in any column are left out.
+    ``anchors=m`` asks for another operator, an unbiased estimate: ``m`` rows,
+    picked by hash, are measured against all rows in one linear pass, and the
+    standard error is returned too.
     """
+    df = df.dropna(subset=labels)
     sizes = []
     coded = []
     for c in labels:
@@ -151,8 +149,6 @@ def silhouettes(
     total = int(sizes[0].sum())
     widths = [len(s) for s in sizes]
     base = df.select(F.col(key).alias("id"), F.col(features).alias("x"), F.array(*coded).alias("codes"))
-    if anchors == "auto":
-        anchors = None if total <= EXACT_ROWS else ANCHORS
     if anchors is None:
         sums = _tiled_sums(base, total, widths, distance)
     else:
@@ -256,18 +252,13 @@ def _add_up(parts: DataFrame) -> DataFrame:
 def adjusted_rand(df: DataFrame, a: str, b: str) -> float:
     """Adjusted Rand index of two label columns from their contingency counts."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    rows = bounded_collect(cells, MAX_CLUSTERS * 10, "label pairs")
-    by_a: dict = {}
-    by_b: dict = {}
-    for row in rows:
-        by_a[row[a]] = by_a.get(row[a], 0) + row["n"]
-        by_b[row[b]] = by_b.get(row[b], 0) + row["n"]
-
-    def pairs(counts):
-        return sum(n * (n - 1) / 2 for n in counts)
-
-    both, first, second = pairs(row["n"] for row in rows), pairs(by_a.values()), pairs(by_b.values())
-    every = pairs([sum(by_a.values())])
+
+    def pairs(counts: DataFrame) -> float:
+        return float(counts.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0)
+
+    both = pairs(cells)
+    first, second = (pairs(cells.groupBy(c).agg(F.sum("n").alias("n"))) for c in (a, b))
+    every = pairs(cells.agg(F.sum("n").alias("n")))
     expected = first * second / every if every else 0.0
     top = (first + second) / 2
     return 1.0 if top == expected else (both - expected) / (top - expected)

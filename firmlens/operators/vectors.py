@@ -43,7 +43,8 @@ class Scaler:
 def standard_scaler(df: DataFrame, cols: list[str]) -> Scaler:
     """Mean and population deviation (1 where there is no spread)."""
     row = df.agg(
-        *[F.avg(dbl(c)).alias(f"{c}|m") for c in cols], *[F.stddev_pop(dbl(c)).alias(f"{c}|s") for c in cols]
+        *[F.avg(dbl(c)).alias(f"{c}|m") for c in cols],
+        *[F.when(F.min(dbl(c)) < F.max(dbl(c)), F.stddev_pop(dbl(c))).alias(f"{c}|s") for c in cols],
     ).first()
     return Scaler(list(cols), [row[f"{c}|m"] or 0.0 for c in cols], [row[f"{c}|s"] or 1.0 for c in cols], "standard")
 
@@ -80,9 +81,14 @@ class Moments:
     corr: np.ndarray
 
 
+def complete_vectors(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as one vector ``v``; rows with a null or NaN in any of them are left out."""
+    return df.select(*[dbl(c).alias(c) for c in cols]).dropna().select(array_to_vector(F.array(*cols)).alias("v"))
+
+
 def moments(df: DataFrame, cols: list[str]) -> Moments:
     """Count, means, covariance and correlation of complete rows, from JVM-side passes."""
-    vec = df.select(array_to_vector(F.array(*[dbl(c) for c in cols])).alias("v"))
+    vec = complete_vectors(df, cols)
     row = vec.agg(
         Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s")
     ).select("s.count", "s.mean", "s.variance").first()
@@ -188,7 +194,7 @@ def _fix_signs(components: np.ndarray) -> np.ndarray:
 def pca(df: DataFrame, cols: list[str], k: int | None = None) -> Projection:
     """Principal components of complete rows; unlike the built-in model the projection is centred."""
     k = min(k or len(cols), len(cols))
-    vec = df.select(array_to_vector(F.array(*[dbl(c) for c in cols])).alias("v"))
+    vec = complete_vectors(df, cols)
     model = PCA(k=k, inputCol="v", outputCol="p").fit(vec)
     mean = vec.agg(Summarizer.mean(F.col("v")).alias("m")).first()[0].toArray()
     return Projection(list(cols), mean, _fix_signs(model.pc.toArray()), model.explainedVariance.toArray())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.functions.clean import parse_range
 from firmlens.functions.resolve import Roles, resolve_roles
 from firmlens.operators.profile_stats import describe, missing_profile, value_counts
 
@@ -18,6 +19,9 @@ def explore(df: DataFrame, roles: Roles | None = None, top: int = 5) -> DataFram
     roles = roles or resolve_roles(df.columns)
     numeric = list(dict.fromkeys(roles.numeric[x] for x in NUMERIC_ROLES if x in roles.numeric))
     categorical = [roles.category[x] for x in CATEGORY_ROLES if x in roles.category]
+    # Numbers may come as text, ranges among them; what cannot be read counts as missing.
+    kinds = dict(df.dtypes)
+    df = df.withColumns({c: parse_range(F.col(c)) for c in numeric if kinds[c] == "string"})
     missing = missing_profile(df, numeric).select("feature", F.explode(F.create_map(
         F.lit("count"), F.col("missing").cast("double"), F.lit("pct"), F.col("missing_pct"))).alias("metric", "value"))
     stats = describe(df, numeric).withColumn("n", F.col("n").cast("double"))

@@ -163,7 +163,7 @@ def preprocess(df: DataFrame, as_of_year: int, use_text: bool = True, max_terms:
 # --- choosing K ------------------------------------------------------------------------------------------
 
 def k_sweep(
-    data: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42, key: str = "company_id", anchors="auto"
+    data: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42, key: str = "company_id", anchors: int | None = None
 ) -> tuple[DataFrame, dict[int, km.Fit]]:
     """Inertia, silhouette, Davies-Bouldin and Calinski-Harabasz for K = 2 .. max_k + 1."""
     n = data.count()
@@ -181,7 +181,7 @@ def k_sweep(
 
 
 def kmeans_grid(
-    data: DataFrame, n_init: int = 10, seed: int = 42, key: str = "company_id", anchors="auto"
+    data: DataFrame, n_init: int = 10, seed: int = 42, key: str = "company_id", anchors: int | None = None
 ) -> tuple[DataFrame, dict[int, km.Fit]]:
     """K = 2 .. max(3, min(15, n // 100)) - 1, scored 0.6 silhouette + 0.4 Calinski-Harabasz / 1000."""
     ks = grid_ks(data.count())

@@ -101,12 +101,6 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df
 
 
-def packed(df: DataFrame, rows: int) -> DataFrame:
-    """Fewer partitions for iterative fits over a small table; large tables are left alone."""
-    wanted = max(1, -(-rows // ROWS_PER_FIT_TASK))
-    return df.coalesce(wanted) if wanted < df.sparkSession.sparkContext.defaultParallelism else df
-
-
 def lit_map(values: dict, key_type: str, value_type: str) -> Column:
     """A literal map column from a small dict."""
     pairs = []

@@ -66,5 +66,5 @@ def cached_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _cached:
-        _cached[key] = spread_out(company_table(spark, sf_dir).persist())
+        _cached[key] = spread_out(company_table(spark, sf_dir)).persist()
     return _cached[key]
