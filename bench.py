@@ -23,7 +23,7 @@ HEADLINE = [
     "analyze_clusters", "build_personas", "chi_square_all", "anova", "preprocess", "robust_scale", "vif_prune",
     "pca_projection", "silhouette", "davies_bouldin", "adjusted_rand", "tfidf_descriptions", "tfidf_documents",
     "kmeans", "k_sweep", "gmm_bic", "dbscan", "kmedoids_gower", "hierarchical_segments", "two_tier",
-    "logistic_drivers", "linear_analysis", "forest_importance", "run_full",
+    "logistic_drivers", "linear_analysis", "forest_importance", "run_full", "kfold_accuracy", "kmeans_of_vectors",
 ]
 
 

@@ -421,3 +421,69 @@ def test_pipelines_report(companies):
     assert report.columns == ["section", "subject", "metric", "value"]
     sections = {r[0] for r in report.select("section").distinct().collect()}
     assert {"grid", "choice", "sizes", "profile", "importance"} <= sections
+
+
+# --- constants, nulls, texts ----------------------------------------------------------------
+
+
+def test_constant_columns_over_partition_counts(spark):
+    rows = [(i, 7.0, 0.1 + 0.2, float(i % 3), None if i % 2 else 5.0, "a" if i % 2 else "b") for i in range(150)]
+    df = spark.createDataFrame(rows, "company_id long, c double, d double, v double, n double, g string")
+    for parts in (1, 4, 16):
+        split = df.repartition(parts)
+        assert ps.varying_columns(split, ["c", "d", "v", "n"]) == ["v"]
+        assert ps.drop_zero_variance(split, ["c", "d", "v"]).columns == ["company_id", "v", "n", "g"]
+        scores = ps.group_zscore(split, ["c", "v"], "g").agg(F.max(F.abs("c_g_zscore")), F.max(F.abs("v_g_zscore"))).first()
+        assert scores[0] == 0 and scores[1] > 0.5
+        scaler = ve.standard_scaler(split, ["c", "v"])
+        assert scaler.scale[0] == 1.0 and scaler.scale[1] > 0.5
+    assert ps.varying_columns(df.limit(0), ["c"]) == [] and ps.varying_columns(df, []) == []
+
+
+def test_vector_statistics_leave_incomplete_rows_out(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 3))
+    rows = [(float(a), float(b), float(c)) for a, b, c in x]
+    holes = [(None, 1.0, 2.0), (float("nan"), 50.0, 1.0), (3.0, None, None)]
+    full, holed = (spark.createDataFrame(r, "a double, b double, c double") for r in (rows, rows + holes))
+    for fit in (lambda d: ve.moments(d, ["a", "b", "c"]).cov, lambda d: ve.pca(d, ["a", "b", "c"]).components, lambda d: ve.truncated_svd(d, ["a", "b", "c"], 2).components):
+        np.testing.assert_allclose(fit(full), fit(holed), atol=1e-9)
+
+
+def test_silhouette_skips_rows_without_a_label(blobs):
+    some = blobs.withColumn("truth", F.when(F.col("company_id") % 7 != 0, F.col("truth")))
+    assert va.silhouette(some, "truth").score == pytest.approx(va.silhouette(some.dropna(), "truth").score)
+
+
+def test_rand_index_needs_no_cells_on_the_driver(spark):
+    rows = [(i, i // 2, i // 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "company_id long, a long, b long")
+    pairs = sum(1 for i in range(2999) for j in (i + 1,) if i // 2 == j // 2 and i // 3 == j // 3)
+    a, b, n = 1500, 1000 * 3, 3000 * 2999 / 2
+    expected = a * b / n
+    assert va.adjusted_rand(df, "a", "b") == pytest.approx((pairs - expected) / ((a + b) / 2 - expected))
+
+
+def test_first_look_at_text_numbers(spark):
+    from firmlens.plans.explore import explore
+
+    rows = [("1 to 10", "12.5", "HQ"), ("n/a", "x", "Branch"), ("11-50", None, "HQ")]
+    df = spark.createDataFrame(rows, "employees string, revenue string, entity_type string")
+    got = {(r.section, r.subject, r.metric): r.value for r in explore(df).collect()}
+    assert got["missing", "employees", "count"] == 1 and got["missing", "revenue", "count"] == 2
+    assert got["describe", "employees", "mean"] == pytest.approx((5.5 + 30.5) / 2)
+
+
+def test_wanted_columns_must_be_numeric(spark):
+    df = spark.createDataFrame([(1, "x", 2.0)], "a int, b string, c double")
+    assert ps.select_available_numeric(df, wanted=["c", "b", "z"]) == ["c"]
+
+
+def test_starts_are_drawn_from_all_rows(spark):
+    # One far group of 5 rows among 6000: any start that looked at few rows only would miss it.
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=2)]) for i in range(6000)] + [(6000 + i, [300.0 + i, 300.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "company_id long, features array<double>")
+    one, many = (km.kmeans(df.repartition(p).persist(), 2, n_init=1) for p in (1, 9))
+    assert sorted(one.n) == [5, 6000]
+    np.testing.assert_allclose(one.centres, many.centres, atol=1e-6)
