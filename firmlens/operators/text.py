@@ -67,17 +67,18 @@ class TfIdf:
 def fit_tfidf(df: DataFrame, text: Column, max_features: int = 100) -> TfIdf:
     """The most frequent terms (ties: alphabetical) with weight ln((1+N)/(1+df)) + 1."""
     rows = term_column(spread_out(df.select(text.alias("__text"))), F.col("__text"))
-    vocabulary = [
-        r["term"]
-        for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "term").limit(max_features).collect()
-    ]
-    if not vocabulary:
+
+    def entry(term: Column, uses: int, texts: int) -> Column:
+        return F.struct(term.alias("term"), F.lit(uses).alias("uses"), F.lit(texts).alias("texts"))
+
+    # Uses, texts and the number of all texts (under the empty term) from one pass over the words.
+    entries = F.concat(
+        F.transform("terms", lambda t: entry(t, 1, 0)), F.transform(F.array_distinct("terms"), lambda t: entry(t, 0, 1)),
+        F.array(entry(F.lit(""), 0, 1)))
+    counts = rows.select(F.explode(F.coalesce(entries, F.array(entry(F.lit(""), 0, 1)))).alias("e")).groupBy("e.term").agg(
+        F.sum("e.uses").alias("uses"), F.sum("e.texts").alias("texts"))
+    top = counts.orderBy(F.desc(F.col("term") == ""), F.desc("uses"), "term").limit(max_features + 1).collect()
+    if len(top) < 2:
         raise ValueError("no terms in the text columns")
-    wanted = F.array(*[F.lit(t) for t in vocabulary])
-    found = dict(
-        rows.select(F.explode(F.array_intersect("terms", wanted)).alias("term")).groupBy("term")
-        .agg(F.count("*").alias("n")).collect()
-    )
-    n = df.count()
-    return TfIdf(vocabulary, [math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in vocabulary])
+    n = top[0]["texts"]
+    return TfIdf([r["term"] for r in top[1:]], [math.log((1 + n) / (1 + r["texts"])) + 1 for r in top[1:]])
