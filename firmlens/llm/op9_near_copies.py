@@ -4,7 +4,8 @@ A text's set are the hashes of its distinct k-word shingles.  Two permutations
 of the 32-bit values make all signature coordinates: the first scatters the
 set once, the second, shifted circularly by one place per coordinate, ranks it;
 a coordinate is the least rank.  Rows of the signature form bands; texts that
-share a band are candidates.
+share a band are candidates, unless the low bits of their coordinates differ in
+more places than likeness allows (short of five standard deviations).
 
 Documents with equal sets are one node.  In rounds, the nodes of a band are
 compared with a leader of it that is drawn by hash, and links are contracted to
@@ -35,7 +36,9 @@ from firmlens.llm.words import WordHashes, distinct, mix32, mix64, shingles
 # A pair of likeness 0.8 misses all 64 bands of 8 rows with probability (1 - 0.8**8)**64 = 8e-6.
 BANDS, ROWS = 64, 8
 # Rounds in which the members of a band are compared with one leader, before all pairs that are left.
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+# Longs of low bits that keep pairs with no chance of the likeness out of the verification.
+LONGS = 4
 _SCATTER = (0x9E3779B1, 0x85EBCA77)
 _RANK = (0x85EBCA6B, 0xC2B2AE35)
 
@@ -60,8 +63,23 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def low_bits(signature: np.ndarray) -> np.ndarray:
+    """(texts x LONGS): the lowest bits of the first 64 * LONGS coordinates."""
+    odd = (signature[np.arange(64 * LONGS) % len(signature)] & np.uint32(1)).astype(np.uint8)
+    return np.ascontiguousarray(np.packbits(odd.T, axis=1)).view(np.int64)
+
+
+def most_differing(percent: int) -> int:
+    """Low bits in which two texts of that likeness differ at most, but for five standard deviations' chance.
+
+    Coordinates that disagree have equal low bits half of the time.
+    """
+    n, p = 64 * LONGS, (1 - percent / 100) / 2
+    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5) + 1
+
+
 def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands) of every row; the two set numbers name the set."""
+    """(doc_id, n_shingles, set_a, set_b, bands, low) of every row; the two set numbers name the set."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,18 +90,20 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
             full = np.flatnonzero(sizes)
             first = (np.cumsum(sizes) - sizes)[full]
             names = np.zeros((2, len(sizes)), np.int64)
-            keys = np.zeros((0, bands), np.uint64)
+            keys, low = np.zeros((0, bands), np.uint64), np.zeros((0, LONGS), np.int64)
             if len(full):
                 names[0, full] = np.add.reduceat(mix64(own + np.uint64(1)), first).view(np.int64)
                 names[1, full] = np.bitwise_xor.reduceat(mix64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first).view(np.int64)
-                keys = band_keys(signatures(own, first, bands * rows), bands, rows)
+                signature = signatures(own, first, bands * rows)
+                keys, low = band_keys(signature, bands, rows), low_bits(signature)
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+            lows = pa.ListArray.from_arrays(pa.array(ends // bands * LONGS), pa.array(low.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(names[0]), pa.array(names[1]), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"]
+                [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(names[0]), pa.array(names[1]), lists, lows], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "low"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, low array<long>")
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -121,16 +141,17 @@ def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "own_a", "own_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _may_reach(n_a: Column, n_b: Column, percent: int) -> Column:
-    """Sizes that allow the likeness at all."""
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
+def _may_reach(n_a: Column, n_b: Column, low_a: Column, low_b: Column, percent: int) -> Column:
+    """Sizes that allow the likeness, and signatures that do not speak against it."""
+    differ = sum((F.bit_count(low_a[k].bitwiseXOR(low_b[k])) for k in range(1, LONGS)), F.bit_count(low_a[0].bitwiseXOR(low_b[0])))
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differ <= most_differing(percent))
 
 
 def _leader_pairs(state: DataFrame, percent: int, round_: int) -> DataFrame:
     """Distinct pairs (a, b) of each band's leader, drawn by hash anew in every round, with the members of other components."""
     draw = F.xxhash64("band", "node", F.lit(round_))
-    leaders = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n", "component"), draw).alias("leader")).where("lo < hi")
-    met = state.join(leaders, "band").where((F.col("component") != F.col("leader.component")) & _may_reach(F.col("n"), F.col("leader.n"), percent))
+    leaders = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n", "component", "low"), draw).alias("leader")).where("lo < hi")
+    met = state.join(leaders, "band").where((F.col("component") != F.col("leader.component")) & _may_reach(F.col("n"), F.col("leader.n"), F.col("low"), F.col("leader.low"), percent))
     return met.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
 
 
@@ -138,8 +159,8 @@ def _pairs_apart(state: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) that share a band and not the component."""
     mixed = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     apart = cut_lineage(state.join(mixed, "band", "left_semi"))
-    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component")]) for side in "ab")
-    open_ = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _may_reach(F.col("n_a"), F.col("n_b"), percent)
+    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "low")]) for side in "ab")
+    open_ = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _may_reach(F.col("n_a"), F.col("n_b"), F.col("low_a"), F.col("low_b"), percent)
     met = left.join(right, (left["band"] == right["band"]) & open_)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -149,14 +170,14 @@ def link(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: i
     sketch = cut_lineage(sketches(docs, k, bands, rows))
     of_set = ["set_a", "set_b", "n_shingles"]
     named = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = cut_lineage(named.groupBy(*of_set).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
+    nodes = cut_lineage(named.groupBy(*of_set).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("low", "doc_id").alias("low")))
     band_rows = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     shared = band_rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    candidates = cut_lineage(band_rows.join(shared, "band", "left_semi"))
+    candidates = cut_lineage(band_rows.join(shared, "band", "left_semi").join(nodes.select("node", "low"), "node"))
     used = cut_lineage(candidates.select(F.col("node").alias("doc_id")).distinct())
     own = cut_lineage(sets(docs.select("doc_id", "text").join(checked_broadcast(used), "doc_id", "left_semi"), k))
     # Rows of one doc_id with several sets: the id links them.
-    twice = named.groupBy("doc_id", *of_set).agg(F.lit(1).alias("one")).join(nodes.drop("bands"), of_set).where("doc_id <> node")
+    twice = named.groupBy("doc_id", *of_set).agg(F.lit(1).alias("one")).join(nodes.drop("bands", "low"), of_set).where("doc_id <> node")
     links = twice.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
     final, compared = components(cut_lineage(links)), None
     for round_ in range(LEADER_ROUNDS + 1):
@@ -170,7 +191,7 @@ def link(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: i
         final = cut_lineage(components(verified(pairs, own, percent).union(known)))
     by_set = nodes.select(*of_set, "node").join(final, "node", "left").select(*of_set, F.coalesce("component", "node").alias("component"))
     # Copies of one text share a set: the joint side has one row per set, and hot sets are split by the engine.
-    joined = sketch.drop("bands").join(by_set, of_set, "left")
+    joined = sketch.drop("bands", "low").join(by_set, of_set, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
