@@ -46,8 +46,6 @@ REPORT_BYTES = 24 << 20
 SORT_BYTES = 6 << 20
 # From so many documents on, a minimizer's windows are dealt by a second one too.
 FREQUENT = 20_000
-# Documents whose answers or ranges (some dozens of bytes each) may be sent to every task.
-BROADCAST_DOCS = 300_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -127,7 +125,7 @@ def reports(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
 
 
 def answers(reported: DataFrame, frequent: int) -> DataFrame:
-    """(doc_id, bucket, shared, hot): bits in the order of the report; only documents with a shared minimizer."""
+    """(doc_id, bucket, shared, hot): bits in the order of the report, ``hot`` empty where none is; only documents with a shared minimizer."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -143,7 +141,7 @@ def answers(reported: DataFrame, frequent: int) -> DataFrame:
         ends = np.cumsum(counts)
         any_shared = np.add.reduceat(shared, ends - counts) > 0 if len(ends) else np.zeros(0, bool)
         rows = np.flatnonzero(any_shared)
-        pieces = [(np.packbits(shared[ends[i] - counts[i] : ends[i]]).tobytes(), np.packbits(hot[ends[i] - counts[i] : ends[i]]).tobytes()) for i in rows]
+        pieces = [(np.packbits(shared[ends[i] - counts[i] : ends[i]]).tobytes(), np.packbits(hot[ends[i] - counts[i] : ends[i]]).tobytes() if hot[ends[i] - counts[i] : ends[i]].any() else b"") for i in rows]
         return pa.table(
             {
                 "doc_id": pa.array(docs[rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()),
@@ -163,7 +161,8 @@ def _flags(values: np.ndarray, bits: list[dict], n_buckets: int) -> tuple[np.nda
     for answer in bits:
         a, b = runs[answer["bucket"]]
         shared[order[a:b]] = np.unpackbits(np.frombuffer(answer["shared"], np.uint8), count=b - a).astype(bool)
-        hot[order[a:b]] = np.unpackbits(np.frombuffer(answer["hot"], np.uint8), count=b - a).astype(bool)
+        if answer["hot"]:
+            hot[order[a:b]] = np.unpackbits(np.frombuffer(answer["hot"], np.uint8), count=b - a).astype(bool)
     return shared, hot
 
 
@@ -447,14 +446,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, frequent: int = FREQUENT
     first = named.join(checked_broadcast(whole.select("doc_id")), "doc_id", "left_anti")
     bits = answers(reports(first, width, n_reports), frequent)
     bits = cut_lineage(bits.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("bits")))
-    found = marked(stretches(first.join(checked_broadcast(bits, BROADCAST_DOCS), "doc_id"), width, n_reports, n_sorts), width)
+    # Ids are narrow and may be sent to every task; the answers go by a join that only the texts in question take part in.
+    asked = first.join(checked_broadcast(bits.select("doc_id")), "doc_id", "left_semi").join(bits.hint("merge"), "doc_id")
+    found = marked(stretches(asked, width, n_reports, n_sorts), width)
     ranges = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("ranges"))
     zero = F.array(F.struct(F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("ends")))
     ranges = cut_lineage(ranges.unionByName(whole.select("doc_id", zero.alias("ranges"))))
-    joined = rows.join(checked_broadcast(ranges, BROADCAST_DOCS), "doc_id", "left")
+    ids = checked_broadcast(ranges.select("doc_id").distinct())
+    touched = rows.join(ids, "doc_id", "left_semi").join(ranges.hint("merge"), "doc_id")
     text = F.coalesce(F.col("text"), F.lit(""))
-    untouched = joined.where(F.col("ranges").isNull()).select(
+    untouched = rows.join(ids, "doc_id", "left_anti").select(
         "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2(text, 256).alias("kept_sha256"), *([text.cast("binary").alias("kept")] if with_text else []),
     )
-    return untouched.unionByName(_drop(joined.where(F.col("ranges").isNotNull()), with_text))
+    return untouched.unionByName(_drop(touched, with_text))
