@@ -38,7 +38,7 @@ BANDS, ROWS = 64, 8
 # Rounds in which the members of a band are compared with one leader, before all pairs that are left.
 LEADER_ROUNDS = 2
 # Longs of low bits that keep pairs with no chance of the likeness out of the verification.
-LONGS = 4
+LONGS = 8
 _SCATTER = (0x9E3779B1, 0x85EBCA77)
 _RANK = (0x85EBCA6B, 0xC2B2AE35)
 
