@@ -329,3 +329,12 @@ def test_redaction_keeps_rows_and_columns(odd_docs, no_docs):
     assert row.n_chars == len(row.text)
     again = op10_secrets.redact(out).where("doc_id = 12").first()
     assert again.text == row.text and op10_secrets.redact(no_docs).count() == 0
+
+
+def test_filter_loses_no_span(spark):
+    texts = ['ACCESS = "aB3dE5fG7hJ9kL1m"', 'api: "aB3dE5fG7hJ9kL1m"', 'to_ken = "aB3dE5fG7hJ9kL1m"', 'db_pwd => "aB3dE5fG7hJ9kL1m"', "no sign of aB3dE5fG7hJ9kL1m"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in op10_secrets.find_secrets(docs).collect()}
+    assert found == {i: op10_secrets.spans_of(t) for i, t in enumerate(texts)}
+    assert [r.n_named for r in op10_secrets.digests(docs).orderBy("doc_id").collect()] == [1, 1, 1, 1, 0]
+    assert [r.text.count("[named]") for r in op10_secrets.redact(docs).orderBy("doc_id").collect()] == [1, 1, 1, 1, 0]
