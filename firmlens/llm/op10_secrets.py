@@ -5,7 +5,8 @@ ones dropped.  The lexer reads source and configuration syntax into pairs of a
 target name and an expression of literals and names (``name = "a" + OTHER``,
 ``"name": "value"``, ``name: value``, ``name => value``).  A name that was
 assigned before stands for its literals, so constants reach the names they are
-passed on to.  Each literal of a pair is scored by the words of the target name
+passed on to.  Pairs inside a literal are read as well, behind its escapes.  Each
+literal of a pair is scored by the words of the target name
 and by its own look; from ``THRESHOLD`` on it is a span of kind ``named``, unless
 a base span covers it already.
 
@@ -17,6 +18,7 @@ table gives no rows; other columns are kept by ``redact`` and ignored elsewhere.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,11 +37,14 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 # Lexing: a target, an operator, and the terms behind it.
-_TARGET = re.compile(r"""(?<![\w.$-])(["'`]?)([A-Za-z_$][\w.$-]*)\1\s{0,4}(:=|=>|=(?![=~])|:(?![:/]))[ \t]*""", re.ASCII)
+_TARGET = re.compile(r"""(?<![\w.$-])(["'`]?)([A-Za-z_$][\w.$-]*+)\1\s*+(:=|=>|=(?![=~])|:(?![:/]))[ \t]*""", re.ASCII)
 _TERM = re.compile(
-    r"""(?:[bBfFrRuU]{0,2})(?:"((?:[^"\\\n]|\\.){1,4096})"|'((?:[^'\\\n]|\\.){1,4096})'|`([^`\n]{1,4096})`)|([A-Za-z_$][\w.$]*)(?![\w+/=-])|([^\s,;"'`#{}()\[\]]+)""", re.ASCII
+    r"""(?:[bBfFrRuU]{0,2})(?:"((?:[^"\\\n]++|\\.)++)"|'((?:[^'\\\n]++|\\.)++)'|`([^`\n]++)`)|([A-Za-z_$][\w.$]*)(?![\w+/=-])|([^\s,;"'`#{}()\[\]]+)""", re.ASCII
 )
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*\\?\n?[ \t]*|[ \t]+(?=[\"'])")
+_SIGN = re.compile("[:=]")
+_ESCAPE = re.compile(r"""\\([\\"'`/nrt])""")
+_BLANKS = {"n": "\n", "r": "\r", "t": "\t"}
 # How much a word of the target's name says: for a secret, or against.
 NAME_WORDS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0,
@@ -79,6 +84,23 @@ def literal_score(value: str, quoted: bool) -> float:
     return score if quoted else score - 0.1 if any(c.isdigit() for c in value) else -1.0
 
 
+def unescaped(raw: str) -> tuple[str, list[int]]:
+    """The text that a literal stands for, and the places in it that took two characters."""
+    parts, places, at, length = [], [], 0, 0
+    for m in _ESCAPE.finditer(raw):
+        parts += [raw[at : m.start()], _BLANKS.get(m[1], m[1])]
+        length += m.start() - at
+        places.append(length)
+        length, at = length + 1, m.end()
+    return "".join([*parts, raw[at:]]), places
+
+
+def _inner_spans(raw: str, start: int) -> list[tuple[int, int]]:
+    """Spans of pairs inside a literal that starts at ``start``; each level of nesting needs other quotes or twice the escapes, so levels are few."""
+    text, places = unescaped(raw)
+    return [(start + a + bisect_left(places, a), start + b + bisect_left(places, b)) for a, b in named_spans(text)]
+
+
 def named_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive target name."""
     constants: dict[str, list[tuple[int, int, bool]]] = {}
@@ -90,6 +112,9 @@ def named_spans(text: str) -> list[tuple[int, int]]:
             literal = next((k for k in (1, 2, 3) if t[k] is not None), 0)
             if literal:
                 parts.append((*t.span(literal), True))
+                # Nested pairs (JSON in JSON, connection strings) are read from inside the literal too.
+                if _SIGN.search(text, *t.span(literal)):
+                    found |= dict.fromkeys(_inner_spans(t[literal], t.start(literal)))
             elif t[4] is not None and t[4] in constants:
                 parts += constants[t[4]]
             elif t[5] is not None or t[4] is not None:
@@ -106,7 +131,6 @@ def named_spans(text: str) -> list[tuple[int, int]]:
                 value = "".join(text[a:b] for a, b, _ in parts)
                 if by_name + literal_score(value, any(q for _, _, q in parts)) >= THRESHOLD:
                     found |= {(a, b): None for a, b, _ in parts if b > a}
-        # Nested pairs (JSON in JSON, a call's arguments) are read from inside the value too.
         at = max(m.end(), place if parts else m.end())
     return sorted(found)
 

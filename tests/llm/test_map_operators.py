@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -338,3 +339,29 @@ def test_filter_loses_no_span(spark):
     assert found == {i: op10_secrets.spans_of(t) for i, t in enumerate(texts)}
     assert [r.n_named for r in op10_secrets.digests(docs).orderBy("doc_id").collect()] == [1, 1, 1, 1, 0]
     assert [r.text.count("[named]") for r in op10_secrets.redact(docs).orderBy("doc_id").collect()] == [1, 1, 1, 1, 0]
+
+
+LONG = "aB3dE5fG7hJ9" * 1000
+
+
+@pytest.mark.parametrize(
+    ("text", "secrets"),
+    [
+        ('db_pwd               = "Xk29vQ8LmN4z"', ["Xk29vQ8LmN4z"]), ("signing_key\t\t\t\t\t\t:= 'Zx81Qw92Er73Ty64'", ["Zx81Qw92Er73Ty64"]),
+        (f'db_pwd = "{LONG}"', [LONG]), (f"db_pwd = '{LONG}' + `{LONG}`", [LONG]),
+        ('connection = "host=db;pwd=Xk29vQ8LmN4z"', ["Xk29vQ8LmN4z"]), ("a = 'b=\"db_pwd: `Xk29vQ8LmN4z`\"'", ["Xk29vQ8LmN4z"]),
+        (r'{"body": "{\"db_pwd\": \"Xk29vQ8LmN4z\", \"n\": 1}"}', ["Xk29vQ8LmN4z"]), (r'a = "\ttab\ndb_pwd=Xk29vQ8LmN4z\n"', ["Xk29vQ8LmN4z"]),
+        (r'{"a": "{\"b\": \"{\\\"db_pwd\\\": \\\"Xk29vQ8LmN4z\\\"}\"}"}', ["Xk29vQ8LmN4z"]),
+    ],
+)
+def test_no_bound_on_blanks_literals_and_nesting(text, secrets):
+    spans = [text[a:b] for a, b in op10_secrets.named_spans(text)]
+    assert spans == secrets * (len(spans) // len(secrets)) and spans
+    assert not any(s in op10_secrets.masked(text, op10_secrets.spans_of(text)) for s in secrets)
+
+
+def test_lexer_takes_long_texts_in_linear_time():
+    size, begin = 2_000_000, time.process_time()
+    for text in ("db_pwd" + " " * size, 'pwd="' * (size // 5), "pwd='" + "\\'" * (size // 2), "a" * size + "=", 'a = "' + 'b=\\"' * (size // 4) + '"', "pwd = " + "\\" * size + '"x"'):
+        op10_secrets.named_spans(text)
+    assert time.process_time() - begin < 60
