@@ -190,9 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_DOCS) -> Mod
     table = np.zeros((2, MAX_DISTANCE + 1))
     for r in held.groupBy("toxic", "distance").agg(F.count("*").alias("n")).collect():
         table[r["toxic"], r["distance"]] = r["n"]
-    # The sample holds labels in other shares than the table: weigh them back.
+    # The sample holds labels in other shares than the table: weigh them back, both by the sizes before any change.
+    factor = min(1.0, table.sum() / sum(counts.values()))
     for label in (0, 1):
-        table[label] *= counts[label] / max(1.0, table[label].sum()) * min(1.0, table.sum() / sum(counts.values()))
+        table[label] *= counts[label] / max(1.0, table[label].sum()) * factor
     model.scores = _monotone(table[1], table.sum(axis=0), prior)
     return model
 

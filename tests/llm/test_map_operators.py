@@ -155,6 +155,19 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     assert op5_toxicity.score(no_docs, op5_toxicity.fit(no_docs, one)).count() == 0
 
 
+def test_sampled_labels_keep_their_shares(spark, monkeypatch):
+    rows = [(i, f"plain words number {'abcdefghij'[i % 10] * 3} here" + (f" vile {'klmnop'[i % 6] * 3}" if i % 10 == 0 else "") + "".join(" " + chr(97 + int(d)) * 2 for d in str(i))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (docs.doc_id % 10 == 0).cast("int").alias("toxic"))
+    kept = labels.where(~op5_toxicity.held_out())
+    share = kept.where("toxic = 1").count() / kept.count()
+    seen = []
+    monkeypatch.setattr(op5_toxicity, "_monotone", lambda toxic, total, prior: seen.append((toxic.sum(), total.sum())) or [prior] * len(total))
+    for per_label in (op5_toxicity.SAMPLE_DOCS, 200):
+        op5_toxicity.fit(docs, labels, per_label)
+    assert [round(t / n, 9) for t, n in seen] == [round(share, 9)] * 2
+
+
 # --- shards
 
 
