@@ -175,7 +175,7 @@ def mixed(spark, sf_dir):
 @query("kmedoids_gower", "C5")
 def _(spark, sf_dir):
     data, weights = mixed(spark, sf_dir)
-    k, _, scores = cs.best_medoids(data, weights, [2, 3, 4, 5])
+    k, _, scores = cs.best_medoids(data, weights, pl.grid_ks(data.count()))
     return local_rows(spark, [(i, s.score, int(i == k)) for i, s in scores.items()], "k int, silhouette double, chosen int")
 
 

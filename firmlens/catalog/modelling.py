@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from firmlens.catalog.base import (
@@ -9,6 +10,7 @@ from firmlens.catalog.base import (
 )
 from firmlens.catalog.cleaning import raw
 from firmlens.catalog.stats import METRIC_SQL
+from firmlens.catalog.validation import tfidf_sql
 from firmlens.functions import ratios
 from firmlens.operators import features as ft
 from firmlens.operators import kmeans as km
@@ -154,12 +156,20 @@ PREP = (
 @query("preprocess", "L2", on_company(
     "SELECT company_id, " + ", ".join(f"round(({c}-avg({c}) OVER ())/stddev_pop({c}) OVER (),5) AS {c}" for c in [*ROLE_COLS, "mvr", "iti"]) + " FROM ind1", *PREP))
 def _(spark, sf_dir):
-    prepared = pl.preprocess(company(spark, sf_dir), Y, use_text=False)
+    prepared = pl.preprocess(company(spark, sf_dir), Y)
     names = [*ROLE_COLS, "market_value_to_revenue_ratio", "it_investment_intensity"]
     out = [F.get("features", F.lit(prepared.numeric.index(n))) for n in names]
     return prepared.frame.select("company_id", *[r(c, 5).alias(a) for c, a in zip(out, [*ROLE_COLS, "mvr", "iti"])])
 
 
+# The one column that the text roles find here.
+@query("preprocess_text", "L2,X1", tfidf_sql("company", "company_id", "coalesce(nace_desc,'')"))
+def _(spark, sf_dir):
+    prepared = pl.preprocess(company(spark, sf_dir), Y)
+    text = F.slice("features", len(prepared.numeric) + 1, len(prepared.tfidf.vocabulary))
+    return rounded(prepared.tfidf.explode(prepared.frame.select("company_id", array_to_vector(text).alias("tfidf")), "company_id"))
+
+
 @query("run_full", "L3")
 def _(spark, sf_dir):
     return rounded(pl.run_full(company(spark, sf_dir), Y).report)
@@ -180,7 +190,7 @@ def _(spark, sf_dir):
 @query("assign_segment", "M10,J2")
 def _(spark, sf_dir):
     df = company(spark, sf_dir)
-    prepared = pl.preprocess(df, Y, use_text=False)
+    prepared = pl.preprocess(df, Y)
     data = km.spread_out(prepared.frame.select("company_id", "features")).persist()
     fit = km.kmeans(data, 4)
     return pl.assign_segment(df, prepared, fit, Y).select("company_id", "cluster")

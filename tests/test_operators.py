@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from firmlens.catalog import REGISTRY
 from firmlens.functions.clean import require_target
 from firmlens.operators import consensus as cs
 from firmlens.operators import density as ds
@@ -415,6 +416,17 @@ def test_new_rows_get_the_fitted_segment(companies):
     assert got == {k: v for k, v in want.items() if k < 20}
 
 
+def test_queries_use_text_and_the_whole_grid(spark, monkeypatch):
+    seen = []
+    fit, assign = km.kmeans, pl.assign_segment
+    monkeypatch.setattr(km, "kmeans", lambda data, k, *a, **b: seen.append(len(data.select("features").first()[0])) or fit(data, k, *a, **b))
+    monkeypatch.setattr(pl, "assign_segment", lambda df, prepared, *a: seen.append(len(prepared.names) if prepared.tfidf else 0) or assign(df, prepared, *a))
+    REGISTRY["assign_segment"].run(spark, SMALL)
+    assert seen[0] == seen[1] > 9
+    monkeypatch.setattr(pl, "grid_ks", lambda n: [2, 6])
+    assert sorted(r.k for r in REGISTRY["kmedoids_gower"].run(spark, SMALL).collect()) == [2, 6]
+
+
 def test_pipelines_report(companies):
     table = ft.derived_metrics(companies, 2026)
     report = pl.run_standard(table, n_init=1).report
