@@ -116,6 +116,11 @@ def proximity(windows: DataFrame, hits: DataFrame, slop: int = SLOP, share: floa
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: words, words inside occurring windows, items with one, their digest, the verdict, and items near by."""
+    return _judged(docs, items, width).drop("row")
+
+
+def _judged(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """What ``decontaminate`` returns, and the key of the row."""
     counted = docs.select("doc_id", row_key().alias("row"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     tests = cut_lineage(item_words(items))
     index = build_index(docs, cut_lineage(tests.select(F.explode("terms").alias("term")).distinct()))
@@ -133,12 +138,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     joined = counted.join(checked_broadcast(found), "row", "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        "row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows that are not contaminated, with all their columns."""
-    away = cut_lineage(decontaminate(docs, items, width).where("contaminated").select("doc_id").distinct())
-    return docs.join(checked_broadcast(away.select(F.col("doc_id").alias("__away"))), F.col("doc_id").eqNullSafe(F.col("__away")), "left_anti")
+    """The rows that are not contaminated, with all their columns; rows of one doc_id, or of none, are told apart by their texts."""
+    away = cut_lineage(_judged(docs, items, width).where("contaminated").select(F.col("row").alias("__away")).distinct())
+    return docs.join(checked_broadcast(away), row_key() == F.col("__away"), "left_anti")

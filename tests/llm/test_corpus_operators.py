@@ -315,3 +315,10 @@ def test_registered(name):
     import __spark_entry__ as entry
 
     assert name in entry.queries() and "pipeline" in entry.queries()
+
+
+def test_clean_rows_stay_beside_contaminated_ones(spark):
+    bad, good = " ".join(f"quiz{chr(97 + i)}" for i in range(20)), "a clean text of a few words"
+    docs = spark.createDataFrame([(None, bad), (None, good), (None, None), (7, bad), (7, good), (8, good)], "doc_id long, text string")
+    kept = op7_decontaminate.clean(docs, spark.createDataFrame([(1, bad)], "item_id long, text string")).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(None, good), (None, None), (7, good), (8, good)]))
