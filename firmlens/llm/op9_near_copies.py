@@ -64,17 +64,19 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def low_bits(signature: np.ndarray) -> np.ndarray:
-    """(texts x LONGS): the lowest bits of the first 64 * LONGS coordinates."""
-    odd = (signature[np.arange(64 * LONGS) % len(signature)] & np.uint32(1)).astype(np.uint8)
-    return np.ascontiguousarray(np.packbits(odd.T, axis=1)).view(np.int64)
+    """(texts x LONGS): the lowest bits of the first 64 * LONGS coordinates, zeros where there are fewer."""
+    odd = np.zeros((signature.shape[1], 64 * LONGS), np.uint8)
+    used = signature[: 64 * LONGS]
+    odd[:, : len(used)] = (used & np.uint32(1)).T
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
-def most_differing(percent: int) -> int:
+def most_differing(percent: int, coordinates: int = BANDS * ROWS) -> int:
     """Low bits in which two texts of that likeness differ at most, but for five standard deviations' chance.
 
     Coordinates that disagree have equal low bits half of the time.
     """
-    n, p = 64 * LONGS, (1 - percent / 100) / 2
+    n, p = min(64 * LONGS, coordinates), (1 - percent / 100) / 2
     return int(n * p + 5 * (n * p * (1 - p)) ** 0.5) + 1
 
 
@@ -141,26 +143,26 @@ def verified(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "own_a", "own_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _may_reach(n_a: Column, n_b: Column, low_a: Column, low_b: Column, percent: int) -> Column:
+def _may_reach(n_a: Column, n_b: Column, low_a: Column, low_b: Column, percent: int, coordinates: int) -> Column:
     """Sizes that allow the likeness, and signatures that do not speak against it."""
     differ = sum((F.bit_count(low_a[k].bitwiseXOR(low_b[k])) for k in range(1, LONGS)), F.bit_count(low_a[0].bitwiseXOR(low_b[0])))
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differ <= most_differing(percent))
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (differ <= most_differing(percent, coordinates))
 
 
-def _leader_pairs(state: DataFrame, percent: int, round_: int) -> DataFrame:
+def _leader_pairs(state: DataFrame, percent: int, coordinates: int, round_: int) -> DataFrame:
     """Distinct pairs (a, b) of each band's leader, drawn by hash anew in every round, with the members of other components."""
     draw = F.xxhash64("band", "node", F.lit(round_))
     leaders = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n", "component", "low"), draw).alias("leader")).where("lo < hi")
-    met = state.join(leaders, "band").where((F.col("component") != F.col("leader.component")) & _may_reach(F.col("n"), F.col("leader.n"), F.col("low"), F.col("leader.low"), percent))
+    met = state.join(leaders, "band").where((F.col("component") != F.col("leader.component")) & _may_reach(F.col("n"), F.col("leader.n"), F.col("low"), F.col("leader.low"), percent, coordinates))
     return met.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
 
 
-def _pairs_apart(state: DataFrame, percent: int) -> DataFrame:
+def _pairs_apart(state: DataFrame, percent: int, coordinates: int) -> DataFrame:
     """Distinct pairs (a, b) that share a band and not the component."""
     mixed = state.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     apart = cut_lineage(state.join(mixed, "band", "left_semi"))
     left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "low")]) for side in "ab")
-    open_ = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _may_reach(F.col("n_a"), F.col("n_b"), F.col("low_a"), F.col("low_b"), percent)
+    open_ = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _may_reach(F.col("n_a"), F.col("n_b"), F.col("low_a"), F.col("low_b"), percent, coordinates)
     met = left.join(right, (left["band"] == right["band"]) & open_)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -182,7 +184,7 @@ def link(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: i
     final, compared = components(cut_lineage(links)), None
     for round_ in range(LEADER_ROUNDS + 1):
         state = candidates.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _leader_pairs(state, percent, round_) if round_ < LEADER_ROUNDS else _pairs_apart(state, percent)
+        pairs = _leader_pairs(state, percent, bands * rows, round_) if round_ < LEADER_ROUNDS else _pairs_apart(state, percent, bands * rows)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)

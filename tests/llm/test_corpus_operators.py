@@ -322,3 +322,12 @@ def test_clean_rows_stay_beside_contaminated_ones(spark):
     docs = spark.createDataFrame([(None, bad), (None, good), (None, None), (7, bad), (7, good), (8, good)], "doc_id long, text string")
     kept = op7_decontaminate.clean(docs, spark.createDataFrame([(1, bad)], "item_id long, text string")).collect()
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(None, good), (None, None), (7, good), (8, good)]))
+
+
+def test_low_bits_of_short_signatures_are_not_repeated():
+    signature = np.random.default_rng(0).integers(0, 1 << 32, (128, 5), np.uint32)
+    bits = np.unpackbits(op9_near_copies.low_bits(signature).view(np.uint8), axis=1)
+    assert (bits[:, :128] == (signature & 1).T).all() and not bits[:, 128:].any()
+    # Five deviations of the bits there are.
+    assert op9_near_copies.most_differing(80, 128) == int(12.8 + 5 * (12.8 * 0.9) ** 0.5) + 1
+    assert op9_near_copies.most_differing(80, 1024) == op9_near_copies.most_differing(80) == 86
