@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from firmlens.llm import op1_fingerprints, op2_suffix_dedup, op3_language, op4_tokens, op5_toxicity, op6_shards, op7_decontaminate, op8_pieces, op9_near_copies, op10_secrets
+from firmlens.llm import (
+    op1_fingerprints, op2_suffix_dedup, op3_language, op4_tokens, op5_toxicity, op6_shards, op7_decontaminate, op8_pieces, op9_near_copies, op10_secrets, op11_url_rules,
+    op12_hard_negatives, op13_vector_codes,
+)
 from firmlens.llm.common import documents, read
 
 N_SHARDS = 8
@@ -54,7 +57,27 @@ def op10_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_secrets.digests(documents(spark, sf_dir))
 
 
+def op11_rarest_token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_url_rules.judge(read(spark, sf_dir, "pages"))
+
+
+def op12_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return op12_hard_negatives.mine(rows, op12_hard_negatives.every_hundredth(), label=op12_hard_negatives.corrected_label())
+
+
+def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_fingerprints, op2_two_stage_suffixes, op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op7_positional_index, op8_offset_pieces, op9_circulant_near_copies, op10_assignment_secrets)
+    f.__name__: f for f in (
+        op1_simhash_fingerprints, op2_two_stage_suffixes, op3_ppm_language, op4_wavelet_tokens, op5_compression_toxicity, op6_hash_tree_shards, op7_positional_index,
+        op8_offset_pieces, op9_circulant_near_copies, op10_assignment_secrets, op11_rarest_token_rules, op12_anchor_tree_negatives, op13_cover_tree_codes,
+    )
+}
+SQL: dict[str, str] = {
+    "op11_rarest_token_rules": op11_url_rules.oracle_sql(),
+    "op12_anchor_tree_negatives": op12_hard_negatives.oracle_sql(),
+    "op13_cover_tree_codes": op13_vector_codes.oracle_sql(),
 }
-SQL: dict[str, str] = {}
