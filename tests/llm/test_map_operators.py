@@ -378,3 +378,65 @@ def test_lexer_takes_long_texts_in_linear_time():
     for text in ("db_pwd" + " " * size, 'pwd="' * (size // 5), "pwd='" + "\\'" * (size // 2), "a" * size + "=", 'a = "' + 'b=\\"' * (size // 4) + '"', "pwd = " + "\\" * size + '"x"'):
         op10_secrets.named_spans(text)
     assert time.process_time() - begin < 60
+
+
+SECRET, OTHER = "Xk29vQ8LmN4z", "Zx81Qw92Er73Ty64"
+
+
+@pytest.mark.parametrize(
+    ("text", "secrets"),
+    [
+        (f'cfg["db_pwd"] = "{SECRET}"', [SECRET]), (f"cfg['a']['db_pwd'] = '{SECRET}'", [SECRET]), (f'const pwd: string = "{SECRET}"', [SECRET]), (f'let pwd: Option<String> = "{SECRET}"', [SECRET]),
+        (f'var pwd string = "{SECRET}"', [SECRET]), (f'char pwd[32] = "{SECRET}";', [SECRET]), (f'pwd = """{SECRET}"""', [SECRET]), (f"pwd = '''line\n{SECRET}'''", [f"line\n{SECRET}"]),
+        (f'db_pwd:\n  "{SECRET}"', [SECRET]), (f"db:\n  db_pwd: >\n    {SECRET}\n    {OTHER}\n  port: 1", [f"{SECRET}\n    {OTHER}"]), (f"signing_key: |-\n  {OTHER}\n", [OTHER]),
+        (f'db_pwd = ["{SECRET}", "{OTHER}"]', [SECRET, OTHER]), (f'db_pwd = (\n "{SECRET}"\n)', [SECRET]), (f'db_pwd = getenv("A", "{SECRET}")', [SECRET]), (f'os.getenv("DB_PWD", "{SECRET}")', [SECRET]),
+        (f"<pwd>{SECRET}</pwd>", [SECRET]), (f"<c:pwd a='1'><![CDATA[{SECRET}]]></c:pwd>", [SECRET]), (f'<add key="db_pwd" value="{SECRET}"/>', [SECRET]), (f'// old: db_pwd = "{SECRET}"', [SECRET]),
+        (f"run --db-pwd={SECRET} --port=1", [SECRET]), (f'A = "{SECRET}"\nB = ["x", A]\ndb_pwd = B', [SECRET]), (f'f(db_pwd="{SECRET}", n=f(3))', [SECRET]), (f'config = {{"n": 1, "db_pwd": "{SECRET}"}}', [SECRET]),
+        ('db_pwd = cfg.get("database.password")', []), ('pwd = ["one", "two"]', []), ("<p>name: of the rose</p>", []), ("db_pwd: >\n\nno block", []), ('var pwd string\nx = "y"', []), ("pwd = (", []),
+    ],
+)
+def test_source_and_configuration_syntax(text, secrets):
+    assert [text[a:b] for a, b in op10_secrets.named_spans(text)] == secrets
+
+
+def test_chains_of_constants_cost_no_more_than_their_text():
+    begin = time.process_time()
+    doubling = f'a0 = "{SECRET}"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(60)) + "db_pwd = a60"
+    assert [doubling[a:b] for a, b in op10_secrets.named_spans(doubling)] == [SECRET]
+    same = f's = "{SECRET}"\n' + "s = s + s\n" * 5_000 + "db_pwd = s"
+    assert [same[a:b] for a, b in op10_secrets.named_spans(same)] == [SECRET]
+    growing = 'x0 = "part-0000"\n' + "".join(f'x{i + 1} = x{i} + "part-{i:04d}"\ndb_pwd = x{i}\n' for i in range(20_000))
+    assert len(op10_secrets.named_spans(growing)) == 20_000
+    for text in ("pwd = [" * 100_000, "pwd = f(" * 100_000, "pwd: a = " * 100_000, "<pwd>" * 200_000, "<pwd>x " * 100_000, "pwd: >\n" * 100_000, "f('pwd', " * 100_000, "pwd = a + " * 100_000, 'pwd = """' * 50_000, "key='pwd' value=" * 50_000):
+        op10_secrets.named_spans(text)
+    assert time.process_time() - begin < 60
+
+
+def test_generated_pairs_are_found(spark):
+    """Every form of a pair, with sensitive and plain names: exactly the literals of sensitive names are spans."""
+    rng = np.random.default_rng(11)
+    forms = [
+        '{n} = "{v}"\n', "{n}: '{v}'\n", '"{n}": "{v}",\n', "{n} := `{v}`\n", 'm["{n}"] = "{v}";\n', "{n}={v}\n", "<{n}>{v}</{n}>\n", 'put("{n}", "{v}")\n', 'const {n}: string = "{v}"\n',
+        '{n} = """{v}"""\n', '{n} = [\n  "{v}"\n]\n', "{n}:\n  '{v}'\n", 'var {n} string = "{v}"\n', "{n}: |\n    {v}\nend\n", '<x key="{n}" value="{v}"/>\n', 'c{i} = "{v}"\n{n} = c{i}\n', "{n} => '{v}'\n",
+    ]
+    letters = np.array(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"))
+    docs, wanted = [], []
+    for d in range(200):
+        text, spans = "", []
+        for i in range(int(rng.integers(1, 12))):
+            sensitive = rng.random() < 0.5
+            name = str(rng.choice(["db_pwd", "userCredential", "signing_key", "AUTH_TOKEN_V"] if sensitive else ["title", "colour_map", "userRegion", "WIDTH"]))
+            value = "".join(rng.choice(letters, int(rng.integers(16, 30)))) + "7x"
+            piece = str(rng.choice(forms)).format(n=name, v=value, i=i)
+            if sensitive:
+                at = len(text) + piece.index(value)
+                spans.append((at, at + len(value)))
+            text += piece + str(rng.choice(["", "\n", "some words here\n", "it's\n"]))
+        docs.append((d, text))
+        wanted.append(spans)
+    found = {r.doc_id: r.spans for r in op10_secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for (d, text), spans in zip(docs, wanted, strict=True):
+        named = [(s.start, s.end) for s in found[d] if s.kind == "named"]
+        base = [(s.start, s.end) for s in found[d] if s.kind != "named"]
+        assert set(named) <= set(spans), (text, named, spans)
+        assert all(s in named or any(a <= s[0] and s[1] <= b for a, b in base) for s in spans), (text, named, spans)
