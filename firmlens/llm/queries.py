@@ -38,7 +38,8 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_shards.shard_documents(documents(spark, sf_dir), op6_shards.even_tree(N_SHARDS), op6_shards.even_tree(N_SHARDS + 1))
+    tree = op6_shards.even_tree(N_SHARDS)
+    return op6_shards.shard_documents(documents(spark, sf_dir), tree, op6_shards.with_shard(tree))
 
 
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

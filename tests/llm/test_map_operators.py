@@ -171,38 +171,78 @@ def test_sampled_labels_keep_their_shares(spark, monkeypatch):
 # --- shards
 
 
+def brute_shard(doc_id, tree):
+    """Region, rack and shard by one draw per node of the chosen subtree."""
+    path, leaves = "", [x for x in tree if x.weight > 0]
+    for level in ("region", "rack", "shard"):
+        weights = Counter()
+        for x in leaves:
+            weights[getattr(x, level)] += x.weight
+
+        def drawn(node, path=path, weights=weights):
+            key = f"{'null' if doc_id is None else doc_id}:{path}/{node}"
+            return -np.log((int(hashlib.md5(key.encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / weights[node]
+
+        best = min(sorted(weights), key=drawn)
+        path, leaves = f"{path}/{best}", [x for x in leaves if getattr(x, level) == best]
+    return leaves[0]
+
+
 def test_shards_follow_the_draws(spark, small_dir, small_docs):
     rows = queries.op6_hash_tree_shards(spark, small_dir).collect()
     texts = {r.doc_id: r.text for r in small_docs.collect()}
-
-    def flat(doc_id, n):
-        u = [(int(hashlib.md5(f"{doc_id}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13 for s in range(n)]
-        return min(range(n), key=lambda s: -np.log(u[s]))
-
+    tree = op6_shards.even_tree(8)
+    assert {r.doc_id for r in rows} == texts.keys()
     for r in rows:
         raw = (texts[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law) == (len(raw) + 1, zlib.crc32(raw), "key")
-        assert (r.shard, r.grown_shard) == (flat(r.doc_id, 8), flat(r.doc_id, 9)) and r.grown_shard in (r.shard, 8)
+        leaf = brute_shard(r.doc_id, tree)
+        assert (r.region, r.rack, r.shard) == (leaf.region, leaf.rack, leaf.shard)
+        assert r.grown_shard == brute_shard(r.doc_id, op6_shards.with_shard(tree)).shard and r.grown_shard in (r.shard, 8)
+    assert any(r.grown_shard == 8 for r in rows)
     for s in range(8):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
 
 
-def test_changed_weight_moves_only_its_subtree(small_docs):
+def moved(docs, before, after):
+    rows = op6_shards.locate(docs, before, "a", region="ra", rack="ka")
+    rows = op6_shards.locate(rows, after, "b", region="rb", rack="kb").collect()
+    return rows, [r for r in rows if r.a != r.b]
+
+
+def test_movement_is_confined_level_by_level(spark):
+    docs = spark.range(4000).withColumnRenamed("id", "doc_id")
     tree = op6_shards.even_tree(8)
-    heavier = [op6_shards.Shard(x.region, x.rack, x.shard, 2.0 if x.shard == 5 else 1.0) for x in tree]
-    rows = op6_shards.locate(op6_shards.locate(small_docs.select("doc_id"), tree, "a"), heavier, "b").collect()
-    assert all(r.a == r.b or r.b == 5 for r in rows) and any(r.a != r.b for r in rows)
-    gone = [x for x in tree if x.shard != 5]
-    rows = op6_shards.locate(op6_shards.locate(small_docs.select("doc_id"), tree, "a"), gone, "b").collect()
-    assert all(r.a == r.b or r.a == 5 for r in rows)
+
+    def weighing(**weights):
+        return [op6_shards.Shard(x.region, x.rack, x.shard, weights.get(f"s{x.shard}", 1.0)) for x in tree]
+
+    # One shard heavier: rows enter its region; inside the region they enter its rack, and inside the rack the shard.
+    rows, changed = moved(docs, tree, weighing(s5=2.0))
+    assert changed and all(r.rb == 1 for r in changed)
+    assert all(r.kb == 2 for r in changed if r.ra == 1) and all(r.b == 5 for r in changed if r.ka == 2)
+    # The same weight dealt otherwise inside a rack: nothing leaves the rack.
+    rows, changed = moved(docs, tree, weighing(s4=0.5, s5=1.5))
+    assert changed and all(r.ka == r.kb == 2 and r.b == 5 for r in changed)
+    # A shard taken away: the other region keeps all its rows.
+    rows, changed = moved(docs, tree, weighing(s5=0.0))
+    assert changed and all(r.a == r.b for r in rows if r.ra == 0) and not any(r.b == 5 for r in rows)
+    # A region of its own takes only into itself.
+    rows, changed = moved(docs, tree, op6_shards.with_shard(tree, 3.0))
+    assert changed and all(r.b == 8 for r in changed) and len(changed) == pytest.approx(4000 * 3 / 11, rel=0.15)
+    # Shares follow the weights.
+    shares = Counter(r.b for r in moved(docs, tree, weighing(s0=4.0, s6=3.0))[0])
+    assert all(n == pytest.approx(4000 * {0: 4, 6: 3}.get(s, 1) / 13, rel=0.25) for s, n in shares.items())
 
 
 def test_shards_odd_rows(odd_docs, no_docs):
-    t8, t9 = op6_shards.even_tree(8), op6_shards.even_tree(9)
+    t8 = op6_shards.even_tree(8)
+    t9 = op6_shards.with_shard(t8)
     rows = op6_shards.shard_documents(odd_docs, t8, t9).collect()
     assert len(rows) == 15 and {r.size for r in rows if r.doc_id in (1, 2)} == {1}
     assert len({(r.shard, r.slot) for r in rows}) == 15
+    assert all(r.shard == brute_shard(r.doc_id, t8).shard for r in rows)
     assert op6_shards.shard_documents(no_docs, t8, t9).count() == 0
 
 
