@@ -13,6 +13,7 @@ from firmlens.catalog.features import engineered
 from firmlens.catalog.validation import POINTS, VEC, embedded, points
 from firmlens.operators import consensus as cs
 from firmlens.operators import density as ds
+from firmlens.operators import density_tree as dt
 from firmlens.operators import kmeans as km
 from firmlens.operators import mixture as mx
 from firmlens.operators import profile_stats as ps
@@ -152,6 +153,25 @@ def _(spark, sf_dir):
     return ds.dbscan(embedded(spark, sf_dir), eps=0.8, min_samples=5, key="vec_id").select("vec_id", "core")
 
 
+@query("core_distances", "C7", on_company(
+    "SELECT company_id, round(sqrt(d), 6) AS core FROM (SELECT a.company_id, " + DIST2 + " AS d, row_number() OVER (PARTITION BY a.company_id ORDER BY " + DIST2 + ") AS k "
+    "FROM pts a JOIN pts b ON a.company_id <> b.company_id) z WHERE k = 10", POINTS))
+def _(spark, sf_dir):
+    return rounded(dt.with_core_distance(points(spark, sf_dir).drop("cluster")).select("company_id", "core"))
+
+
+@query("density_segments", "C7")
+def _(spark, sf_dir):
+    data = points(spark, sf_dir)
+    return dt.density_segments(data, 25, epsilon=0.0, group="cluster").select("company_id", "cluster", "sub")
+
+
+@query("hierarchical_density_segments", "C7")
+def _(spark, sf_dir):
+    out = pl.hierarchical_segments(vectors(spark, sf_dir), n_init=STARTS, sub="density")
+    return out.select("company_id", "macro", "sub", "cluster")
+
+
 # --- medoids and Gower --------------------------------------------------------------------------------
 
 @query("gower_to_medoids", "J6", on_company(

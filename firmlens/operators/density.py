@@ -1,41 +1,36 @@
-"""DBSCAN: density clustering with a bucketed neighbour search.
+"""DBSCAN: density clustering with a space-splitting neighbour search.
 
-Identical points are merged into one weighted point first.  Points are put in
-cells of side eps over up to three coordinates; neighbours of a point lie in
-its own or an adjacent cell.  A crowded cell is cut into blocks, and each pair
+Identical points are merged into one weighted point first.  Points live in the
+leaves of a space-splitting tree over all dimensions and visit the other leaves
+within eps of them, so only points near a cut are copied.  A crowded leaf is cut into blocks, and each pair
 of blocks is one small task that returns only a count per point, or one edge
 per point towards a representative.  So neither pairs of neighbours nor whole
-cells are ever materialised.
+leaves are ever materialised.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.operators.splits import Forest, forest
 from firmlens.session import cut_lineage, lookup_join
 
 BLOCK_ROWS = 2_048
 
 
-def _blocks(points: DataFrame, eps: float, axes: list[int], block_rows: int) -> DataFrame:
-    """Rows (batch, rb, vb, cell, resident, ...): every resident block meets every visitor block of its cell.
+def meetings(points: DataFrame, trees: Forest, reach, block_rows: int = BLOCK_ROWS, visitors=None) -> DataFrame:
+    """Rows (batch, rb, vb, cell, resident, ...): every resident block meets every visitor block of its leaf.
 
-    Crowded cells get one group per pair of blocks; sparse cells share groups,
-    so the number of groups follows the number of rows and not of cells.
+    ``points`` have a ``cell`` and a group ``grp``; each visits all leaves within ``reach`` (a column), its own included, unless ``visitors`` says false.
+    Crowded leaves get one group per pair of blocks; sparse ones share groups,
+    so the number of groups follows the number of rows and not of leaves.
     """
-    cell = F.array(*[F.floor(F.col("features")[a] / eps).cast("long") for a in axes])
-    homed = points.withColumn("cell", cell)
-    shifts = F.array(*[
-        F.array(*[F.lit(s).cast("long") for s in shift])
-        for shift in itertools.product((-1, 0, 1), repeat=len(axes))
-    ])
-    visiting = homed.withColumn("__shift", F.explode(shifts)).withColumn(
-        "cell", F.zip_with("cell", "__shift", lambda a, b: a + b)).drop("__shift")
+    homed = points.withColumn("cell", F.col("cell").cast("int"))
+    guests_ = homed if visitors is None else homed.where(visitors)
+    visiting = guests_.withColumn("cell", F.explode(trees.cells(F.col("grp"), F.col("features"), reach)))
     # Visitors only matter in cells that have residents.
     homes = homed.groupBy("cell").agg(F.count("*").alias("n_res"))
     guests = visiting.groupBy("cell").agg(F.count("*").alias("n_vis"))
@@ -45,25 +40,25 @@ def _blocks(points: DataFrame, eps: float, axes: list[int], block_rows: int) ->
     total = sizes.agg(F.sum(F.col("n_res") + F.col("n_vis"))).first()[0] or 0
     batches = max(1, total // (4 * block_rows))
     crowded = F.col("nr") * F.col("nv") > 1
-    sizes = sizes.select("cell", "nr", "nv", F.when(crowded, F.concat_ws(",", "cell")).otherwise(
+    sizes = sizes.select("cell", "nr", "nv", F.when(crowded, F.concat(F.lit("="), F.col("cell").cast("string"))).otherwise(
         F.pmod(F.xxhash64("cell"), F.lit(batches)).cast("string")).alias("batch"))
     spread = F.xxhash64("id")
     residents = (
         lookup_join(homed, sizes, ["cell"], "inner")
         .withColumn("rb", F.pmod(spread, F.col("nr")).cast("int"))
         .withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).withColumn("resident", F.lit(True)))
-    visitors = (
+    callers = (
         lookup_join(visiting, sizes, ["cell"], "inner")
         .withColumn("vb", F.pmod(spread, F.col("nv")).cast("int"))
         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("resident", F.lit(False)))
     # A fixed number of partitions: groups are small in bytes but heavy in work, so they must not be coalesced.
     cores = points.sparkSession.sparkContext.defaultParallelism
     return (
-        residents.unionByName(visitors).drop("nr", "nv").withColumn("cell", F.concat_ws(",", "cell"))
+        residents.unionByName(callers).drop("nr", "nv")
         .repartition(min(max(cores, total // (8 * block_rows)), 50_000), "batch", "rb", "vb"))
 
 
-def _cells(pdf: pd.DataFrame):
+def cells_of(pdf: pd.DataFrame):
     """Per cell of the group: positions of its residents and of its visitors."""
     code = pd.factorize(pdf["cell"])[0]
     order = code.argsort(kind="stable")
@@ -135,17 +130,15 @@ def dbscan(
     """
     merged = df.groupBy(F.col(features).alias("features")).agg(
         F.min(F.col(key).cast("long")).alias("id"), F.count("*").alias("weight"))
-    merged = cut_lineage(merged)
-    dims = merged.select(F.max(F.size("features"))).first()[0]
-    spread = merged.agg(*[F.stddev_pop(F.col("features")[i]).alias(f"s{i}") for i in range(dims)]).first()
-    axes = sorted(range(dims), key=lambda i: -(spread[i] or 0.0))[:3]
-
-    blocks = _blocks(merged, eps, axes, block_rows)
+    merged = cut_lineage(merged.withColumn("grp", F.lit(0)))
+    trees = forest(merged, "grp", leaf_rows=block_rows)
+    merged = cut_lineage(trees.home(merged, "grp").drop("margin"))
+    blocks = meetings(merged, trees, F.lit(float(eps)), block_rows)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["features"])
         ids, weight = (pdf[c].to_numpy(dtype="int64") for c in ("id", "weight"))
-        found = [(ids[r], _near(x[r], x[v], eps).astype("int64") @ weight[v]) for r, v in _cells(pdf)]
+        found = [(ids[r], _near(x[r], x[v], eps).astype("int64") @ weight[v]) for r, v in cells_of(pdf)]
         if not found:
             return pd.DataFrame({"id": ids[:0], "near": ids[:0]})
         return pd.DataFrame({"id": np.concatenate([i for i, _ in found]), "near": np.concatenate([n for _, n in found])})
@@ -158,7 +151,7 @@ def dbscan(
         x = np.stack(pdf["features"])
         ids, core = pdf["id"].to_numpy(dtype="int64"), pdf["core"].to_numpy(dtype=bool)
         src, dst, border = [ids[:0]], [ids[:0]], [core[:0]]
-        for r, v in _cells(pdf):
+        for r, v in cells_of(pdf):
             v = v[core[v]]
             if not len(v):
                 continue
@@ -173,7 +166,7 @@ def dbscan(
         return out[out["src"] != out["dst"]].drop_duplicates()
 
     links = cut_lineage(
-        _blocks(cored.drop("near"), eps, axes, block_rows).groupBy("batch", "rb", "vb")
+        meetings(cored.drop("near"), trees, F.lit(float(eps)), block_rows).groupBy("batch", "rb", "vb")
         .applyInPandas(link, "src long, dst long, border boolean").distinct())
     comps = connected_components(cored.where("core").select("id"), links.where("NOT border").select("src", "dst"))
     border = (

@@ -12,6 +12,7 @@ from firmlens.functions import bands, ratios
 from firmlens.functions.clean import coerce_numeric, combine_text, filter_valid, finite, parse_range, scrub_non_finite
 from firmlens.functions.resolve import Roles, resolve_roles, standardise
 from firmlens.operators import consensus as cs
+from firmlens.operators import density_tree as dt
 from firmlens.operators import features as ft
 from firmlens.operators import kmeans as km
 from firmlens.operators import mixture as mx
@@ -340,12 +341,35 @@ def run_standard(
 EXCLUDED = ["company_id", "cluster", "sub", "confidence"]
 
 
+def density_sub_segments(
+    staged: DataFrame, group: str = "grp", min_size: int = 100, min_samples: int = 10, epsilon: float = 0.5, key: str = "company_id"
+) -> DataFrame:
+    """Every group of at least ``min_size`` rows split by its density tree: ``sub``, and ``cluster`` numbers the pairs (group, sub).
+
+    A dense segment has at least 5 % of its group's rows and 50; rows outside all of them are the group's last segment.
+    """
+    sizes = {r[group]: r["n"] for r in sg.cluster_sizes(staged, group).collect()}
+    wanted = {g: max(50, int(0.05 * n)) for g, n in sizes.items() if n >= min_size}
+    large = staged.where(F.col(group).isin(list(wanted)))
+    small = staged.where(~F.col(group).isin(list(wanted))).withColumn("sub", F.lit(0))
+    split = dt.density_segments(large, wanted, min_samples, epsilon, group, key=key) if wanted else large.withColumn("sub", F.lit(0))
+    found = cut_lineage(split.unionByName(small))
+    # Noise comes last in its group; a group of noise alone is one segment.
+    last = found.groupBy(group).agg(F.max("sub").alias("most"))
+    found = found.join(F.broadcast(last), group).withColumn("sub", F.when(F.col("sub") < 0, F.col("most") + 1).otherwise(F.col("sub")).cast("int")).drop("most")
+    pairs = sorted((r[0], r[1]) for r in found.select(group, "sub").distinct().collect())
+    code = F.array_position(F.array(*[F.concat_ws("/", F.lit(g), F.lit(s)) for g, s in pairs]), F.concat_ws("/", group, "sub")).cast("int") - 1
+    return found.withColumn("cluster", code)
+
+
 def hierarchical_segments(
-    data: DataFrame, ks=(5, 6, 7), min_size: int = 100, n_init: int = 10, seed: int = 42, key: str = "company_id"
+    data: DataFrame, ks=(5, 6, 7), min_size: int = 100, n_init: int = 10, seed: int = 42, key: str = "company_id", sub: str = "kmeans"
 ) -> DataFrame:
-    """Mixture macro segments, each larger one split by K-Means; ``cluster`` numbers the pairs (macro, sub)."""
+    """Mixture macro segments, each larger one split by K-Means or (``sub="density"``) by its density tree; ``cluster`` numbers the pairs (macro, sub)."""
     macro, _ = mx.gmm_bic(data, list(ks), n_init=n_init, seed=seed, key=key)
     staged = mx.predict_mixture(data, macro, "grp").drop("confidence").persist()
+    if sub == "density":
+        return density_sub_segments(staged, "grp", min_size, key=key).withColumnRenamed("grp", "macro")
     sizes = {r["grp"]: r["n"] for r in sg.cluster_sizes(staged, "grp").collect()}
     wanted = {g: max(2, min(5, n // min_size)) for g, n in sorted(sizes.items()) if n >= min_size}
     fits = km.kmeans_in_groups(staged, wanted, n_init, seed, key) if wanted else {}
