@@ -193,11 +193,14 @@ def _pairs_apart(state: DataFrame, own: DataFrame, percent: int, coordinates: in
     apart = cut_lineage(state.join(mixed, "band", "left_semi"))
     nodes = apart.select(F.col("node").alias("doc_id")).distinct()
     long = cut_lineage(marks(own.join(checked_broadcast(nodes), "doc_id", "left_semi")))
-    apart = apart.join(long, "node")
-    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "low", "marks")]) for side in "ab")
+    # A pair comes from the first band that both are in, however many they share; a node has at most as many as the signature.
+    own_bands = apart.groupBy("node").agg(F.collect_list("band").alias("of"))
+    apart = apart.join(long.join(own_bands, "node"), "node")
+    left, right = (apart.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component", "low", "marks", "of")]) for side in "ab")
     open_ = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _may_reach(F.col("n_a"), F.col("n_b"), F.col("low_a"), F.col("low_b"), percent, coordinates)
-    met = left.join(right, (left["band"] == right["band"]) & open_ & _marks_allow(F.col("marks_a"), F.col("marks_b"), percent))
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("of_a", "of_b")) == left["band"]
+    met = left.join(right, (left["band"] == right["band"]) & open_ & _marks_allow(F.col("marks_a"), F.col("marks_b"), percent) & once)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def link(docs: DataFrame, k: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
