@@ -256,6 +256,27 @@ def _(spark, sf_dir):
     return done.labelled.select("company_id", "cluster", F.lit(round(done.mean_ari, 6)).alias("mean_ari"))
 
 
+# Every renaming of three labels against the first run; the one that agrees on most rows.
+VOTE_RUNS = ("v AS (SELECT company_id, CAST(company_id % 3 AS INT) AS a, CAST((company_id % 3 + (CASE WHEN sites % 5 = 0 THEN 2 ELSE 1 END)) % 3 AS INT) AS b, "
+             "CAST(2 - (company_id + (CASE WHEN servers % 4 = 0 THEN 1 ELSE 0 END)) % 3 AS INT) AS c FROM company)")
+PERMUTATIONS = "perm AS (SELECT * FROM (VALUES ([0,1,2]),([0,2,1]),([1,0,2]),([1,2,0]),([2,0,1]),([2,1,0])) t(p))"
+
+
+def best_renaming(run):
+    return f"best_{run} AS (SELECT arg_max(p, agree) AS p FROM (SELECT p, count(*) FILTER (WHERE p[{run} + 1] = a) AS agree FROM v CROSS JOIN perm GROUP BY p) z)"
+
+
+@query("majority_vote", "C8", on_company(
+    "SELECT company_id, CAST(CASE WHEN b = c THEN b ELSE CASE WHEN a = b OR a = c THEN a ELSE least(a, b, c) END END AS INT) AS cluster FROM "
+    "(SELECT company_id, a, best_b.p[b + 1] AS b, best_c.p[c + 1] AS c FROM v CROSS JOIN best_b CROSS JOIN best_c) w", VOTE_RUNS, PERMUTATIONS, best_renaming("b"), best_renaming("c")))
+def _(spark, sf_dir):
+    k = F.col("company_id")
+    df = company(spark, sf_dir).select(
+        "company_id", (k % 3).cast("int").alias("a"), ((k % 3 + F.when(F.col("sites") % 5 == 0, 2).otherwise(1)) % 3).cast("int").alias("b"),
+        (2 - (k + F.when(F.col("servers") % 4 == 0, 1).otherwise(0)) % 3).cast("int").alias("c"))
+    return cs.majority_vote(df, ["a", "b", "c"]).select("company_id", "cluster")
+
+
 @query("consensus", "C8")
 def _(spark, sf_dir):
     done = cs.consensus(vectors(spark, sf_dir))

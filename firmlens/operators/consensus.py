@@ -10,17 +10,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.operators.density import connected_components
 from firmlens.operators.kmeans import add_partials, draw_candidates, few_partitions, fit_many, predict_all, settled
 from firmlens.operators.mixture import mixtures_by_k, predict_mixture
 from firmlens.operators.profile_stats import dbl, impute
 from firmlens.operators.validate import Silhouette, _gower, adjusted_rand, silhouettes
-from firmlens.session import bounded_collect, cut_lineage, local_rows, lookup_join
-
-# A co-association matrix of this many signatures still fits on the driver.
-MAX_SIGNATURES = 5_000
+from firmlens.session import bounded_collect, cut_lineage, lit_map, local_rows, lookup_join
 
 
 # --- Gower distance and medoids --------------------------------------------------------------
@@ -327,38 +326,162 @@ def coassociation(signature_frame: DataFrame, runs: int) -> DataFrame:
         (F.count("*") / F.lit(float(runs))).alias("share"))
 
 
-def _average_linkage(labels: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Merge the closest groups (weighted average distance) until ``k`` are left."""
-    n, runs = labels.shape
-    gap = np.zeros((n, n))
-    for r in range(runs):
-        gap += labels[:, r][:, None] != labels[:, r][None]
-    gap /= runs
+# Rows of one block of groups, and blocks that may be sent to every task.
+LINK_ROWS, SENT_BLOCKS = 1_024, 64
+# Groups from which on the rest of the merging fits one matrix on the driver.
+LAST_GROUPS = 1_000
+# Labels of all runs together.
+MAX_LABELS = 10_000
+
+
+def _distances(sums: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray, runs: int) -> np.ndarray:
+    """Average share of runs that tell a row of one group from a row of another, from the groups' label counts.
+
+    Counts are whole numbers, so equal distances come out equal; the rounding takes off the division's last bits.
+    """
+    return np.round(1.0 - (sums @ other.T) / (runs * n[:, None] * m[None]), 12)
+
+
+def _nearest_groups(blocks: DataFrame, n_blocks: int, width: int, runs: int) -> DataFrame:
+    """(g, best): for each group the pair (distance, lower id, higher id) that comes first; every pair of blocks meets once."""
+
+    def read(batch, i, side):
+        ids, n = (np.frombuffer(batch.column(f"{c}_{side}")[i].as_buffer(), np.int64) for c in ("ids", "n"))
+        return ids, n.astype(float), np.frombuffer(batch.column(f"sums_{side}")[i].as_buffer()).reshape(-1, width)
+
+    def run(batches):
+        held: dict[int, tuple] = {}
+
+        def keep(ids, least, other):
+            first = int(ids[0])
+            if first in held:
+                _, d, o = held[first]
+                better = (least < d) | ((least == d) & (other < o))
+                least, other = np.where(better, least, d), np.where(better, other, o)
+            held[first] = (ids, least, other)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, n, sums = read(batch, i, "x")
+                more, m, others = read(batch, i, "y")
+                gap = _distances(sums, n, others, m, runs)
+                gap[ids[:, None] == more[None]] = np.inf
+                for mine, theirs, d in ((ids, more, gap), (more, ids, gap.T)):
+                    least = d.min(axis=1)
+                    keep(mine, least, np.where(d == least[:, None], theirs[None], np.iinfo(np.int64).max).min(axis=1))
+        for ids, least, other in held.values():
+            ok = np.isfinite(least)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[ok]), pa.array(least[ok]), pa.array(np.minimum(ids, other)[ok]), pa.array(np.maximum(ids, other)[ok])], ["g", "d", "lo", "hi"])
+
+    left = blocks.select(*[F.col(c).alias(f"{c}_x") for c in ("block", "ids", "n", "sums")]).withColumn("block", F.explode(F.sequence("block_x", F.lit(n_blocks - 1))))
+    met = lookup_join(left, blocks.select("block", *[F.col(c).alias(f"{c}_y") for c in ("ids", "n", "sums")]), ["block"], "inner", SENT_BLOCKS)
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    met = met.repartition(min(2 * cores, n_blocks * (n_blocks + 1) // 2)) if n_blocks > 1 else met
+    found = met.mapInArrow(run, "g long, d double, lo long, hi long")
+    return found.groupBy("g").agg(F.min(F.struct("d", "lo", "hi")).alias("best"))
+
+
+def _packed(groups: DataFrame, n_blocks: int) -> DataFrame:
+    """Blocks of groups as bytes."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("g")
+        values = [pdf["g"].to_numpy(np.int64).tobytes(), pdf["n"].to_numpy(np.int64).tobytes(), np.stack(pdf["sums"]).tobytes()]
+        return pd.DataFrame([[int(pdf["block"].iloc[0]), *values]], columns=["block", "ids", "n", "sums"])
+
+    return groups.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, ids binary, n binary, sums binary")
+
+
+def _last_merges(ids: np.ndarray, n: np.ndarray, sums: np.ndarray, runs: int) -> list[tuple[float, int, int]]:
+    """All merges of few groups, one after the other: the least (distance, lower id, higher id) first; a group keeps its lower id."""
+    ids, n, sums = ids.copy(), n.astype(float).copy(), sums.astype(float).copy()
+    order = ids.argsort()
+    ids, n, sums = ids[order], n[order], sums[order]
+    gap = _distances(sums, n, sums, n, runs)
     np.fill_diagonal(gap, np.inf)
-    size = weights.astype(float).copy()
-    group = np.arange(n)
-    alive = np.ones(n, dtype=bool)
-    nearest = gap.argmin(axis=1)
-    for _ in range(n - k):
-        best = np.where(alive, gap[np.arange(n), nearest], np.inf)
-        i = int(best.argmin())
-        j = int(nearest[i])
-        i, j = min(i, j), max(i, j)
-        mixed = (size[i] * gap[i] + size[j] * gap[j]) / (size[i] + size[j])
-        gap[i], gap[:, i] = mixed, mixed
-        gap[i, i] = np.inf
+    out = []
+    for _ in range(len(ids) - 1):
+        least = gap.min(axis=1)
+        i = int(least.argmin())
+        j = int(gap[i].argmin())
+        out.append((float(least[i]), int(ids[i]), int(ids[j])))
+        sums[i] += sums[j]
+        n[i] += n[j]
         gap[j], gap[:, j] = np.inf, np.inf
-        alive[j] = False
-        size[i] += size[j]
-        group[group == j] = i
-        stale = alive & ((nearest == i) | (nearest == j))
-        stale[i] = True
-        for s in np.nonzero(stale)[0]:
-            nearest[s] = gap[s].argmin()
-        closer = alive & (gap[:, i] < gap[np.arange(n), nearest])
-        nearest[closer] = i
-    names = {g: c for c, g in enumerate(sorted(set(group), key=lambda g: (-weights[group == g].sum(), g)))}
-    return np.array([names[g] for g in group], dtype="int32")
+        alive = np.isfinite(gap).any(axis=1)
+        alive[i] = False
+        gap[i], gap[:, i] = np.inf, np.inf
+        if alive.any():
+            row = _distances(sums[i][None], n[[i]], sums[alive], n[alive], runs)[0]
+            gap[i, alive] = row
+            gap[alive, i] = row
+    return out
+
+
+def _counted(signature_frame: DataFrame) -> tuple[DataFrame, int]:
+    """(frame of g, signature, n and ``sums``, the rows of each label of each run; how many labels there are): ids follow signature order."""
+    whole = signature_frame.withColumn("signature", F.transform("signature", lambda v: F.coalesce(v, F.lit(-(1 << 31)))))
+    labels = bounded_collect(whole.select(F.posexplode("signature").alias("run", "label")).distinct(), MAX_LABELS, "labels of all runs")
+    known: dict[int, list[int]] = {}
+    for r in sorted(labels):
+        known.setdefault(r["run"], []).append(r["label"])
+    first = np.cumsum([0, *(len(known[r]) for r in sorted(known))])
+
+    @F.pandas_udf("array<double>")
+    def counts(signature: pd.Series, n: pd.Series) -> pd.Series:
+        rows = np.stack(signature.to_numpy())
+        out = np.zeros((len(rows), int(first[-1])))
+        for r in range(rows.shape[1]):
+            out[np.arange(len(rows)), first[r] + np.searchsorted(known[r], rows[:, r])] = n
+        return pd.Series(list(out))
+
+    ordered = signature_frame.orderBy("signature").withColumn("g", F.monotonically_increasing_id())
+    ordered = cut_lineage(ordered)
+    return cut_lineage(ordered.withColumn("sums", counts(F.transform("signature", lambda v: F.coalesce(v, F.lit(-(1 << 31)))), "n"))), int(first[-1])
+
+
+def average_linkage(signature_frame: DataFrame, runs: int, k: int, last_groups: int = LAST_GROUPS, max_rounds: int = 500) -> DataFrame:
+    """(signature, cluster): average linkage of weighted signatures down to ``k`` groups, numbered by falling rows.
+
+    The average distance of two groups follows from their counts of labels in each run, so no matrix of
+    signatures is needed.  Merging never brings a group nearer to others than its parts were, so all pairs that are
+    each other's nearest merge at once, in rounds that look for every group's nearest block by block.  The few groups that
+    are left merge on the driver.  Of all merges the shortest count: those beyond ``k`` groups are undone.
+    Ties go to lower ids, in signature order.
+    """
+    spark = signature_frame.sparkSession
+    start, width = _counted(signature_frame)
+    groups, alive, steps = start.select("g", "n", "sums"), start.count(), []
+    if not alive:
+        return signature_frame.select("signature", F.lit(0).alias("cluster"))
+    undone = max(0, min(k, alive) - 1)
+    while alive > last_groups:
+        if len(steps) == max_rounds:
+            raise RuntimeError("linkage did not settle")
+        n_blocks = -(-alive // LINK_ROWS)
+        near = _nearest_groups(cut_lineage(_packed(groups, n_blocks)), n_blocks, width, runs)
+        # A pair that comes first for both of its groups.
+        pairs = cut_lineage(near.groupBy("best").agg(F.count("*").alias("both")).where("both = 2").select("best.*", F.lit(len(steps)).alias("step")))
+        steps.append(pairs)
+        alive -= pairs.count()
+        gone = lookup_join(groups, pairs.select(F.col("hi").alias("g"), F.col("lo").alias("into")), ["g"], "inner").select(F.col("into").alias("g"), F.col("n").alias("n_in"), F.col("sums").alias("sums_in"))
+        kept = groups.join(pairs.select(F.col("hi").alias("g")), "g", "left_anti").join(gone, "g", "left")
+        both = F.when(F.col("n_in").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "sums_in", lambda x, y: x + y))
+        groups = cut_lineage(kept.select("g", (F.col("n") + F.coalesce("n_in", F.lit(0))).alias("n"), both.alias("sums")))
+    rows = groups.orderBy("g").collect()  # last_groups at most
+    last = _last_merges(np.array([r["g"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["sums"] for r in rows]), runs)
+    merges = local_rows(spark, [(d, lo, hi, len(steps) + i) for i, (d, lo, hi) in enumerate(last)], "d double, lo long, hi long, step int")
+    for pairs in steps:
+        merges = merges.unionByName(pairs)
+    if undone:
+        top = merges.orderBy(F.desc("d"), F.desc("step"), F.desc("lo"), F.desc("hi")).limit(undone)
+        merges = merges.join(F.broadcast(local_rows(spark, [(r["lo"], r["hi"]) for r in top.collect()], "lo long, hi long")), ["lo", "hi"], "left_anti")
+    comps = connected_components(start.select(F.col("g").alias("id")), cut_lineage(merges).select(F.col("lo").alias("src"), F.col("hi").alias("dst")))
+    found = cut_lineage(start.select("g", "signature", "n").join(comps.withColumnRenamed("id", "g"), "g"))
+    order = found.groupBy("comp").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "comp").collect()  # k groups
+    names = local_rows(spark, [(r["comp"], i) for i, r in enumerate(order)], "comp long, cluster int")
+    return found.join(F.broadcast(names), "comp").select("signature", "cluster")
 
 
 @dataclass(frozen=True)
@@ -368,17 +491,90 @@ class Consensus:
     n_signatures: int
 
 
-def consensus_of(df: DataFrame, runs: list[str], k: int, max_signatures: int = MAX_SIGNATURES) -> Consensus:
-    """Average-linkage consensus of several label columns; refuses too many distinct signatures."""
-    rows = bounded_collect(signatures(df, runs).orderBy("signature"), max_signatures, "label signatures")
-    labels = np.array([r["signature"] for r in rows])
-    groups = _average_linkage(labels, np.array([r["n"] for r in rows]), min(k, len(rows)))
-    frame = local_rows(df.sparkSession, [(r["signature"], int(g)) for r, g in zip(rows, groups)],
-                       "__signature array<int>, cluster int")
+def _named(df: DataFrame, runs: list[str], names: DataFrame) -> DataFrame:
+    """Rows with the ``cluster`` of their signature."""
     keyed = df.drop("cluster").withColumn("__signature", F.array(*[F.col(c).cast("int") for c in runs]))
-    labelled = lookup_join(keyed, frame, ["__signature"]).drop("__signature")
+    return lookup_join(keyed, names.withColumnRenamed("signature", "__signature"), ["__signature"]).drop("__signature")
+
+
+def consensus_of(df: DataFrame, runs: list[str], k: int) -> Consensus:
+    """Average-linkage consensus of several label columns, over any number of distinct signatures."""
+    frame = cut_lineage(signatures(df, runs))
+    labelled = _named(df, runs, cut_lineage(average_linkage(frame, len(runs), k)))
     mean, _ = stability_ari(labelled, runs, "cluster")
-    return Consensus(labelled, mean, len(rows))
+    return Consensus(labelled, mean, frame.count())
+
+
+def best_assignment(gain: np.ndarray) -> list[int]:
+    """Column of each row so that the summed gain is largest and no column is used twice (rows beyond the columns get -1).
+
+    Shortest augmenting paths over dual prices; the matrix has one row and column per label.
+    """
+    n, m = gain.shape
+    size = max(n, m)
+    cost = np.zeros((size + 1, size + 1))
+    cost[1 : n + 1, 1 : m + 1] = gain.max(initial=0.0) - gain
+    row_price, col_price = np.zeros(size + 1), np.zeros(size + 1)
+    row_of = np.zeros(size + 1, int)
+    for i in range(1, size + 1):
+        row_of[0], j = i, 0
+        least, back, used = np.full(size + 1, np.inf), np.zeros(size + 1, int), np.zeros(size + 1, bool)
+        while row_of[j]:
+            used[j] = True
+            slack = cost[row_of[j]] - row_price[row_of[j]] - col_price
+            better = ~used & (slack < least)
+            better[0] = False
+            least[better], back[better] = slack[better], j
+            free = np.where(used, np.inf, least)
+            free[0] = np.inf
+            nxt = int(free.argmin())
+            step = free[nxt]
+            row_price[row_of[used]] += step
+            col_price[used] -= step
+            least[~used] -= step
+            j = nxt
+        while j:
+            row_of[j] = row_of[back[j]]
+            j = int(back[j])
+    out = [-1] * n
+    for j in range(1, m + 1):
+        if row_of[j] <= n:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
+def aligned_labels(frame: DataFrame, runs: int) -> list[dict[int, int]]:
+    """For every run, what its labels are called in the first run: the renaming that agrees on most rows; labels left over go on behind."""
+    cells = frame.select(F.col("signature")[0].alias("first"), F.posexplode("signature").alias("run", "label"), "n").where("first IS NOT NULL AND label IS NOT NULL")
+    counts = bounded_collect(cells.groupBy("run", "first", "label").agg(F.sum("n").alias("n")), MAX_LABELS * 100, "cells of the contingency tables")
+    first = sorted({r["first"] for r in counts})
+    out = []
+    for run in range(runs):
+        mine = sorted({r["label"] for r in counts if r["run"] == run})
+        table = np.zeros((len(mine), len(first)))
+        for r in counts:
+            if r["run"] == run:
+                table[mine.index(r["label"]), first.index(r["first"])] += r["n"]
+        picked = best_assignment(table)
+        spare = iter(range(max(first, default=0) + 1, max(first, default=0) + 1 + len(mine)))
+        out.append({v: first[p] if p >= 0 else next(spare) for v, p in zip(mine, picked, strict=True)})
+    return out
+
+
+def majority_vote(df: DataFrame, runs: list[str], align: bool = True) -> DataFrame:
+    """Adds ``cluster``: the label that most runs give a row, the smallest on a tie; without ``align`` labels are taken as they are.
+
+    Labels of different runs are first brought to the names of the first run.  Rows vote as signatures; a row without any label has none.
+    """
+    frame = signatures(df, runs)
+    if align:
+        renamed = aligned_labels(frame, len(runs))
+        votes = F.array(*[F.element_at(lit_map(names, "int", "int"), F.col("signature")[i]) if names else F.lit(None).cast("int") for i, names in enumerate(renamed)])
+    else:
+        votes = F.col("signature")
+    given = F.filter(votes, lambda v: v.isNotNull())
+    ballots = F.transform(F.array_distinct(given), lambda v: F.struct((-F.size(F.filter(given, lambda w: w == v))).alias("against"), v.alias("label")))
+    return _named(df, runs, cut_lineage(frame.select("signature", F.array_min(ballots)["label"].alias("cluster"))))
 
 
 def consensus(data: DataFrame, k: int = 8, runs: int = 20, seed: int = 42, key: str = "company_id") -> Consensus:

@@ -334,24 +334,61 @@ def test_consensus_of_agreeing_runs(blobs):
         "c": F.when(F.col("company_id") % 50 == 0, 0).otherwise(F.col("truth")).cast("int")})
     done = cs.consensus_of(runs, ["a", "b", "c"], 4)
     assert va.adjusted_rand(done.labelled, "truth", "cluster") == 1.0 and done.mean_ari > 0.9
-    with pytest.raises(ValueError):
-        cs.consensus_of(runs, ["a", "b", "c"], 4, max_signatures=2)
+    assert done.n_signatures > 4
+
+
+def brute_linkage(labels, weights, k):
+    """Merge the pair with the least (average distance, lower, higher number) until ``k`` groups are left."""
+    groups = {i: [i] for i in range(len(labels))}
+    apart = (labels[:, None] != labels[None]).mean(axis=2)
+
+    def gap(a, b):
+        w = weights[groups[a]][:, None] * weights[groups[b]][None]
+        return round(float((apart[np.ix_(groups[a], groups[b])] * w).sum() / w.sum()), 11)
+
+    gaps = {(a, b): gap(a, b) for a, b in itertools.combinations(groups, 2)}
+    while len(groups) > k:
+        i, j = min(gaps, key=lambda p: (gaps[p], p))
+        groups[i] += groups.pop(j)
+        gaps = {p: d for p, d in gaps.items() if not {i, j} & set(p)}
+        gaps |= {(min(i, x), max(i, x)): gap(min(i, x), max(i, x)) for x in groups if x != i}
+    order = sorted(groups, key=lambda g: (-weights[groups[g]].sum(), g))
+    return {tuple(labels[i].tolist()): c for c, g in enumerate(order) for i in groups[g]}
 
 
-def test_average_linkage_matches_brute_force():
+@pytest.mark.parametrize(("last", "k"), [(1000, 5), (20, 5), (2, 3), (1, 1)])
+def test_average_linkage_in_rounds_matches_brute_force(spark, last, k, monkeypatch):
     rng = np.random.default_rng(5)
-    labels = np.unique(rng.integers(0, 3, size=(25, 4)), axis=0)
+    labels = np.unique(rng.integers(0, 3, size=(120, 6)) * (rng.random((120, 6)) < 0.8), axis=0)
     weights = rng.integers(1, 9, size=len(labels))
-    got = cs._average_linkage(labels, weights, 3)
-    rows = [i for i, w in enumerate(weights) for _ in range(w)]
-    groups = [[r for r in rows if r == i] for i in range(len(labels))]
-    gap = lambda a, b: np.mean([(labels[i] != labels[j]).mean() for i in a for j in b])
-    while len(groups) > 3:
-        i, j = min(itertools.combinations(range(len(groups)), 2), key=lambda p: round(gap(groups[p[0]], groups[p[1]]), 12))
-        groups[i] += groups.pop(j)
-    best = sum(gap(g, g) * len(g) for g in groups)
-    mine = [[r for r in rows if got[r] == c] for c in range(3)]
-    assert sum(gap(g, g) * len(g) for g in mine) == pytest.approx(best, rel=0.25)
+    monkeypatch.setattr(cs, "LINK_ROWS", 30)
+    frame = spark.createDataFrame([([int(v) for v in row], int(w)) for row, w in zip(labels, weights)], "signature array<int>, n long").repartition(3)
+    got = {tuple(r.signature): r.cluster for r in cs.average_linkage(frame, 6, k, last).collect()}
+    assert got == brute_linkage(labels, weights, k)
+
+
+def test_best_assignment_is_the_best_permutation():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 3), (4, 4), (2, 5), (5, 3), (5, 5)):
+        for _ in range(20):
+            gain = rng.integers(0, 9, (n, m)).astype(float)
+            got = cs.best_assignment(gain)
+            used = [j for j in got if j >= 0]
+            assert len(used) == len(set(used)) == min(n, m)
+            wide = np.zeros((max(n, m), max(n, m)))
+            wide[:n, :m] = gain
+            best = max(sum(wide[i, p[i]] for i in range(len(p))) for p in itertools.permutations(range(max(n, m))))
+            assert sum(gain[i, j] for i, j in enumerate(got) if j >= 0) == best
+
+
+def test_majority_vote_aligns_labels(spark):
+    truth = [i % 3 for i in range(60)]
+    rows = [(i, t, (t + 1) % 3, 5 - t if i % 10 else 3, None if i == 7 else [2, 0, 1][t]) for i, t in enumerate(truth)]
+    df = spark.createDataFrame(rows + [(60, None, None, None, None)], "company_id long, a int, b int, c int, d int")
+    got = {r.company_id: r.cluster for r in cs.majority_vote(df, ["a", "b", "c", "d"]).collect()}
+    assert got == {**dict(enumerate(truth)), 60: None}
+    plain = {r.company_id: r.cluster for r in cs.majority_vote(df, ["a", "b"], align=False).collect()}
+    assert all(plain[i] == min(t, (t + 1) % 3) for i, t in enumerate(truth))
 
 
 def test_hierarchical_segments_cover_all_rows(blobs):
