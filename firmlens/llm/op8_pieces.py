@@ -270,29 +270,61 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
+# Ids that are decoded at a time; a longer document stands alone.
+DECODE_IDS = 250_000
+# Bytes of text of one step that encodes and decodes.
+STEP_BYTES = 1 << 20
+
+
+def _decoded(pieces: Pieces, flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The texts of consecutive lists of ids, some lists at a time."""
+    ends = np.cumsum(n)
+    out: list[str] = []
+    row = 0
+    while row < len(n):
+        base = int(ends[row] - n[row])
+        stop = max(row + 1, int(np.searchsorted(ends, base + DECODE_IDS, side="right")))
+        ids, cuts = flat[base : ends[stop - 1]].tolist(), [0, *(ends[row:stop] - base).tolist()]
+        out += pieces.decode([ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        row = stop
+    return pa.array(out, pa.string())
+
+
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
-    """``encoded`` with the decoded text as column ``decoded``."""
+    """``encoded`` with the decoded text as column ``decoded``; null ids count as none."""
     path = model_path or tokenizer_path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                column = part.column(at)
-                flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
-                texts = pieces.decode([flat[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+            column = batch.column(batch.schema.get_field_index("ids"))
+            n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = _decoded(pieces, column.flatten().to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{name}` {kind}" for name, kind in encoded.dtypes)
     return encoded.mapInArrow(run, f"{fields}, decoded string")
 
 
+def encode_and_decode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """(doc_id, ids, end_byte, decoded) of every row in one pass, so a task needs one Python worker: ``end_byte`` is where the last piece ends."""
+    path, kind = model_path or tokenizer_path(MODEL), dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(path)
+        for batch in rebatched(batches, limit=STEP_BYTES):
+            ids, _, ends, n = pieces.encode_batch(batch.column(1))
+            last = np.zeros(len(n), np.int64)
+            full = n > 0
+            last[full] = ends[np.cumsum(n)[full] - 1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids, n), pa.array(last), _decoded(pieces, ids, n)], ["doc_id", "ids", "end_byte", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, end_byte long, decoded string")
+
+
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """Per document: number of ids, where the last piece ends, and digests of the ids and of the decoded text."""
-    encoded = encode(docs, model_path).select("doc_id", "ids", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("end_byte"))
-    return decode(encoded, model_path).select(
+    return encode_and_decode(docs, model_path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -287,6 +287,16 @@ def test_pieces_of_odd_texts_and_their_spans(pieces):
         assert not k or ends[own][-1] == len(raw)
 
 
+def test_decoding_in_steps_takes_long_and_null_rows(spark, odd_docs, odd_rows, pieces, monkeypatch):
+    monkeypatch.setattr(op8_pieces, "DECODE_IDS", 7)
+    encoded = op8_pieces.encode(odd_docs).select("doc_id", "ids")
+    both = op8_pieces.encode_and_decode(odd_docs).select("doc_id", "ids", "decoded")
+    assert sorted(map(str, op8_pieces.decode(encoded).collect())) == sorted(map(str, both.collect()))
+    none = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in op8_pieces.decode(none).collect()] == ["", ""]
+    assert sorted(r.decoded for r in both.collect()) == sorted(pieces.decode([list(pieces.library.encode(r[1] or ""))])[0] for r in odd_rows)
+
+
 def trie_blob(rules):
     """A double-array trie over ``rules`` (bytes to bytes), laid out one node at a time."""
     values, place = b"", {}
