@@ -4,9 +4,10 @@ Every run of ``WIDTH`` bytes of a text (a window) has a minimizer, the least has
 of its short grams; equal windows have equal minimizers.  The work is dealt by
 minimizers:
 
-1. each document reports its distinct minimizers in packed lists; the task of
-   their bucket answers, bit by bit, which occur in several documents, and which
-   in very many;
+1. a step (some megabytes of documents) reports its distinct minimizers, each with the number
+   of its documents that have it, in one packed list per bucket; the task of a bucket adds up and answers,
+   flag by flag, which occur in several documents, and which in very many.  A minimizer
+   that every document has thus costs one entry per step, and the step itself deals the flags out to its documents;
 2. each document cuts the stretches of windows that share a reported minimizer
    (for a very frequent one, also a second minimizer of another order) and sends
    them to the bucket of that minimizer, equal stretches of a step once;
@@ -101,69 +102,77 @@ def _split_rows(keys: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(keys[starts].tolist(), starts.tolist(), [*cuts.tolist(), len(keys)], strict=True))
 
 
-def reports(docs: DataFrame, width: int, n_buckets: int) -> DataFrame:
-    """(bucket, docs, counts, tags): the 32-bit tags of the minimizers that each document has in the bucket."""
+_SHARED, _HOT = 1, 2
+
+
+def reports(rows: DataFrame, width: int, n_buckets: int) -> DataFrame:
+    """What each step has: for every bucket (``bucket``, ``tags``, ``times``) the 32-bit tags of its distinct minimizers and in how many of its
+    documents each is; and one row without a bucket that says which of them each document has (``docs``, ``names``, ``counts``, ``which``).
+
+    Minimizers stand in the order of bucket and value.  A step is named by a digest of its documents, so a task that runs again names it alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatched(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, names = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+            step = hashlib.blake2b(ids.tobytes() + names.tobytes(), digest_size=16).digest()
             data, offsets = flat_text(batch.column(1))
             owner, values = _report(minimizers(data, offsets, width), np.diff(offsets))
-            bucket = _buckets_of(values, n_buckets)
-            order = np.lexsort((values, owner, bucket))
-            owner, bucket, tags = owner[order], bucket[order], (values[order] // np.uint64(n_buckets)).astype("<u4")
-            out: list[list] = [[], [], [], []]
-            for key, a, b in _split_rows(bucket):
-                who, counts = np.unique(owner[a:b], return_counts=True)
-                for column, item in zip(out, (key, ids[who], counts.astype(np.int32), tags[a:b].tobytes()), strict=True):
-                    column.append(item)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.binary())], ["bucket", "docs", "counts", "tags"]
-            )
+            distinct, which, times = np.unique(values, return_inverse=True, return_counts=True)
+            bucket = _buckets_of(distinct, n_buckets)
+            order = np.lexsort((distinct, bucket))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            tags, times, bucket = (distinct[order] // np.uint64(n_buckets)).astype("<u4"), times[order].astype("<u4"), bucket[order]
+            # A document's own minimizers in the same order.
+            which = place[which]
+            which = which[np.lexsort((which, owner))].astype("<i4")
+            out = [(step, key, tags[a:b].tobytes(), times[a:b].tobytes(), None, None, None, None) for key, a, b in _split_rows(bucket)]
+            out.append((step, None, None, None, ids, names, np.bincount(owner, minlength=len(ids)).astype(np.int32), which.tobytes()))
+            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["step", "bucket", "tags", "times", "docs", "names", "counts", "which"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, docs array<long>, counts array<int>, tags binary")
+    schema = "step binary, bucket int, tags binary, times binary, docs array<long>, names array<long>, counts array<int>, which binary"
+    return rows.select("doc_id", "text", "name").mapInArrow(run, schema)
 
 
 def answers(reported: DataFrame, frequent: int) -> DataFrame:
-    """(doc_id, bucket, shared, hot): bits in the order of the report, ``hot`` empty where none is; only documents with a shared minimizer."""
+    """(step, bucket, flags): a byte for every tag of the step's report, whether several or very many documents have it."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        tags = np.frombuffer(b"".join(table.column("tags").to_pylist()), "<u4")
-        docs = np.concatenate([np.asarray(c.flatten()) for c in table.column("docs").chunks])
-        counts = np.concatenate([np.asarray(c.flatten()) for c in table.column("counts").chunks]).astype(np.int64)
-        order = np.argsort(tags, kind="stable")
-        ranked = tags[order]
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-        times = np.empty(len(tags), np.int64)
-        times[order] = np.repeat(np.diff(np.append(starts, len(tags))), np.diff(np.append(starts, len(tags))))
-        shared, hot = times > 1, times >= frequent
-        ends = np.cumsum(counts)
-        any_shared = np.add.reduceat(shared, ends - counts) > 0 if len(ends) else np.zeros(0, bool)
-        rows = np.flatnonzero(any_shared)
-        pieces = [(np.packbits(shared[ends[i] - counts[i] : ends[i]]).tobytes(), np.packbits(hot[ends[i] - counts[i] : ends[i]]).tobytes() if hot[ends[i] - counts[i] : ends[i]].any() else b"") for i in rows]
-        return pa.table(
-            {
-                "doc_id": pa.array(docs[rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()),
-                "shared": pa.array([p[0] for p in pieces], pa.binary()), "hot": pa.array([p[1] for p in pieces], pa.binary()),
-            }
-        )
+        tags = [np.frombuffer(t, "<u4") for t in table.column("tags").to_pylist()]
+        sizes = [len(t) for t in tags]
+        _, which = np.unique(np.concatenate(tags), return_inverse=True)
+        times = np.concatenate([np.frombuffer(t, "<u4") for t in table.column("times").to_pylist()])
+        docs = np.bincount(which, weights=times)[which]
+        flags = np.where(docs >= frequent, _SHARED | _HOT, np.where(docs > 1, _SHARED, 0)).astype(np.uint8)
+        parts = [f.tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
+        return pa.table({"step": table.column("step"), "bucket": table.column("bucket"), "flags": pa.array(parts, pa.binary())})
+
+    return reported.groupBy("bucket").applyInArrow(run, "step binary, bucket int, flags binary")
 
-    return reported.groupBy("bucket").applyInArrow(run, "doc_id long, bucket int, shared binary, hot binary")
 
+def flags_of_documents(reported: DataFrame, answered: DataFrame) -> DataFrame:
+    """(doc_id, name, flags) of the documents with a shared minimizer: a byte for each of its minimizers, in the order of bucket and value."""
+    # One row per step and bucket; steps that are equal, from repeated rows, have equal answers.
+    by_step = answered.groupBy("step").agg(F.sort_array(F.collect_set(F.struct("bucket", "flags")))["flags"].alias("parts"))
+    own = reported.where("bucket IS NULL").select("step", "docs", "names", "counts", "which")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                docs, names, counts = (np.asarray(batch.column(c)[i].values, np.int64) for c in ("docs", "names", "counts"))
+                which = np.frombuffer(batch.column("which")[i].as_buffer(), "<i4")
+                flags = np.frombuffer(b"".join(batch.column("parts")[i].as_py()), np.uint8)[which]
+                ends = np.cumsum(counts)
+                total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+                rows = np.flatnonzero(total[ends] > total[ends - counts])
+                parts = [flags[ends[r] - counts[r] : ends[r]].tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[rows]), pa.array(names[rows]), pa.array(parts, pa.binary())], ["doc_id", "name", "flags"])
 
-def _flags(values: np.ndarray, bits: list[dict], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shared, hot) of a document's sorted distinct minimizers, from the answers of its buckets."""
-    bucket = _buckets_of(values, n_buckets)
-    order = np.lexsort((values, bucket))
-    shared, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
-    runs = {key: (a, b) for key, a, b in _split_rows(bucket[order])}
-    for answer in bits:
-        a, b = runs[answer["bucket"]]
-        shared[order[a:b]] = np.unpackbits(np.frombuffer(answer["shared"], np.uint8), count=b - a).astype(bool)
-        if answer["hot"]:
-            hot[order[a:b]] = np.unpackbits(np.frombuffer(answer["hot"], np.uint8), count=b - a).astype(bool)
-    return shared, hot
+    found = own.join(by_step, "step").mapInArrow(run, "doc_id long, name long, flags binary")
+    return found.dropDuplicates(["doc_id", "name"])
 
 
 def stretches(answered: DataFrame, width: int, n_reports: int, n_sorts: int) -> DataFrame:
@@ -179,11 +188,9 @@ def stretches(answered: DataFrame, width: int, n_reports: int, n_sorts: int) ->
             values = minimizers(data, offsets, width)
             lengths_of = np.diff(offsets)
             named_owner, named = _report(values, lengths_of)
-            firsts = np.searchsorted(named_owner, np.arange(len(ids) + 1))
-            shared, hot = np.zeros(len(named), bool), np.zeros(len(named), bool)
-            for i, bits in enumerate(batch.column(2).to_pylist()):
-                span = slice(firsts[i], firsts[i + 1])
-                shared[span], hot[span] = _flags(named[span], bits, n_reports)
+            flags = np.empty(len(named), np.uint8)
+            flags[np.lexsort((named, _buckets_of(named, n_reports), named_owner))] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
+            shared, hot = flags & _SHARED > 0, flags & _HOT > 0
             # Runs of windows of one document with one minimizer, and each run's place among the document's minimizers.
             edge = np.ones(len(data), bool)
             edge[1:] = values[1:] != values[:-1]
@@ -237,7 +244,7 @@ def stretches(answered: DataFrame, width: int, n_reports: int, n_sorts: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["bucket", "docs", "starts", "lengths", "content", "done_docs", "done_starts", "done_ends"])
 
     schema = "bucket int, docs array<long>, starts array<int>, lengths array<int>, content binary, done_docs array<long>, done_starts array<int>, done_ends array<int>"
-    return answered.select("doc_id", "text", "bits").mapInArrow(run, schema)
+    return answered.select("doc_id", "text", "flags").mapInArrow(run, schema)
 
 
 def _words_at(text: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
@@ -426,8 +433,8 @@ def _drop(joined: DataFrame, with_text: bool) -> DataFrame:
 
 
 def copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n) of the documents, of at least ``width`` bytes, whose whole text a smaller doc_id has; texts are told apart by MD5."""
-    keys = docs.select("doc_id", F.md5("text").alias("name"), F.octet_length("text").alias("n")).where(F.col("n") >= width)
+    """(doc_id, n) of the documents, of at least ``width`` bytes, whose whole text a smaller doc_id has; texts are told apart by SHA-256."""
+    keys = docs.select("doc_id", F.sha2("text", 256).alias("name"), F.octet_length("text").alias("n")).where(F.col("n") >= width)
     firsts = keys.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     # Only names of texts that occur twice are joined.
     return keys.join(checked_broadcast(cut_lineage(firsts)), "name").where("doc_id > first").groupBy("doc_id").agg(F.max("n").alias("n"))
@@ -444,10 +451,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, frequent: int = FREQUENT
     several = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     whole = cut_lineage(whole.join(several, "doc_id", "left_anti"))
     first = named.join(checked_broadcast(whole.select("doc_id")), "doc_id", "left_anti")
-    bits = answers(reports(first, width, n_reports), frequent)
-    bits = cut_lineage(bits.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("bits")))
-    # Ids are narrow and may be sent to every task; the answers go by a join that only the texts in question take part in.
-    asked = first.join(checked_broadcast(bits.select("doc_id")), "doc_id", "left_semi").join(bits.hint("merge"), "doc_id")
+    first = first.withColumn("name", F.xxhash64("text"))
+    reported = cut_lineage(reports(first, width, n_reports))
+    answered = answers(reported.where("bucket IS NOT NULL").select("step", "bucket", "tags", "times"), frequent)
+    flags = cut_lineage(flags_of_documents(reported, answered))
+    # Ids are narrow and may be sent to every task; the flags go by a join that only the texts in question take part in.
+    asked = first.join(checked_broadcast(flags.select("doc_id")), "doc_id", "left_semi").join(flags.hint("merge"), ["doc_id", "name"])
     found = marked(stretches(asked, width, n_reports, n_sorts), width)
     ranges = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("ranges"))
     zero = F.array(F.struct(F.array(F.lit(0)).alias("starts"), F.array(F.col("n").cast("int")).alias("ends")))
