@@ -18,6 +18,7 @@ from firmlens.operators.density import connected_components
 from firmlens.operators.kmeans import add_partials, draw_candidates, few_partitions, fit_many, predict_all, settled
 from firmlens.operators.mixture import mixtures_by_k, predict_mixture
 from firmlens.operators.profile_stats import dbl, impute
+from firmlens.operators.separable import cluster_sums
 from firmlens.operators.validate import Silhouette, _gower, adjusted_rand, silhouettes
 from firmlens.session import bounded_collect, cut_lineage, lit_map, local_rows, lookup_join
 
@@ -58,131 +59,126 @@ def coded_features(df: DataFrame, numeric: list[str], categorical: list[str], ma
     return filled.withColumn("features", F.array(*[dbl(c) for c in numeric], *codes)), weights
 
 
-# Knots per numeric column of the cost bounds, and candidates scored per scan.
-KNOTS = 256
-CANDIDATES_PER_SCAN = 2_000
-# Rows from which the first medoids are picked; the updates look at every row.
-START_ROWS = 200
+# Passes over the rows that draw candidates for the first medoids, and candidates of a pass for every medoid wanted.
+DRAW_PASSES, DRAWN_PER_MEDOID = 4, 2
+# Exchanges of a medoid for a candidate, each looked for in one scan.
+MAX_SWAPS = 5
 
 
-@dataclass(frozen=True)
-class _Tally:
-    """Per cluster: counts and sums of the numbers per bucket, counts per category, summed distance."""
-
-    numbers: list  # per numeric column: (counts, sums), each clusters x buckets
-    levels: list  # per category column: counts, clusters x codes
-    cost: np.ndarray
-
-    @staticmethod
-    def of(x, label, gaps, k, edges, sizes):
-        p = len(edges)
-        numbers, levels = [], []
-        for j in range(p):
-            m = len(edges[j]) - 1
-            at = label * m + _bucket(x[:, j], edges[j])
-            numbers.append((np.bincount(at, minlength=k * m).reshape(k, m).astype(float),
-                            np.bincount(at, weights=x[:, j], minlength=k * m).reshape(k, m)))
-        for j, size in enumerate(sizes):
-            at = label * (size + 1) + x[:, p + j].astype(int)
-            levels.append(np.bincount(at, minlength=k * (size + 1)).reshape(k, size + 1).astype(float))
-        return _Tally(numbers, levels, np.bincount(label, weights=gaps, minlength=k))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for pair in self.numbers for a in pair] + [a.ravel() for a in self.levels] + [self.cost])
-
-    @staticmethod
-    def unflat(values, k, edges, sizes):
-        parts, at = [], 0
-        for width in [w for e in edges for w in (len(e) - 1, len(e) - 1)] + [s + 1 for s in sizes]:
-            parts.append(values[at:at + k * width].reshape(k, width))
-            at += k * width
-        p = len(edges)
-        return _Tally([(parts[2 * j], parts[2 * j + 1]) for j in range(p)], parts[2 * p:], values[at:at + k])
-
-    def bounds(self, x, label, weights, edges):
-        """Lower and upper bounds of the summed distance from each row to its cluster.
-
-        Outside a row's own bucket the sum is exact; inside it is at least
-        |n x - sum| and, being convex, at most the chord between the knots.
-        """
-        low, high = np.zeros(len(x)), np.zeros(len(x))
-        for j, (counts, sums) in enumerate(self.numbers):
-            v, b = x[:, j], _bucket(x[:, j], edges[j])
-            n_below, s_below = counts.cumsum(axis=1) - counts, sums.cumsum(axis=1) - sums
-            n, s = counts[label, b], sums[label, b]
-            nb, sb = n_below[label, b], s_below[label, b]
-            na, sa = counts.sum(axis=1)[label] - nb - n, sums.sum(axis=1)[label] - sb - s
-            outside = v * nb - sb + sa - v * na
-            left, right = edges[j][b], edges[j][b + 1]
-            share = np.where(right > left, (v - left) / np.where(right > left, right - left, 1.0), 0.0)
-            low += weights[j] * (outside + np.abs(n * v - s))
-            high += weights[j] * (outside + (1 - share) * (s - n * left) + share * (n * right - s))
-        for j, counts in enumerate(self.levels):
-            differ = counts.sum(axis=1)[label] - counts[label, x[:, len(edges) + j].astype(int)]
-            low, high = low + differ, high + differ
-        d = x.shape[1]
-        return low / d, high / d
-
-
-def _bucket(v, edges):
-    return np.clip(np.searchsorted(edges, v, side="right") - 1, 0, len(edges) - 2)
-
-
-def _first_medoids(pool, distance, k):
-    """Greedy choice among the starting rows."""
+def _drawn(data: DataFrame, distance, most: int, key: str, seed: int) -> np.ndarray:
+    """Candidate rows, drawn from all rows in a few passes in proportion to their distance to those drawn before."""
+    row = data.orderBy(F.xxhash64(key, F.lit(seed)), key).select("features").first()
+    if row is None:
+        raise ValueError("no rows to draw medoids from")
+    found = np.array([row[0]])
+    wanted = DRAWN_PER_MEDOID * most
+    for turn in range(DRAW_PASSES):
+
+        def race(batches, found=found):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                gap = distance(np.stack(pdf["features"]), found).min(axis=1)
+                u = ((pdf["h"].to_numpy("int64").view("uint64") >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+                # The least of exponential draws with the distances as rates.
+                far = np.flatnonzero(gap > 0)
+                time = -np.log(u[far]) / gap[far]
+                first = far[np.argsort(time, kind="stable")[:wanted]]
+                yield pd.DataFrame({"time": np.sort(time, kind="stable")[:wanted], "features": list(pdf["features"].iloc[first])})
+
+        drawn = data.select("features", F.xxhash64(key, F.lit(seed + 1 + turn)).alias("h")).mapInPandas(race, "time double, features array<double>")
+        rows = drawn.orderBy("time", "features").limit(wanted).collect()
+        if not rows:
+            break
+        found = np.unique(np.concatenate([found, np.array([r["features"] for r in rows])]), axis=0)
+    return found
+
+
+def _first_medoids(pool: np.ndarray, rows: np.ndarray, distance, k: int) -> np.ndarray:
+    """Greedy choice among the candidates, each standing for ``rows`` rows, bettered by exchanges among them."""
     between = distance(pool, pool)
-    picked = [int(between.sum(axis=1).argmin())]
-    while len(picked) < k:
-        gain = np.maximum(between[:, picked].min(axis=1)[:, None] - between, 0).sum(axis=0)
+    picked = [int((between * rows[:, None]).sum(axis=0).argmin())]
+    while len(picked) < min(k, len(pool)):
+        gain = (np.maximum(between[:, picked].min(axis=1)[:, None] - between, 0) * rows[:, None]).sum(axis=0)
         gain[picked] = -1
         picked.append(int(gain.argmax()))
+    for _ in range(2 * k):
+        change = _swap_changes(between, np.array(picked), rows)
+        change[:, picked] = 0
+        m, x = np.unravel_index(change.argmin(), change.shape)
+        if change[m, x] >= -1e-9 * rows.sum():
+            break
+        picked[m] = int(x)
     return pool[picked]
 
 
+def _swap_changes(gaps: np.ndarray, medoids: np.ndarray | None, rows: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """(medoids x candidates): by how much the summed distance changes if the one takes the other's place.
+
+    ``gaps`` are the rows' distances to the candidates, ``own`` those to the medoids (columns of ``gaps`` if left out).
+    """
+    own = gaps[:, medoids] if own is None else own
+    k = own.shape[1]
+    label = own.argmin(axis=1)
+    first = own[np.arange(len(own)), label]
+    second = np.partition(own, 1, axis=1)[:, 1] if k > 1 else np.full(len(own), np.inf)
+    # Any row may gain by the newcomer; the rows of the medoid that goes fall back on their second one.
+    gain = np.minimum(gaps - first[:, None], 0) * rows[:, None]
+    out = np.tile(gain.sum(axis=0), (k, 1))
+    for m in range(k):
+        mine = label == m
+        out[m] += ((np.minimum(gaps[mine], second[mine][:, None]) - first[mine][:, None]) * rows[mine][:, None] - gain[mine]).sum(axis=0)
+    return out
+
+
 def kmedoids_gower(
     data: DataFrame, weights: np.ndarray, ks: list[int], key: str = "company_id", seed: int = 42, rounds: int = 20
 ) -> dict[int, tuple[np.ndarray, float]]:
-    """Medoids and total distance per K, alternating assignment and exact medoid updates.
+    """Medoids and total distance per K: drawn starts, exact medoid updates, then exchanges with candidates.
 
     The medoid of a cluster is its row with the smallest summed distance to all
-    members.  That sum separates by column, so one scan of histograms bounds it
-    for every row; only rows whose lower bound beats the best upper bound are
-    scored against all members.  No pair of rows is formed, no row is left out,
-    and all K share the scans.
+    members, an exact sum for every row that needs no pair of rows (``cluster_sums``).  Where no update helps any more, one
+    scan weighs every exchange of a medoid for a drawn candidate, and the best one is made if it lowers
+    the total.  All K share the scans; no row is left out.
     """
     few = few_partitions(data)
-    p = len(weights)
-    distance = _gower(weights, p)
-    d = data.select(F.size("features")).first()[0]
-    row = data.agg(*[F.min(F.col("features")[j]).alias(f"lo{j}") for j in range(d)],
-                   *[F.max(F.col("features")[j]).alias(f"hi{j}") for j in range(d)]).first()
-    seeds = np.array([r[0] for r in data.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(START_ROWS).select("features").collect()])
-    probs = np.linspace(0, 1, KNOTS)
-    edges = []
-    for j in range(p):
-        knots = np.unique(np.concatenate([[row[f"lo{j}"], row[f"hi{j}"]], np.quantile(seeds[:, j], probs),
-                                          np.linspace(row[f"lo{j}"], row[f"hi{j}"], KNOTS)]))
-        edges.append(knots if len(knots) > 1 else np.array([knots[0], knots[0]]))
-    sizes = [int(row[f"hi{j}"]) for j in range(p, d)]
-    medoids = {k: _first_medoids(seeds, distance, min(k, len(seeds))) for k in ks}
-    costs = dict.fromkeys(ks, np.inf)
-    active = set(ks)
-    for _ in range(rounds):
-        now = {k: medoids[k] for k in sorted(active)}
-        tallies = _tally_scan(data, now, distance, edges, sizes, few)
-        for k in list(active):
-            total = float(tallies[k].cost.sum())
-            if not total < costs[k] - 1e-9 * max(total, 1.0):
-                active.discard(k)
-            costs[k] = min(total, costs[k])
+    distance = _gower(weights, len(weights))
+    pool = _drawn(data, distance, max(ks), key, seed)
+    stands_for = _scan(data, {0: pool}, distance, few)[0][0]
+    medoids = {k: _first_medoids(pool, stands_for, distance, k) for k in ks}
+    best = {k: (medoids[k], np.inf) for k in ks}
+    active, swaps = set(ks), dict.fromkeys(ks, 0)
+    while active:
+        for _ in range(rounds):
+            now = {k: medoids[k] for k in sorted(active)}
+            scanned = _scan(data, now, distance, few)
+            moving = {}
+            for k in now:
+                cost = float(scanned[k][1].sum())
+                better = cost < best[k][1] - 1e-9 * max(cost, 1.0)
+                if better:
+                    best[k] = (now[k], cost)
+                    moving[k] = now[k]
+            if not moving:
+                break
+            found = _best_members(data, moving, {k: scanned[k][0] for k in moving}, distance, weights, key)
+            for k in moving:
+                medoids[k] = found[k]
+            if all(np.array_equal(found[k], moving[k]) for k in moving):
+                break
+        active = {k for k in active if swaps[k] < MAX_SWAPS}
         if not active:
             break
-        found = _best_members(data, {k: now[k] for k in sorted(active)}, tallies, distance, weights, edges, seeds, key)
+        changes = _swap_scan(data, {k: best[k][0] for k in sorted(active)}, pool, distance, few)
         for k in list(active):
-            if np.array_equal(found[k], medoids[k]):
+            m, x = np.unravel_index(changes[k].argmin(), changes[k].shape)
+            if changes[k][m, x] < -1e-9 * max(best[k][1], 1.0):
+                swaps[k] += 1
+                medoids[k] = best[k][0].copy()
+                medoids[k][m] = pool[x]
+            else:
                 active.discard(k)
-            medoids[k] = found[k]
-    return {k: (medoids[k], costs[k]) for k in ks}
+    return best
 
 
 def _assigned(x, medoids, distance):
@@ -191,7 +187,9 @@ def _assigned(x, medoids, distance):
     return label, gaps[np.arange(len(x)), label]
 
 
-def _tally_scan(data, medoids, distance, edges, sizes, few) -> dict[int, _Tally]:
+def _scan(data: DataFrame, medoids: dict[int, np.ndarray], distance, few: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and summed distance of every cluster of every K."""
+
     def partial(batches):
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
@@ -199,85 +197,55 @@ def _tally_scan(data, medoids, distance, edges, sizes, few) -> dict[int, _Tally]
                 continue
             x = np.stack(pdf["features"])
             for k, points in medoids.items():
-                flat = _Tally.of(x, *_assigned(x, points, distance), len(points), edges, sizes).flat()
+                label, gaps = _assigned(x, points, distance)
+                flat = np.concatenate([np.bincount(label, minlength=len(points)), np.bincount(label, weights=gaps, minlength=len(points))])
                 sums[k] = sums[k] + flat if k in sums else flat
         if sums:
             yield pd.DataFrame({"model": np.array(list(sums), dtype="int32"), "stats": list(sums.values())})
 
     found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"), few)
-    return {k: _Tally.unflat(found[k], len(points), edges, sizes) for k, points in medoids.items()}
+    return {k: (found[k][:len(points)], found[k][len(points):]) for k, points in medoids.items()}
 
 
-def _best_members(data, medoids, tallies, distance, weights, edges, seeds, key) -> dict[int, np.ndarray]:
-    """Exact medoid of every cluster of every K."""
-    # Any row's upper bound, and the present medoid's own cost, limit what the best row can cost.
-    limit = {}
-    for k, points in medoids.items():
-        best = tallies[k].cost.copy()
-        label, _ = _assigned(seeds, points, distance)
-        _, high = tallies[k].bounds(seeds, label, weights, edges)
-        np.minimum.at(best, label, high)
-        limit[k] = best * (1 + 1e-9) + 1e-9
+def _swap_scan(data: DataFrame, medoids: dict[int, np.ndarray], pool: np.ndarray, distance, few: bool) -> dict[int, np.ndarray]:
+    """Change of the total by every exchange of a medoid for a candidate, over all rows."""
 
-    def hopeful(batches):
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["features"])
-            for k, points in medoids.items():
-                label, _ = _assigned(x, points, distance)
-                low, _ = tallies[k].bounds(x, label, weights, edges)
-                rows = np.nonzero(low <= limit[k][label])[0]
-                if not len(rows):
-                    continue
-                yield pd.DataFrame({"k": np.full(len(rows), k, dtype="int32"), "c": label[rows].astype("int32"),
-                                    "features": list(x[rows]), "id": pdf["id"].to_numpy()[rows]})
-
-    kind = data.schema[key].dataType.simpleString()
-    survivors = cut_lineage(
-        data.select("features", F.col(key).alias("id")).mapInPandas(hopeful, f"k int, c int, features array<double>, id {kind}")
-        .groupBy("k", "c", "features").agg(F.min("id").alias("id")))
-    best = {k: [(np.inf, None, None)] * len(points) for k, points in medoids.items()}
-    chunk: list = []
-
-    def score():
-        held = {k: [[r for r in chunk if r["k"] == k and r["c"] == c] for c in range(len(points))] for k, points in medoids.items()}
-        table = {k: [np.array([r["features"] for r in rows]) for rows in groups] for k, groups in held.items()}
-
-        def partial(batches):
-            sums: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["features"])
+            for lo in range(0, len(pdf), 2_048):
+                x = np.stack(pdf["features"].iloc[lo:lo + 2_048])
+                gaps, one = distance(x, pool), np.ones(len(x))
                 for k, points in medoids.items():
-                    label, _ = _assigned(x, points, distance)
-                    parts = [distance(x[label == c], rows).sum(axis=0) for c, rows in enumerate(table[k]) if len(rows)]
-                    if parts:
-                        flat = np.concatenate(parts)
-                        sums[k] = sums[k] + flat if k in sums else flat
-            if sums:
-                yield pd.DataFrame({"model": np.array(list(sums), dtype="int32"), "stats": list(sums.values())})
-
-        found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"), few_partitions(data))
-        for k, groups in held.items():
-            at = 0
-            for c, rows in enumerate(groups):
-                for r, cost in zip(rows, found[k][at:at + len(rows)] if rows else []):
-                    old = best[k][c]
-                    if old[1] is None or (round(cost, 9), r["id"]) < (round(old[0], 9), old[1]):
-                        best[k][c] = (float(cost), r["id"], r["features"])
-                at += len(rows)
-
-    for r in survivors.toLocalIterator():
-        chunk.append(r)
-        if len(chunk) == CANDIDATES_PER_SCAN:
-            score()
-            chunk.clear()
-    if chunk:
-        score()
-    return {k: np.array([best[k][c][2] if best[k][c][2] is not None else points[c] for c in range(len(points))])
-            for k, points in medoids.items()}
+                    flat = _swap_changes(gaps, None, one, distance(x, points)).ravel()
+                    sums[k] = sums[k] + flat if k in sums else flat
+        if sums:
+            yield pd.DataFrame({"model": np.array(list(sums), dtype="int32"), "stats": list(sums.values())})
+
+    found = add_partials(data.select("features").mapInPandas(partial, "model int, stats array<double>"), few)
+    return {k: found[k].reshape(len(points), len(pool)) for k, points in medoids.items()}
+
+
+def _best_members(data: DataFrame, medoids: dict[int, np.ndarray], sizes: dict[int, np.ndarray], distance, weights: np.ndarray, key: str) -> dict[int, np.ndarray]:
+    """Exact medoid of every cluster of every K: the member with the least summed distance, ties by key."""
+    ks = list(medoids)
+
+    @F.pandas_udf("array<int>")
+    def codes(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_numpy())
+        return pd.Series(list(np.stack([_assigned(rows, medoids[k], distance)[0] for k in ks], axis=1).astype("int32")))
+
+    base = cut_lineage(data.select(F.col(key).alias("id"), F.col("features").alias("x")).withColumn("codes", codes("x")))
+    sums = cluster_sums(base, weights, [sizes[k] for k in ks], own=True)
+    each = sums.select("id", F.posexplode(F.arrays_zip("codes", "sums")).alias("which", "of"))
+    least = each.groupBy("which", F.col("of.codes").alias("c")).agg(F.min(F.struct(F.round("of.sums", 9).alias("sum"), "id")).alias("least"))
+    # One row per cluster of every K.
+    picked = cut_lineage(least.select("which", "c", F.col("least.id").alias("id")))
+    rows = base.select("id", "x").join(F.broadcast(picked), "id").select("which", "c", "x").collect()
+    found = {k: medoids[k].copy() for k in ks}
+    for r in rows:
+        found[ks[r["which"]]][r["c"]] = r["x"]
+    return found
 
 
 def predict_medoids(df: DataFrame, medoids: np.ndarray, weights: np.ndarray, out: str = "cluster") -> DataFrame:
@@ -296,7 +264,7 @@ def best_medoids(data: DataFrame, weights: np.ndarray, ks: list[int], key: str =
     labelled = data
     for k in ks:
         labelled = predict_medoids(labelled, fits[k][0], weights, f"k{k}")
-    scores = silhouettes(labelled, [f"k{k}" for k in ks], key=key, distance=_gower(weights, len(weights)))
+    scores = silhouettes(labelled, [f"k{k}" for k in ks], key=key, gower_weights=weights)
     found = dict(zip(ks, scores))
     best = max(ks, key=lambda k: (found[k].score, -k))
     return best, fits[best][0], found

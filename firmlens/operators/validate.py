@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.operators.separable import cluster_sums
 from firmlens.session import bounded_collect, local_rows
 
 MAX_CLUSTERS = 10_000
@@ -127,10 +128,13 @@ def silhouettes(
     key: str = "company_id",
     anchors: int | None = None,
     distance=_distances,
+    gower_weights: np.ndarray | None = None,
 ) -> list[Silhouette]:
     """Mean Euclidean silhouette of each label column; distances are shared by all of them.
 
-    Exact at any size: the rows are cut into tiles, every pair of tiles is one
+    ``gower_weights`` (scales of the leading numbers; coded categories follow) asks for mixed distances:
+    their sums come from running totals per column, exact and linear in the rows.
+    Euclidean sums are exact at any size as well: the rows are cut into tiles, every pair of tiles is one
     small task, and only summed distances per row leave it.  The work is
     quadratic by definition.  Rows without a label in any column are left out.
     ``anchors=m`` asks for another operator, an unbiased estimate: ``m`` rows,
@@ -149,7 +153,9 @@ def silhouettes(
     total = int(sizes[0].sum())
     widths = [len(s) for s in sizes]
     base = df.select(F.col(key).alias("id"), F.col(features).alias("x"), F.array(*coded).alias("codes"))
-    if anchors is None:
+    if gower_weights is not None and anchors is None:
+        sums = cluster_sums(base, gower_weights, sizes)
+    elif anchors is None:
         sums = _tiled_sums(base, total, widths, distance)
     else:
         sums = _anchor_sums(base, anchors, widths, distance)

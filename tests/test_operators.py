@@ -309,10 +309,56 @@ def test_medoids_recover_mixed_groups(blobs):
     assert all(-1 <= s.score <= 1 for s in scores.values())
 
 
+@pytest.fixture(scope="module")
+def mixed_rows(spark):
+    """Mixed rows: two numbers with a hot value and ties, a constant number, two categories; three labellings."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(500):
+        x = [float(np.round(rng.normal(), 2)), 4.0 if i % 3 == 0 else float(rng.integers(0, 30)), 7.0, float(rng.integers(1, 4)), float(rng.integers(1, 8))]
+        rows.append((i, x, int(rng.integers(0, 4)), i % 2, 0 if i else 5))
+    return spark.createDataFrame(rows, "company_id long, features array<double>, a int, b int, c int").repartition(5).persist()
+
+
+def test_mixed_silhouette_equals_the_pairwise_one(mixed_rows, monkeypatch):
+    from firmlens.operators import separable
+
+    weights = np.array([0.3, 1 / 30, 0.0])
+    pairs = va.silhouettes(mixed_rows, ["a", "b", "c"], distance=va._gower(weights, 3))
+    for most in (200_000, 60):
+        monkeypatch.setattr(separable, "RANGE_VALUES", most)
+        got = va.silhouettes(mixed_rows, ["a", "b", "c"], gower_weights=weights)
+        assert [s.score for s in got] == pytest.approx([s.score for s in pairs], abs=1e-9) and [s.rows for s in got] == [500] * 3
+    only = np.array([0.3, 1 / 30, 0.5, 1.0, 1.0])
+    got = va.silhouettes(mixed_rows, ["a"], gower_weights=only)[0].score
+    assert got == pytest.approx(va.silhouettes(mixed_rows, ["a"], distance=va._gower(only, 5))[0].score, abs=1e-9)
+    codes = mixed_rows.withColumn("features", F.slice("features", 4, 2))
+    got = va.silhouettes(codes, ["a"], gower_weights=np.zeros(0))[0].score
+    assert got == pytest.approx(va.silhouettes(codes, ["a"], distance=va._gower(np.zeros(0), 0))[0].score, abs=1e-9)
+
+
+def test_mixed_sums_form_no_pairs(mixed_rows):
+    from firmlens.operators.separable import cluster_sums
+
+    base = mixed_rows.select(F.col("company_id").alias("id"), F.col("features").alias("x"), F.array("b").alias("codes"))
+    plan = cluster_sums(base, np.array([1.0, 1.0, 1.0]), [np.array([250.0, 250.0])])._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_swap_changes_are_those_of_the_swapped_medoids():
+    rng = np.random.default_rng(1)
+    gaps, rows = rng.random((80, 9)), rng.integers(1, 5, 80).astype(float)
+    for medoids in ([3], [0, 4], [1, 5, 8]):
+        before = (gaps[:, medoids].min(axis=1) * rows).sum()
+        change = cs._swap_changes(gaps, np.array(medoids), rows)
+        for m in range(len(medoids)):
+            for x in range(9):
+                after = medoids[:m] + [x] + medoids[m + 1:]
+                assert before + change[m, x] == pytest.approx((gaps[:, after].min(axis=1) * rows).sum())
+
+
 def test_medoids_are_the_best_members(companies, monkeypatch):
-    """Each medoid has the smallest summed distance in its cluster, also with coarse bounds and hot copies."""
-    monkeypatch.setattr(cs, "KNOTS", 4)
-    monkeypatch.setattr(cs, "CANDIDATES_PER_SCAN", 7)
+    """Each medoid has the smallest summed distance in its cluster, also with hot copies."""
     hot = companies.withColumn("sites", F.when(F.col("company_id") % 3 == 0, 4).otherwise(F.col("sites")))
     data, weights = cs.coded_features(hot, ["market_value", "sites"], ["entity_type", "industry"])
     data = data.select("company_id", "features").persist()
