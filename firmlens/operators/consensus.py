@@ -61,8 +61,8 @@ def coded_features(df: DataFrame, numeric: list[str], categorical: list[str], ma
 
 # Passes over the rows that draw candidates for the first medoids, and candidates of a pass for every medoid wanted.
 DRAW_PASSES, DRAWN_PER_MEDOID = 4, 2
-# Exchanges of a medoid for a candidate, each looked for in one scan.
-MAX_SWAPS = 5
+# Exchanges of a medoid for a candidate, each looked for in one scan; and how often exchanges and updates take turns.
+MAX_SWAPS, PHASES = 5, 3
 
 
 def _drawn(data: DataFrame, distance, most: int, key: str, seed: int) -> np.ndarray:
@@ -134,11 +134,11 @@ def _swap_changes(gaps: np.ndarray, medoids: np.ndarray | None, rows: np.ndarray
 def kmedoids_gower(
     data: DataFrame, weights: np.ndarray, ks: list[int], key: str = "company_id", seed: int = 42, rounds: int = 20
 ) -> dict[int, tuple[np.ndarray, float]]:
-    """Medoids and total distance per K: drawn starts, exact medoid updates, then exchanges with candidates.
+    """Medoids and total distance per K: drawn starts, exact medoid updates, and exchanges with candidates in between.
 
     The medoid of a cluster is its row with the smallest summed distance to all
     members, an exact sum for every row that needs no pair of rows (``cluster_sums``).  Where no update helps any more, one
-    scan weighs every exchange of a medoid for a drawn candidate, and the best one is made if it lowers
+    scan weighs every exchange of a medoid for a drawn candidate over all rows, and the best one is made if it lowers
     the total.  All K share the scans; no row is left out.
     """
     few = few_partitions(data)
@@ -147,38 +147,49 @@ def kmedoids_gower(
     stands_for = _scan(data, {0: pool}, distance, few)[0][0]
     medoids = {k: _first_medoids(pool, stands_for, distance, k) for k in ks}
     best = {k: (medoids[k], np.inf) for k in ks}
-    active, swaps = set(ks), dict.fromkeys(ks, 0)
-    while active:
+    moved = set(ks)
+    for phase in range(PHASES):
+        if phase:
+            exchanged = _exchange(data, {k: medoids[k] for k in sorted(moved)}, pool, distance, few, stands_for.sum())
+            moved = {k for k in moved if not np.array_equal(exchanged[k], medoids[k])}
+            medoids |= {k: exchanged[k] for k in moved}
+        active = set(moved)
         for _ in range(rounds):
+            if not active:
+                break
             now = {k: medoids[k] for k in sorted(active)}
             scanned = _scan(data, now, distance, few)
-            moving = {}
             for k in now:
                 cost = float(scanned[k][1].sum())
-                better = cost < best[k][1] - 1e-9 * max(cost, 1.0)
-                if better:
+                if cost < best[k][1] - 1e-9 * max(cost, 1.0):
                     best[k] = (now[k], cost)
-                    moving[k] = now[k]
-            if not moving:
+                else:
+                    active.discard(k)
+            if not active:
                 break
-            found = _best_members(data, moving, {k: scanned[k][0] for k in moving}, distance, weights, key)
-            for k in moving:
+            found = _best_members(data, {k: now[k] for k in sorted(active)}, {k: scanned[k][0] for k in active}, distance, weights, key)
+            for k in list(active):
                 medoids[k] = found[k]
-            if all(np.array_equal(found[k], moving[k]) for k in moving):
-                break
-        active = {k for k in active if swaps[k] < MAX_SWAPS}
+                if np.array_equal(found[k], now[k]):
+                    active.discard(k)
+        medoids = {k: best[k][0] for k in ks}
+    return best
+
+
+def _exchange(data: DataFrame, medoids: dict[int, np.ndarray], pool: np.ndarray, distance, few: bool, rows: float) -> dict[int, np.ndarray]:
+    """The medoids after the best exchanges with candidates, one per K and scan, as long as they lower the total."""
+    medoids, active = dict(medoids), set(medoids)
+    for _ in range(MAX_SWAPS):
         if not active:
             break
-        changes = _swap_scan(data, {k: best[k][0] for k in sorted(active)}, pool, distance, few)
-        for k in list(active):
-            m, x = np.unravel_index(changes[k].argmin(), changes[k].shape)
-            if changes[k][m, x] < -1e-9 * max(best[k][1], 1.0):
-                swaps[k] += 1
-                medoids[k] = best[k][0].copy()
+        for k, change in _swap_scan(data, {k: medoids[k] for k in sorted(active)}, pool, distance, few).items():
+            m, x = np.unravel_index(change.argmin(), change.shape)
+            if change[m, x] < -1e-9 * rows:
+                medoids[k] = medoids[k].copy()
                 medoids[k][m] = pool[x]
             else:
                 active.discard(k)
-    return best
+    return medoids
 
 
 def _assigned(x, medoids, distance):
