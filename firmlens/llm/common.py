@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -55,6 +57,13 @@ def byte_buckets(df: DataFrame, nbytes: Column, target: int, least: int = 1) ->
     return max(least, -(-int(total) // target))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are kept for later tasks, and what they hold on to is missing there."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rebatched(batches: Iterator[pa.RecordBatch], size_of: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text has about ``limit`` bytes at most (a longer text stands alone)."""
     for batch in batches:
@@ -67,6 +76,8 @@ def rebatched(batches: Iterator[pa.RecordBatch], size_of: str = "text", limit: i
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        give_back()
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:

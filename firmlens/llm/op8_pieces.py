@@ -90,7 +90,7 @@ class Pieces:
         self.original = self.length - np.array([2 * p.piece.count(SPACE) for p in model.pieces], np.int32)
         self.part_byte = np.array([p.type == p.BYTE and int(p.piece[1:-1], 16) > 127 for p in model.pieces])
         self.space = self.library.piece_to_id(SPACE)
-        self.store = WordStore(self._learn)
+        self.store = WordStore(self._learn, KEPT_WORDS)
 
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """Normalised text, and for each of its UTF-8 bytes (and the end) the original byte it stands for."""
@@ -270,6 +270,8 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
+# Words whose pieces a task remembers.
+KEPT_WORDS = 50_000
 # Ids that are decoded at a time; a longer document stands alone.
 DECODE_IDS = 250_000
 # Bytes of text of one step that encodes and decodes.
