@@ -10,7 +10,7 @@ from firmlens.functions import bands, ratios
 from firmlens.functions.clean import zeros_to_null
 from firmlens.operators.profile_stats import dbl, group_zscore, impute, subset_zscore
 from firmlens.operators.quantiles import medians, quantiles
-from firmlens.session import lookup_join
+from firmlens.session import cut_lineage, lookup_join
 
 # fixed values
 GROWTH_WEIGHTS = {"revenue_per_employee": 0.4, "market_value_to_revenue_ratio": 0.3, "it_investment_intensity": 0.3}
@@ -142,10 +142,17 @@ def engineered_ratios(df: DataFrame) -> DataFrame:
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """Codes 0, 1, ... in alphabetical order of the distinct values; null gives -1.
 
-    Only the distinct values are ordered and joined back.
+    Only the distinct values are ordered and joined back: each range of them is
+    numbered by itself and goes on behind the ranges before it.
     """
     values = df.where(F.col(col).isNotNull()).select(col).distinct()
-    ranked = values.select(col, (F.dense_rank().over(W.orderBy(col)) - 1).alias(out))
+    ordered = cut_lineage(values.orderBy(col).withColumn("__i", F.monotonically_increasing_id()))
+    ranges = ordered.groupBy(F.shiftright("__i", 33).alias("__range")).agg(F.count("*").alias("n"))
+    # One row per range partition.
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = ordered.withColumn("__range", F.shiftright("__i", 33)).join(F.broadcast(starts), "__range").select(col, (F.col("__start") + place).cast("int").alias(out))
     return lookup_join(df, ranked, [col]).withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 

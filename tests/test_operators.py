@@ -582,3 +582,15 @@ def test_starts_are_drawn_from_all_rows(spark):
     one, many = (km.kmeans(df.repartition(p).persist(), 2, n_init=1) for p in (1, 9))
     assert sorted(one.n) == [5, 6000]
     np.testing.assert_allclose(one.centres, many.centres, atol=1e-6)
+
+
+def test_category_codes_go_on_from_range_to_range(spark):
+    words = [f"w{i * 7919 % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words + words[:300])] + [(2000, None)], "company_id long, word string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.company_id: r.code for r in ft.category_codes(df, "word", "code").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = {w: i for i, w in enumerate(sorted(set(words)))}
+    assert got == {**{i: order[w] for i, w in enumerate(words + words[:300])}, 2000: -1}
