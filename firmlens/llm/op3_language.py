@@ -21,7 +21,6 @@ repeated rows are answered one by one and other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,6 @@ ORDER = 3
 SAMPLE_DOCS = 3_000
 # Bytes of text scored at a time.
 STEP_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id="doc_id"):
@@ -199,7 +197,7 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
         for batch in rebatched(batches):
             column = batch.column(2)
             data, offsets = flat_text(column)
-            lettered = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()])
+            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in column.to_pylist()])
             if trees.languages:
                 bits = trees.code_lengths(data, offsets)
                 best = bits.argmin(axis=1)

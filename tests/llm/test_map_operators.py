@@ -69,6 +69,12 @@ def test_language_odd_rows(odd_docs, no_docs):
 # --- token files
 
 
+def test_fractions_and_raised_digits_are_no_letters(spark, small_docs):
+    docs = spark.createDataFrame([(1, "½ ² 3 ٣ _"), (2, "½ a"), (3, "ª"), (4, "日")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred == "und" for r in op3_language.identify(docs, op3_language.fit(small_docs)).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
 def brute_tokens(rows):
     from tokenizers import Tokenizer
 
