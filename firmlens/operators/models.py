@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.clean import require_target
+from firmlens.operators.folds import MAX_WEIGHTS, fit_folds, fold_rows, hits
 from firmlens.operators.profile_stats import dbl, varying_columns
 from firmlens.operators.quantiles import quantiles
 from firmlens.operators.vectors import Scaler, standard_scaler, to_vector
@@ -96,14 +97,25 @@ def accuracy(predicted: DataFrame, label: str = "cluster", prediction: str = "pr
 def kfold_accuracy(
     df: DataFrame, features: list[str], label: str = "cluster", folds: int = 5, key: str = "company_id", seed: int = 42
 ) -> DataFrame:
-    """Accuracy of each fold, fitted on the other folds."""
-    folded = df.withColumn("__fold", F.floor(_uniform(key, seed + 1) * folds).cast("int")).persist()
-    rows = []
-    for f in range(folds):
+    """Accuracy of each fold that holds rows, fitted on the other folds; every scan of the table serves all folds."""
+    folded = df.withColumn("__fold", F.floor(_uniform(key, seed + 1) * folds).cast("int"))
+    labels = sorted(r[0] for r in df.select(label).distinct().collect())
+    if len(labels) * (len(features) + 1) > MAX_WEIGHTS:
+        return _separate_folds(folded, features, label)
+    rows = fold_rows(folded, features, label, "__fold", labels).persist()
+    found = hits(rows, fit_folds(rows, len(features)))
+    rows.unpersist()
+    return local_rows(df.sparkSession, [(f, hit / n) for f, (n, hit) in sorted(found.items())], "fold int, accuracy double")
+
+
+def _separate_folds(folded: DataFrame, features: list[str], label: str) -> DataFrame:
+    """The same for models whose curvature is too large to add up: one fit after the other."""
+    rows, folded = [], folded.persist()
+    for f in sorted(r[0] for r in folded.select("__fold").distinct().collect()):
         model = fit_logistic(folded.where(F.col("__fold") != f), features, label)
         rows.append((f, accuracy(model.predict(folded.where(F.col("__fold") == f)), label)))
     folded.unpersist()
-    return local_rows(df.sparkSession, rows, "fold int, accuracy double")
+    return local_rows(folded.sparkSession, rows, "fold int, accuracy double")
 
 
 def confusion(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
