@@ -12,6 +12,7 @@ from firmlens.functions import bands
 from firmlens.operators import features as ft
 from firmlens.operators import profile_stats as ps
 from firmlens.operators import segments as sg
+from firmlens.operators import shapes as sh
 
 COLS = ["revenue", "market_value", "it_spend", "employees", "sites", "servers"]
 
@@ -399,6 +400,33 @@ def _(spark, sf_dir):
     return rounded(out, skip=("mean", "std")).withColumns({c: r(c, 4) for c in ("mean", "std")})
 
 
+# Revenue is on a log scale in these tables if it spans two decades, as in distribution_stats.
+SHAPE = ("wide AS (SELECT CASE WHEN max(revenue)/(min(revenue) FILTER (WHERE revenue > 0)+1e-10) > 100 THEN 1 ELSE 0 END AS wide FROM labelled)",
+         "v AS (SELECT cluster, CASE WHEN wide = 1 THEN log10(revenue+1) ELSE revenue END AS x FROM labelled CROSS JOIN wide WHERE revenue IS NOT NULL)",
+         "s AS (SELECT cluster, count(*) AS n, min(x) AS low, max(x) AS high, stddev_samp(x)*pow(count(*), -0.2) AS h FROM v GROUP BY cluster)")
+
+
+@query("violin_densities", "A27", on_company(
+    "SELECT s.cluster, 'revenue' AS feature, CAST(i AS INT) AS i, round(any_value(low+(high-low)*i/99),6) AS x, "
+    "round(sum(w*exp(-0.5*pow((low+(high-low)*i/99-(low+(high-low)*cell/399))/h, 2)))/(any_value(n)*any_value(h)*sqrt(2*pi())),6) AS density "
+    "FROM s JOIN binned USING (cluster) CROSS JOIN range(100) g(i) GROUP BY s.cluster, i", LABELLED, *SHAPE,
+    "placed AS (SELECT cluster, (x-low)/(high-low)*399 AS p FROM v JOIN s USING (cluster))",
+    "binned AS (SELECT cluster, cell, sum(w) AS w FROM (SELECT cluster, floor(p) AS cell, 1-(p-floor(p)) AS w FROM placed UNION ALL "
+    "SELECT cluster, floor(p)+1, p-floor(p) FROM placed) z GROUP BY cluster, cell)"))
+def _(spark, sf_dir):
+    return rounded(sh.violin_densities(labelled(spark, sf_dir), ["revenue"]))
+
+
+@query("box_whiskers", "A27", on_company(
+    "SELECT cluster, 'revenue' AS feature, count(*) AS n, round(avg(x),4) AS mean, round(any_value(a),6) AS q25, round(any_value(m),6) AS q50, round(any_value(b),6) AS q75, "
+    "round(least(min(x) FILTER (WHERE x BETWEEN a-1.5*(b-a) AND b+1.5*(b-a)), any_value(a)),6) AS whisker_low, "
+    "round(greatest(max(x) FILTER (WHERE x BETWEEN a-1.5*(b-a) AND b+1.5*(b-a)), any_value(b)),6) AS whisker_high, "
+    "count(*) FILTER (WHERE x NOT BETWEEN a-1.5*(b-a) AND b+1.5*(b-a)) AS beyond FROM v JOIN (SELECT cluster, quantile_cont(x,0.25) AS a, "
+    "quantile_cont(x,0.5) AS m, quantile_cont(x,0.75) AS b FROM v GROUP BY cluster) q USING (cluster) GROUP BY cluster", LABELLED, *SHAPE))
+def _(spark, sf_dir):
+    return rounded(sh.box_whiskers(labelled(spark, sf_dir), ["revenue"]), skip=("mean",)).withColumn("mean", r("mean", 4))
+
+
 @query("rule_insights", "M9", on_company(
     "SELECT 'segment_size' AS insight, CAST(cluster AS VARCHAR) AS subject, 'pct' AS metric, round(100.0*count(*)/sum(count(*)) OVER (),4) AS value FROM labelled GROUP BY cluster UNION ALL "
     + each(COLS[:3], "SELECT 'segment_mean', CAST(cluster AS VARCHAR), '{c}', round(avg({c}),2) FROM labelled GROUP BY cluster") + " UNION ALL "
