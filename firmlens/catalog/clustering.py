@@ -6,6 +6,7 @@ over whole tables, and the tests compare them with brute force.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from firmlens.catalog.base import LABELLED, company, labelled, on_company, query, r, rounded
@@ -95,6 +96,52 @@ def _(spark, sf_dir):
     return local_rows(spark, [(fit.inertia, va.adjusted_rand(found, "cluster", "label"))], "inertia double, ari_with_label double")
 
 
+# --- single steps from fixed centres, which SQL can repeat ------------------------------------------
+
+FIRST = [f"c0 AS (SELECT company_id AS j, {', '.join(VEC)} FROM pts ORDER BY company_id LIMIT 4)"]
+GAP = "+".join(f"(p.{f}-c.{f})*(p.{f}-c.{f})" for f in VEC)
+
+
+def nearest_sql(name: str, centres: str) -> str:
+    return (f"{name} AS (SELECT * FROM (SELECT p.*, c.j, {GAP} AS gap, row_number() OVER (PARTITION BY p.company_id ORDER BY {GAP}, c.j) AS k "
+            f"FROM pts p CROSS JOIN {centres} c) z WHERE k = 1)")
+
+
+@query("lloyd_step", "C1,J2", on_company(
+    "SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, any_value(c.f1), any_value(c.f2)) - 1 AS INT) AS cluster, count(*) AS n, "
+    + ", ".join(f"round(any_value(c.{f}),6) AS {f}" for f in VEC) + ", round(avg(sqrt(gap)),6) AS spread, round(sum(sum(gap)) OVER (),4) AS inertia "
+    "FROM a1 JOIN c1 c USING (j) GROUP BY j", POINTS, *FIRST, nearest_sql("a0", "c0"),
+    "c1 AS (SELECT j, " + ", ".join(f"avg({f}) AS {f}" for f in VEC) + " FROM a0 GROUP BY j)", nearest_sql("a1", "c1")))
+def _(spark, sf_dir):
+    data = vectors(spark, sf_dir)
+    start = np.array([row["features"] for row in data.orderBy("company_id").select("features").limit(4).collect()])
+    fit = km.fit_many(data, [(0, start)], max_iter=1)[0]
+    rows = [(i, int(n), *map(float, c), float(s), fit.inertia) for i, (n, c, s) in enumerate(zip(fit.n, fit.centres, fit.spread))]
+    return rounded(local_rows(spark, rows, "cluster int, n long, " + ", ".join(f"{f} double" for f in VEC) + ", spread double, inertia double"),
+                   skip=("inertia",)).withColumn("inertia", r("inertia", 4))
+
+
+# One dimension, where a component is a plain normal distribution: market value in millions around fixed centres.
+CENTRES = [0.0, 10.0, 100.0, 1000.0]
+
+
+@query("mixture_step", "C6", on_company(
+    "SELECT CAST(c AS INT) AS component, round(w,6) AS weight, round(m,4) AS mean, round(v,2) AS variance, round(l,2) AS loglik, round(-2*l+(3*k-1)*ln(n),2) AS bic "
+    "FROM comp CROSS JOIN lik", "x AS (SELECT company_id, market_value/1e6 AS x FROM company WHERE market_value IS NOT NULL)",
+    "dealt AS (SELECT x, CASE WHEN x <= 5 THEN 0 WHEN x <= 55 THEN 1 WHEN x <= 550 THEN 2 ELSE 3 END AS c FROM x)",
+    "comp AS (SELECT c, count(*)*1.0::DOUBLE/sum(count(*)) OVER () AS w, avg(x) AS m, var_pop(x)+1e-6 AS v, count(*) OVER () AS k FROM dealt GROUP BY c)",
+    "lik AS (SELECT sum(ln(p)) AS l, count(*) AS n FROM (SELECT company_id, sum(w*exp(-0.5*(x-m)*(x-m)/v)/sqrt(2*pi()*v)) AS p FROM x CROSS JOIN comp GROUP BY company_id) z)"))
+def _(spark, sf_dir):
+    data = km.spread_out(company(spark, sf_dir).where("market_value IS NOT NULL").select(
+        "company_id", F.array(F.col("market_value") / 1e6).alias("features"))).persist()
+    nearest = F.get(km.nearest([np.array(CENTRES)[:, None]], F.col("features")), F.lit(0)).alias("c")
+    used = [row["c"] for row in data.select(nearest).distinct().orderBy("c").collect()]  # centres without rows are left out
+    model = mx.mixture_at(data, np.array([CENTRES[i] for i in used])[:, None])
+    rows = [(c, float(w), float(m[0]), float(v[0, 0]), model.loglik, model.bic()) for c, w, m, v in zip(used, model.weights, model.means, model.covariances)]
+    return local_rows(spark, rows, "component int, weight double, mean double, variance double, loglik double, bic double").select(
+        "component", r("weight").alias("weight"), r("mean", 4).alias("mean"), r("variance", 2).alias("variance"), r("loglik", 2).alias("loglik"), r("bic", 2).alias("bic"))
+
+
 @query("k_sweep", "C2,T5")
 def _(spark, sf_dir):
     metrics, _ = pl.k_sweep(vectors(spark, sf_dir), n_init=STARTS)

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from firmlens.catalog.base import (
-    AS_OF_YEAR, LABELLED, company, each, labelled, on_company, query, r, rounded,
+    AS_OF_YEAR, LABELLED, MEGA, company, each, labelled, mega_labelled, on_company, query, r, rounded,
 )
 from firmlens.catalog.cleaning import raw
 from firmlens.catalog.stats import METRIC_SQL
@@ -18,7 +18,9 @@ from firmlens.operators import models as md
 from firmlens.operators import profile_stats as ps
 from firmlens.operators import ranking as rk
 from firmlens.operators import segments as sg
+from firmlens.plans import model_store as store
 from firmlens.plans import pipelines as pl
+from firmlens.session import local_rows, scratch_path
 
 Y = AS_OF_YEAR
 FEATURES = ["market_value", "it_spend", "sites", "servers", "pcs"]
@@ -31,7 +33,10 @@ def predicted(spark, sf_dir):
         "company_id", (k % 4).cast("int").alias("label"), F.when(k % 7 == 0, (k + 1) % 4).otherwise(k % 4).cast("int").alias("p"))
 
 
-@query("train_test_split", "M1")
+# The cut is the 0.8 quantile of a class's distinct hashes: rows from the next rank on are test rows.
+@query("train_test_split", "M1", on_company(
+    "SELECT cluster, is_test, CASE WHEN is_test THEN n - 1 - CAST(floor((n-1)*0.8::DOUBLE) AS BIGINT) ELSE 1 + CAST(floor((n-1)*0.8::DOUBLE) AS BIGINT) END AS n "
+    "FROM (SELECT cluster, count(*) AS n FROM labelled GROUP BY cluster) z CROSS JOIN (SELECT unnest([true, false]) AS is_test) t", LABELLED))
 def _(spark, sf_dir):
     return md.split(labelled(spark, sf_dir), stratify="cluster").groupBy("cluster", "is_test").agg(F.count("*").alias("n"))
 
@@ -130,6 +135,42 @@ def _(spark, sf_dir):
     ]), 4)
 
 
+# A clean table with one dominant and one tiny cluster, all sections that follow from labels.
+REPORTED = ["market_value", "sites", "servers"]
+PAIRS = [(a, b) for a in REPORTED for b in REPORTED]
+
+
+@query("segment_report", "L3,A13,S4", on_company(
+    "SELECT 'sizes' AS section, CAST(cluster AS VARCHAR) AS subject, m AS metric, round(CASE WHEN m = 'n' THEN n ELSE 100.0*n/t END,4)::DOUBLE AS value FROM sz CROSS JOIN nm "
+    "UNION ALL SELECT 'small_clusters', CAST(cluster AS VARCHAR), m, round(CASE WHEN m = 'n' THEN n ELSE 100.0*n/t END,4)::DOUBLE FROM sz CROSS JOIN nm WHERE n < greatest(10, t*0.01) UNION ALL "
+    + each(REPORTED, " UNION ALL ".join(
+        "SELECT 'statistics', cluster||'/{c}', '" + m + "', round(CAST(" + e + " AS DOUBLE),4) FROM mega GROUP BY cluster" for m, e in {
+            "n": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})", "max": "max({c})", "q25": "quantile_cont(CAST({c} AS DOUBLE),0.25)",
+            "q50": "quantile_cont(CAST({c} AS DOUBLE),0.5)", "q75": "quantile_cont(CAST({c} AS DOUBLE),0.75)"}.items()))
+    + " UNION ALL SELECT 'shares', cluster||'/entity_type', entity_type, round(share,4) FROM sh UNION ALL SELECT 'modes', cluster||'/entity_type', entity_type, round(share,4) FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY share DESC, entity_type) AS k FROM sh) z WHERE k = 1 UNION ALL "
+    + each(REPORTED, "SELECT 'profile', cluster||'/{c}', 'mean', round(avg({c}),4) FROM mega GROUP BY cluster UNION ALL "
+           "SELECT 'profile', cluster||'/{c}', 'std', round(stddev_samp({c}),4) FROM mega GROUP BY cluster") + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'correlation', '{a}/{b}', 'corr', round(corr({a},{b}),4) FROM mega" for a, b in PAIRS) + " UNION ALL "
+    + each(REPORTED, "SELECT 'differences', cluster||'/{c}', 'difference_pct', round((m-o)/abs(o)*100,4) FROM (SELECT cluster, sum({c})*1.0::DOUBLE/count({c}) AS m, "
+           "(sum(sum({c})) OVER () - sum({c}))*1.0::DOUBLE/(sum(count({c})) OVER () - count({c})) AS o FROM mega GROUP BY cluster) z WHERE abs(o) > 1e-10 AND abs(m-o) > 0.1*abs(o)"),
+    MEGA, "sz AS (SELECT cluster, count(*) AS n, sum(count(*)) OVER () AS t FROM mega GROUP BY cluster)", "nm AS (SELECT unnest(['n', 'pct']) AS m)",
+    "sh AS (SELECT cluster, entity_type, CAST(count(*) AS DOUBLE)/sum(count(*)) OVER (PARTITION BY cluster) AS share FROM mega WHERE entity_type IS NOT NULL GROUP BY cluster, entity_type)"))
+def _(spark, sf_dir):
+    return rounded(pl.report_table(pl.segment_report(mega_labelled(spark, sf_dir), REPORTED, ["entity_type"])), 4)
+
+
+@query("process_counts", "P7,P8,L1", on_company(
+    "SELECT * FROM (SELECT (SELECT count(*) FROM company) + (SELECT count(*) FROM company WHERE country IS NULL) AS rows_read, "
+    "(SELECT count(*) FROM company WHERE country IS NULL) AS copies, count(*) FILTER (WHERE NOT coalesce(v, false)) AS not_valid, count(*) FILTER (WHERE v) AS kept "
+    "FROM (SELECT employees <> 0 AND market_value <> 0 AND revenue <> 0 AS v FROM company) z) q"))
+def _(spark, sf_dir):
+    df = raw(spark, sf_dir)
+    doubled = df.unionByName(df.where(F.col("Country").isNull()))
+    counts = pl.process(doubled, Y, keep=("company_id",), path=scratch_path(spark, "processed")).counts
+    return local_rows(spark, [tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
 @query("process_companies", "L1", on_company(
     "SELECT company_id, " + ", ".join(f"round(CAST({e} AS DOUBLE),4) AS {n}" for n, e in METRIC_SQL.items() if n != "geographic_dispersion")
     + ", CAST((country IS NOT NULL)::INT+(region IS NOT NULL)::INT AS INT) AS geographic_dispersion FROM company WHERE employees <> 0 AND market_value <> 0 AND revenue <> 0"))
@@ -162,6 +203,31 @@ def _(spark, sf_dir):
     return prepared.frame.select("company_id", *[r(c, 5).alias(a) for c, a in zip(out, [*ROLE_COLS, "mvr", "iti"])])
 
 
+# What a stored model holds of its fit, read back from the table.
+@query("stored_model", "M10,L2", on_company(
+    each(ROLE_COLS, "SELECT 'median' AS part, '{c}' AS name, round(quantile_cont({c},0.5),2) AS value FROM num") + " UNION ALL "
+    + each(ROLE_COLS, "SELECT 'fence.lower', '{c}', round(a_{c}-1.5*(b_{c}-a_{c}),2) FROM fen WHERE b_{c} > a_{c} UNION ALL "
+           "SELECT 'fence.upper', '{c}', round(b_{c}+1.5*(b_{c}-a_{c}),2) FROM fen WHERE b_{c} > a_{c}")
+    + " UNION ALL SELECT 'meta', 'as_of_year', " + str(Y), *PREP))
+def _(spark, sf_dir):
+    df = company(spark, sf_dir)
+    prepared = pl.preprocess(df, Y)
+    fit = km.kmeans(km.spread_out(prepared.frame.select("company_id", "features")).persist(), 4)
+    path = scratch_path(spark, "models")
+    rows = store.parameters(spark, path, store.save_model(spark, path, prepared, fit, Y))
+    known = F.col("part").isin("median", "fence.lower", "fence.upper") & F.col("name").isin(*ROLE_COLS)
+    return rows.where(known | (F.col("name") == "as_of_year")).select("part", "name", r("value", 2).alias("value"))
+
+
+@query("assign_stored_segment", "M10,J2")
+def _(spark, sf_dir):
+    df = company(spark, sf_dir)
+    prepared = pl.preprocess(df, Y)
+    path = scratch_path(spark, "models")
+    store.save_model(spark, path, prepared, km.kmeans(km.spread_out(prepared.frame.select("company_id", "features")).persist(), 4), Y)
+    return store.load_model(spark, path).assign(df).select("company_id", "cluster")
+
+
 # The one column that the text roles find here.
 @query("preprocess_text", "L2,X1", tfidf_sql("company", "company_id", "coalesce(nace_desc,'')"))
 def _(spark, sf_dir):

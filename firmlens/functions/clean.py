@@ -65,8 +65,13 @@ def parse_range(c: Column) -> Column:
 
 def filter_valid(df: DataFrame, cols: tuple[str, ...] = ("employees", "market_value", "revenue")) -> DataFrame:
     """Rows whose listed columns (those present) are all known and non-zero."""
-    present = [F.col(c).isNotNull() & (F.col(c) != 0) for c in cols if c in df.columns]
-    return df.where(reduce(lambda a, b: a & b, present)) if present else df
+    return df.where(is_valid(df.columns, cols))
+
+
+def is_valid(columns: list[str], cols: tuple[str, ...] = ("employees", "market_value", "revenue")) -> Column:
+    """Whether the listed columns (those present) are all known and non-zero."""
+    present = [F.col(c).isNotNull() & (F.col(c) != 0) for c in cols if c in columns]
+    return reduce(lambda a, b: a & b, present, F.lit(True))
 
 
 def filter_active(df: DataFrame, status: str = "status") -> DataFrame:

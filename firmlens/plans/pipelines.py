@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from firmlens.functions import bands, ratios
-from firmlens.functions.clean import coerce_numeric, combine_text, filter_valid, finite, parse_range, scrub_non_finite
+from firmlens.functions.clean import coerce_numeric, combine_text, filter_valid, finite, is_valid, parse_range, scrub_non_finite
 from firmlens.functions.resolve import Roles, resolve_roles, standardise
 from firmlens.operators import consensus as cs
+from firmlens.operators import density as ds
 from firmlens.operators import density_tree as dt
 from firmlens.operators import features as ft
 from firmlens.operators import kmeans as km
@@ -25,7 +26,7 @@ from firmlens.operators import validate as va
 from firmlens.operators import vectors as ve
 from firmlens.operators.text import TfIdf, fit_tfidf
 from firmlens.plans.explore import explore
-from firmlens.session import cut_lineage, local_rows
+from firmlens.session import bounded_collect, cut_lineage, local_rows
 from firmlens.sources.files import write_processed, write_segments
 
 REPORT = "section string, subject string, metric string, value double"
@@ -55,19 +56,42 @@ def report_table(frames: list[DataFrame]) -> DataFrame:
 class Processed:
     table: DataFrame
     summary: DataFrame
+    counts: dict[str, int] | None = None  # rows read, copies, not valid and kept, if the table was written
 
 
 NUMERIC = ["revenue", "market_value", "it_spend", "employees", "sites", "servers", "storage", "year_founded"]
 
 
 def process(df: DataFrame, as_of_year: int, keep: tuple[str, ...] = (), path: str | None = None) -> Processed:
-    """Dedupe, recognise columns, coerce, keep valid companies, derive the seven measures."""
-    clean = coerce_numeric(standardise(ps.dedupe(df), keep), NUMERIC)
-    table = ft.derived_metrics(filter_valid(clean), as_of_year)
-    if path is not None:
-        write_processed(table, path)
-        table = table.sparkSession.read.parquet(path)
-    return Processed(table, ps.metric_summary(table, [m for m in ft.DERIVED_METRICS if m in table.columns]))
+    """Dedupe, recognise columns, coerce, keep valid companies, derive the seven measures.
+
+    With ``path`` the table is written, and the write itself counts what was read, removed and kept.
+    """
+    if path is None:
+        clean = coerce_numeric(standardise(ps.dedupe(df), keep), NUMERIC)
+        table, counts = ft.derived_metrics(filter_valid(clean), as_of_year), None
+    else:
+        counts = _write_counted(df, as_of_year, keep, path)
+        table = df.sparkSession.read.parquet(path)
+    return Processed(table, ps.metric_summary(table, [m for m in ft.DERIVED_METRICS if m in table.columns]), counts)
+
+
+def _write_counted(df: DataFrame, as_of_year: int, keep: tuple[str, ...], path: str) -> dict[str, int]:
+    """Write the processed table and count on the way.
+
+    Copies travel as a number beside each distinct row, so everything is counted in the writing tasks, behind the
+    shuffle: a repeated task of an earlier stage adds nothing.
+    """
+    seen = Observation()
+    merged = df.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count("*").alias("__copies"))
+    clean = coerce_numeric(standardise(merged, (*keep, "__copies")), NUMERIC)
+    counted = clean.observe(
+        seen, F.coalesce(F.sum("__copies"), F.lit(0)).alias("rows_read"), F.count("*").alias("distinct_rows"),
+        F.count_if(is_valid(clean.columns)).alias("kept"))
+    write_processed(ft.derived_metrics(filter_valid(counted).drop("__copies"), as_of_year), path)
+    found = seen.get
+    return {"rows_read": found["rows_read"], "copies": found["rows_read"] - found["distinct_rows"],
+            "not_valid": found["distinct_rows"] - found["kept"], "kept": found["kept"]}
 
 
 # --- preprocessing for segmentation ------------------------------------------------------------------
@@ -208,48 +232,110 @@ class Segmentation:
     parts: dict = field(default_factory=dict)
 
 
+def numbered_by_size(df: DataFrame, label: str = "cluster") -> DataFrame:
+    """``label`` renumbered 0, 1, ... by descending size (ties: the smaller label); -1 and null stay."""
+    kind = df.schema[label].dataType.simpleString()
+    found = sorted((r for r in bounded_collect(sg.cluster_sizes(df, label), sg.MAX_CLUSTERS, "clusters") if r[label] not in (None, -1)),
+                   key=lambda r: (-r["n"], r[label]))
+    numbers = local_rows(df.sparkSession, [(r[label], i) for i, r in enumerate(found)], f"{label} {kind}, __number int")
+    return df.join(F.broadcast(numbers), label, "left").withColumn(
+        label, F.when(F.col(label) == -1, -1).otherwise(F.col("__number"))).drop("__number")
+
+
+def segment_report(labelled: DataFrame, numeric: list[str], categorical: list[str] = ()) -> list[DataFrame]:
+    """Report sections that follow from the labels: sizes, statistics, shares and modes, profiles, correlations, differences."""
+    pair = F.concat_ws("/", "cluster", "feature").alias("subject")
+    found = sg.analyze_clusters(labelled, numeric, list(categorical)).where(F.col("feature") != "size")
+    shares = found.where(F.col("stat") == "share")
+    # The most frequent value of each cluster with its share; ties go to the smallest, as in ``modes``.
+    top = shares.groupBy("cluster", "feature").agg(F.min(F.struct((-F.col("value")).alias("rank"), "text", "value")).alias("top"))
+    return [
+        report_rows(sg.cluster_sizes(labelled), "sizes", "cluster", ["n", "pct"]),
+        report_rows(sg.small_cluster_warning(labelled), "small_clusters", "cluster", ["n", "pct"]),
+        found.where(~F.col("stat").isin("share", "mode")).select(F.lit("statistics").alias("section"), pair, F.col("stat").alias("metric"), "value"),
+        shares.select(F.lit("shares").alias("section"), pair, F.col("text").alias("metric"), "value"),
+        top.select(F.lit("modes").alias("section"), pair, F.col("top.text").alias("metric"), F.col("top.value").alias("value")),
+        report_rows(sg.compare_clusters(labelled, numeric).withColumn("s", F.concat_ws("/", "cluster", "feature")), "profile", "s", ["mean", "std"]),
+        report_rows(ps.correlation_matrix(labelled, numeric).withColumn("s", F.concat_ws("/", "feature_a", "feature_b")), "correlation", "s", ["corr"]),
+        report_rows(sg.cluster_vs_rest(labelled, numeric).withColumn("s", F.concat_ws("/", "cluster", "feature")), "differences", "s", ["difference_pct"]),
+    ]
+
+
+def membership_report(labelled: DataFrame, numeric: list[str], key: str = "company_id") -> tuple[list[DataFrame], md.Logistic]:
+    """How well the features tell the segments: accuracies, cross-validation, confusion, precision and recall, drivers."""
+    spark = labelled.sparkSession
+    train, test = md.parts(md.split(labelled, stratify="cluster", key=key))
+    logistic = md.fit_logistic(train, numeric)
+    guessed = logistic.predict(test).select("cluster", "predicted").persist()
+    folds = md.kfold_accuracy(train, numeric, key=key)
+    spread = {f"fold_{k}": v for k, v in folds.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std")).first().asDict().items()
+              if v is not None}
+    return [
+        report_values(spark, "logistic", {"train_accuracy": md.accuracy(logistic.predict(train)), "test_accuracy": md.accuracy(guessed), **spread}),
+        report_rows(folds, "cross_validation", "fold", ["accuracy"]),
+        report_rows(md.confusion(guessed, "cluster", "predicted").withColumn("s", F.concat_ws("/", "label", "prediction")), "confusion", "s", ["n"]),
+        report_rows(md.class_report(guessed, "cluster", "predicted"), "classes", "class", ["precision", "recall", "f1", "support"]),
+        report_rows(rk.top_drivers(logistic.coefficients(spark), 5).withColumn("s", F.concat_ws("/", "cluster", "feature")), "drivers", "s", ["coefficient"]),
+    ], logistic
+
+
 def run_full(
     df: DataFrame, as_of_year: int, n_clusters: int | None = None, n_init: int = 10, key: str = "company_id",
-    path: str | None = None,
+    path: str | None = None, method: str = "kmeans", eps: float = 0.5, min_samples: int = 5,
 ) -> Segmentation:
-    """Explore, preprocess, choose K, cluster, test, profile, reduce, model, report, export."""
+    """Explore, preprocess, choose K, cluster, test, profile, reduce, model, report, export.
+
+    ``method="dbscan"`` takes dense segments in place of K-Means; they are numbered by size and rows outside all of them are
+    -1, a group of their own in the report.  With fewer than two groups there is nothing to tell apart, and the sections
+    on membership are left out.
+    """
+    if method not in ("kmeans", "dbscan"):
+        raise ValueError(f"unknown method {method}")
     spark = df.sparkSession
     prepared = preprocess(df, as_of_year)
-    data = km.spread_out(prepared.frame).persist()
-    if n_clusters is None:
-        metrics, fits = k_sweep(data, n_init=n_init, key=key)
-        choice = rk.select_k(metrics).first()
-        k, silhouette, fit = choice["k"], choice["silhouette"], fits[choice["k"]]
-        sweep = report_rows(metrics, "k_selection", "k", ["inertia", "silhouette", "davies_bouldin", "calinski_harabasz"])
-    else:
-        fit = km.kmeans(data, n_clusters, n_init, key=key)
-        k, silhouette = n_clusters, va.silhouette(km.predict(data, fit), key=key).score
-        sweep = report_values(spark, "k_selection", {"k": n_clusters})
-    labelled = km.predict(data, fit).persist()
+    # The density method reads the rows several times, also as the side of a join.
+    data = km.spread_out(cut_lineage(prepared.frame) if method == "dbscan" else prepared.frame).persist()
     numeric = prepared.numeric
+    if method == "dbscan":
+        fit = None
+        labelled = numbered_by_size(ds.dbscan(data, eps, min_samples, key=key)).persist()
+        groups = [r["cluster"] for r in bounded_collect(sg.cluster_sizes(labelled), sg.MAX_CLUSTERS, "clusters")]
+        dense = labelled.where(F.col("cluster") >= 0)
+        segments = sum(g >= 0 for g in groups)
+        choice = {"k": segments, "noise": labelled.count() - dense.count()}
+        if segments > 1:
+            choice["silhouette"] = va.silhouette(dense, key=key).score
+        sweep = report_values(spark, "density", {"eps": eps, "min_samples": min_samples})
+    else:
+        if n_clusters is None:
+            metrics, fits = k_sweep(data, n_init=n_init, key=key)
+            best = rk.select_k(metrics).first()
+            silhouette, fit = best["silhouette"], fits[best["k"]]
+            sweep = report_rows(metrics, "k_selection", "k", ["inertia", "silhouette", "davies_bouldin", "calinski_harabasz"])
+        else:
+            fit = km.kmeans(data, n_clusters, n_init, key=key)
+            silhouette = va.silhouette(km.predict(data, fit), key=key).score
+            sweep = report_values(spark, "k_selection", {"k": n_clusters})
+        labelled = km.predict(data, fit).persist()
+        groups = list(range(fit.k))
+        choice = {"k": fit.k, "silhouette": silhouette, "inertia": fit.inertia}
     categorical = list(prepared.roles.category.values())
     projection = ve.pca(labelled, numeric, min(3, len(numeric)))
-    tests = sig.chi_square_all(labelled, categorical)
-    split = md.split(labelled, stratify="cluster", key=key)
-    train, test = md.parts(split)
-    logistic = md.fit_logistic(train, numeric)
+    membership, logistic = membership_report(labelled, numeric, key) if len(groups) > 1 else ([], None)
+    tests = [report_rows(sig.chi_square_all(labelled, categorical), "chi_square", "feature", ["chi2", "p", "p_adjusted", "significant"])] if len(groups) > 1 else []
     linear, fit_quality = md.linear_analysis(labelled, numeric, key=key)
     uncapped = _numbers(df, prepared.roles, as_of_year, prepared.ages)[0]  # outliers are counted before capping
     outlier_cols = [c for c in numeric if c in uncapped.columns]
     insights = sg.rule_insights(labelled, numeric)
     report = report_table([
         explore(df, prepared.roles), sweep,
-        report_values(spark, "choice", {"k": k, "silhouette": silhouette, "inertia": fit.inertia}),
-        report_rows(sg.cluster_sizes(labelled), "sizes", "cluster", ["n", "pct"]),
-        report_rows(sg.small_cluster_warning(labelled), "small_clusters", "cluster", ["n", "pct"]),
-        report_rows(tests, "chi_square", "feature", ["chi2", "p", "p_adjusted", "significant"]),
-        report_rows(sg.compare_clusters(labelled, numeric).withColumn("s", F.concat_ws("/", "cluster", "feature")), "profile", "s", ["mean", "std"]),
+        report_values(spark, "choice", choice),
+        *segment_report(labelled, numeric, categorical),
+        *tests,
         report_rows(ps.iqr_outlier_report(uncapped, outlier_cols), "outliers", "feature", ["n_out", "pct_out"]),
-        report_rows(ps.correlation_matrix(labelled, numeric).withColumn("s", F.concat_ws("/", "feature_a", "feature_b")), "correlation", "s", ["corr"]),
-        report_rows(sg.cluster_vs_rest(labelled, numeric).withColumn("s", F.concat_ws("/", "cluster", "feature")), "differences", "s", ["difference_pct"]),
+        report_rows(ve.vif_report(labelled, numeric), "collinearity", "feature", ["vif", "high"]),
         report_rows(projection.spectrum(spark), "pca", "component", ["explained"]),
-        report_values(spark, "logistic", {"train_accuracy": md.accuracy(logistic.predict(train)), "test_accuracy": md.accuracy(logistic.predict(test))}),
-        report_rows(rk.top_drivers(logistic.coefficients(spark), 5).withColumn("s", F.concat_ws("/", "cluster", "feature")), "drivers", "s", ["coefficient"]),
+        *membership,
         report_rows(fit_quality, "linear", "part", ["mse", "r2"]),
         report_rows(rk.top_coefficients(linear.coefficients(spark)), "linear_coefficients", "feature", ["coefficient"]),
         insights.select(F.concat(F.lit("insight_"), "insight").alias("section"), "subject", "metric", "value"),
