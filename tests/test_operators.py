@@ -545,6 +545,16 @@ def test_vector_statistics_leave_incomplete_rows_out(spark):
         np.testing.assert_allclose(fit(full), fit(holed), atol=1e-9)
 
 
+def test_silhouette_copies_a_row_a_bounded_number_of_times(blobs, monkeypatch):
+    # 900 000 rows of four numbers and four clusters were copied 880 times, once for each of two sides of 440 tiles.
+    for rows, values in ((900_000, 8), (5_400_000, 8), (900_000, 4 + 65)):
+        assert sum(va._tiling(rows, values, 12)) <= 48
+    want = va.silhouette(blobs, "truth").score
+    monkeypatch.setattr(va, "TILE_BYTES", 8 * 6 * 10)
+    monkeypatch.setattr(va, "BLOCK", (3, 7))
+    assert va.silhouette(blobs, "truth").score == pytest.approx(want, abs=1e-12)
+
+
 def test_silhouette_skips_rows_without_a_label(blobs):
     some = blobs.withColumn("truth", F.when(F.col("company_id") % 7 != 0, F.col("truth")))
     assert va.silhouette(some, "truth").score == pytest.approx(va.silhouette(some.dropna(), "truth").score)
