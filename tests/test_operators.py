@@ -604,3 +604,16 @@ def test_category_codes_go_on_from_range_to_range(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     order = {w: i for i, w in enumerate(sorted(set(words)))}
     assert got == {**{i: order[w] for i, w in enumerate(words + words[:300])}, 2000: -1}
+
+
+def test_company_totals_keep_lines_narrow(spark):
+    from harness import duck
+
+    from firmlens.sources.company import PLAIN_COMPANY_SQL, company_table
+
+    found = company_table(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # With count(DISTINCT) every line took all its sums through the shuffle by customer and supplier.
+    assert not [line for line in plan.splitlines() if "Aggregate(" in line and "l_suppkey" in line.split("functions=")[0] and "sum(" in line]
+    want = duck("/root/testdata/sf0.001").execute(f"SELECT * FROM ({PLAIN_COMPANY_SQL}) c ORDER BY company_id").fetchall()
+    assert [tuple(r) for r in found.orderBy("company_id").collect()] == want
