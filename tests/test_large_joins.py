@@ -21,3 +21,8 @@ def test_large_lookup_from_small_files_is_not_broadcast(spark):
     both = grown_join(rows, lookup, "k", "left")
     assert "BroadcastHashJoin" not in plan(both)
     assert both.count() == 5000 and both.where("v <> 3 * k OR v IS NULL").isEmpty()
+
+
+def test_company_table_broadcasts_nations_and_regions_only(spark):
+    text = plan(company_table(spark, "/root/testdata/sf0.001"))
+    assert text.count("BroadcastHashJoin") == 2
