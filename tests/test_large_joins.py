@@ -26,3 +26,36 @@ def test_large_lookup_from_small_files_is_not_broadcast(spark):
 def test_company_table_broadcasts_nations_and_regions_only(spark):
     text = plan(company_table(spark, "/root/testdata/sf0.001"))
     assert text.count("BroadcastHashJoin") == 2
+
+
+def columnwise(x, y, eps):
+    gaps = np.zeros((len(x), len(y)))
+    for j in range(x.shape[1]):
+        gaps += (x[:, j][:, None] - y[:, j][None]) ** 2
+    return gaps <= eps * eps
+
+
+def test_blocks_in_many_dimensions_compared_as_column_by_column():
+    rng = np.random.default_rng(7)
+    for offset in (0.0, 1e6):
+        x = np.round(rng.normal(size=(300, 16)), 1) + offset
+        y = np.concatenate([x[:200], np.round(rng.normal(size=(200, 16)), 1) + offset])
+        # Distances that occur, so that many pairs lie exactly on the limit or one rounding beside it.
+        for pair in range(5):
+            eps = float(np.sqrt(((x[pair] - y[pair + 50]) ** 2).sum()))
+            assert (ds._near(x, y, eps) == columnwise(x, y, eps)).all()
+    huge = np.full((2, 16), 1e200)
+    assert ds._near(huge, huge, 1.0).all()
+
+
+def test_blocks_in_many_dimensions_by_matrix_products():
+    import time
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(2048, 64)), rng.normal(size=(2048, 64))
+    took = []
+    for way in (ds._near, columnwise):
+        start = time.perf_counter()
+        way(x, y, 0.8)
+        took.append(time.perf_counter() - start)
+    assert took[0] < took[1] / 2
