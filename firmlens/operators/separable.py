@@ -30,6 +30,22 @@ def _running(codes: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndar
     return one.cumsum(axis=0)[:-1], total.cumsum(axis=0)[:-1]
 
 
+def _own_sums(codes: np.ndarray, values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Summed distance of each value to its own cluster; ``before`` has counts and sums of the partitions before and of all, per cluster.
+
+    Only the values of a cluster are run through for it, so the work does not grow with the number of clusters.
+    """
+    found = np.empty(len(values))
+    order = codes.argsort(kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        if not len(rows):
+            continue
+        v, (n0, s0, all_n, all_s) = values[rows], before[:, codes[rows[0]]]
+        s = np.concatenate([[0.0], np.cumsum(v)[:-1]])
+        found[rows] = v * (2 * (np.arange(len(v)) + n0) - all_n) + all_s - 2 * (s + s0)
+    return found
+
+
 def _numbers(long: DataFrame, widths: list[int], own: bool, partitions: int, kind: str) -> DataFrame:
     """(id, sums) per value: its summed distance to the clusters of each labelling, or to its own cluster."""
     starts = np.concatenate([[0], np.cumsum(widths)]).astype(int)
@@ -64,11 +80,13 @@ def _numbers(long: DataFrame, widths: list[int], own: bool, partitions: int, kin
             base[:, there["c"]] = there[["n", "s", "all_n", "all_s"]].to_numpy(float).T
             parts = []
             for i, width in enumerate(widths):
-                n, s = _running(codes[:, i], v, width)
                 span = slice(starts[i], starts[i + 1])
+                if own:
+                    parts.append(_own_sums(codes[:, i], v, base[:, span])[:, None])
+                    continue
+                n, s = _running(codes[:, i], v, width)
                 n, s = n + base[0, span], s + base[1, span]
-                found = v[:, None] * (2 * n - base[2, span]) + base[3, span] - 2 * s
-                parts.append(found[np.arange(len(v)), codes[:, i]][:, None] if own else found)
+                parts.append(v[:, None] * (2 * n - base[2, span]) + base[3, span] - 2 * s)
             ids.append(mine["id"])
             out += list(np.maximum(np.concatenate(parts, axis=1), 0.0))
         return pd.DataFrame({"id": pd.concat(ids), "sums": out})
