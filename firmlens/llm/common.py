@@ -135,8 +135,7 @@ class WordStore:
             self.counts = np.concatenate([self.counts, counts])
             self.ids, self.more = np.concatenate([self.ids, ids]), np.concatenate([self.more, more])
             self.first = np.cumsum(self.counts) - self.counts
-        place = self.place
-        return np.fromiter((place[w] for w in words), np.int64, len(words))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def spread(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(where each id of a run of words stands in the store, end of each word in that run)."""

@@ -20,6 +20,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,11 +41,14 @@ END_ID = 2
 SHARD_BYTES = 6 << 20
 BLOCK_WORDS = 8
 # Words whose ids a task keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 _MAGIC = b"WVM1"
 _PARTING = "0"
-# A run of ASCII marks (an apostrophe aside) between an ASCII letter and a blank.
-_LETTERS_AND_MARKS = r"([a-z])([!-&(-/:-@\[-`{-~]+) "
+# Small letters that no normaliser step changes, whatever stands beside them.
+_LETTERS = "a-zß-öø-ÿ"
+_WORD = re.compile(f"[{_LETTERS}]+")
+# A run of ASCII marks (an apostrophe aside) between such a letter and a blank.
+_LETTERS_AND_MARKS = rf"([{_LETTERS}])([!-&(-/:-@\[-`{{-~]+) "
 
 
 class WaveletMatrix:
@@ -64,7 +68,7 @@ class WaveletMatrix:
             planes.append(words)
             ranks.append(_block_ranks(words))
             zeros.append(int(len(bit) - bit.sum()))
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])
         return cls(planes, zeros, ranks, len(ids))
 
     def _ones(self, level: int, i: int) -> int:
@@ -132,8 +136,8 @@ class WaveletMatrix:
         for k, (words, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bit = np.unpackbits(words.view(np.uint8), bitorder="little", count=self.n).view(bool)
             above = np.empty_like(values)
-            above[~bit] = values[:zeros]
-            above[bit] = values[zeros:] | values.dtype.type(1 << k)
+            above[np.flatnonzero(~bit)] = values[:zeros]
+            above[np.flatnonzero(bit)] = values[zeros:] | values.dtype.type(1 << k)
             values = above
         return values
 
@@ -181,7 +185,7 @@ class Encoder:
     """Ids of texts by the ``tokenizers`` library, which sees each distinct word of a task once.
 
     Spaces and line breaks part what the vocabulary's normaliser and pre-tokeniser treat apart, ASCII case is dropped
-    by the normaliser, and a run of ASCII letters is parted from ASCII punctuation behind it (an apostrophe aside).
+    by the normaliser, and a run of Latin letters is parted from ASCII punctuation behind it (an apostrophe aside).
     Texts with combining marks or with what may be a special token go to the library whole.
     """
 
@@ -193,6 +197,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
+        # The model's characters for the bytes of each letter.
+        self.signs = {ord(c): "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in map(chr, range(0xDF, 0x100)) if _WORD.fullmatch(c)}
         self.store = WordStore(self._learn, KEPT_WORDS)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -201,11 +207,11 @@ class Encoder:
     def _short(self, parts: list[str]) -> dict[str, list[int]]:
         """Ids of parts without white space, by the library's cheapest call that gives the same.
 
-        A run of ASCII letters is one pre-token as it stands, so the model itself is asked.  Others go in groups, parted
-        by a digit on its own, which is always one pre-token and one id; parts with that digit go one by one.
+        A run of small Latin letters is one pre-token as it stands, so the model itself is asked.  Others go in groups,
+        parted by a digit on its own, which is always one pre-token and one id; parts with that digit go one by one.
         """
-        tokenize = self.tokenizer.model.tokenize
-        out = {p: [t.id for t in tokenize(p)] for p in parts if p.isascii() and p.isalpha() and p.islower()}
+        tokenize, signs, fits = self.tokenizer.model.tokenize, self.signs, _WORD.fullmatch
+        out = {p: [t.id for t in tokenize(p if p.isascii() else p.translate(signs))] for p in parts if fits(p)}
         rest = [p for p in parts if p not in out]
         grouped = [p for p in rest if p and _PARTING not in p]
         out |= dict(zip(rest := [p for p in rest if not p or _PARTING in p], self._whole(rest), strict=True))
@@ -243,7 +249,7 @@ class Encoder:
         lower = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
         words = pc.split_pattern(pc.replace_substring_regex(lower, _LETTERS_AND_MARKS, r"\1 \2 "), " ")
         coded = words.flatten().dictionary_encode()
-        which = self.store.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        which = self.store.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
         where, ends = self.store.spread(which)
         bounds = np.asarray(words.offsets) - words.offsets[0].as_py()
         return self.store.ids[where], np.diff(np.concatenate([[0], ends])[bounds])
