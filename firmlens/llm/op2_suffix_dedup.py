@@ -250,18 +250,27 @@ def stretches(answered: DataFrame, width: int, n_reports: int, n_sorts: int) ->
     return answered.select("doc_id", "text", "flags").mapInArrow(run, schema)
 
 
-def _words_at(text: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
-    """Eight bytes behind each place as one big-endian number."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | text[at + (shift + k)]
-    return out
+def _word_at_each(text: np.ndarray, room: int) -> np.ndarray:
+    """Eight bytes from each place on as one big-endian number, for ``room`` places behind the end as well, where zeros follow."""
+    words = np.zeros(len(text) + room + 8, np.uint64)
+    words[: len(text)] = text
+    for span in (1, 2, 4):
+        words = (words[:-span] << np.uint64(8 * span)) | words[span:]
+    return words
+
+
+def _tied(edges: np.ndarray) -> np.ndarray:
+    """Places of sorted rows that equal a neighbour, if ``edges`` says which rows differ from the one before."""
+    same = ~edges
+    same[:-1] |= ~edges[1:]
+    return np.flatnonzero(same)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``text`` in the order of their first ``depth`` bytes at least, in two stages.
 
     ``text`` has bytes of 1 and more, and zeros that end its parts, the last place among them.
+    ``words`` are its ``_word_at_each`` with ``depth`` places behind the end, where a caller has them.
     """
     n = len(text)
     if not n:
@@ -270,54 +279,55 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     differs = np.ones(n, bool)
     differs[:-1] = text[:-1] != text[1:]
     next_change = np.flatnonzero(differs)
-    at = next_change[np.searchsorted(next_change, np.arange(n))]
-    rises = np.ones(n, bool)
-    inner = at < n - 1
-    rises[inner] = text[at[inner]] < text[at[inner] + 1]
-    rises |= text == 0
-    padded = np.concatenate([text, np.zeros(depth + 16, text.dtype)]).astype(np.uint64)
+    up = np.ones(len(next_change), bool)
+    up[:-1] = text[next_change[:-1]] < text[next_change[:-1] + 1]
+    rises = np.repeat(up, np.diff(next_change, prepend=-1)) | (text == 0)
+    words = _word_at_each(text, depth) if words is None else words
     # Stage one: sort these directly, eight bytes at a time, ties only.
     small = np.flatnonzero(rises)
-    key = _words_at(padded, small, 0)
+    key = words[small]
     order = np.argsort(key, kind="stable")
     small, key = small[order], key[order]
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(small) else np.zeros(0, np.int64)
+    edges = np.ones(len(small), bool)
+    edges[1:] = key[1:] != key[:-1]
+    tied = _tied(edges)
+    group = np.cumsum(edges)[tied]
     for shift in range(8, depth + 8, 8):
-        size = np.bincount(group)
-        tied = np.flatnonzero(size[group] > 1)
         if not len(tied):
             break
-        key = _words_at(padded, small[tied], shift)
-        order = np.lexsort((key, group[tied]))
-        small[tied] = small[tied][order]
-        key, old = key[order], group[tied]
-        split = np.zeros(len(small), np.int64)
-        split[tied[1:]] = (key[1:] != key[:-1]) & (old[1:] == old[:-1])
-        step = np.zeros(len(small), np.int64)
-        step[1:] = group[1:] != group[:-1]
-        group = np.cumsum(np.maximum(step, split))
+        # A place behind the room that the words have is behind the text as well.
+        members = small[tied]
+        key = words[np.minimum(members + shift, len(words) - 1)]
+        order = np.lexsort((key, group))
+        small[tied], key = members[order], key[order]
+        edges = np.ones(len(tied), bool)
+        edges[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        still = _tied(edges)
+        tied, group = tied[still], np.cumsum(edges)[still]
     # Stage two: scan the buckets of first bytes from the least; each suffix leads its predecessor, if that is larger,
     # to the next free place of its bucket.
     first = text[small]
     bounds = np.searchsorted(first, np.arange(257))
+    # First bytes of the larger suffixes, 0 for all others; the last place is one of those, so it may stand before the first.
+    larger_first = np.where(rises, 0, text).astype(text.dtype)
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for byte in range(256):
-        larger = np.concatenate(waiting[byte]) if waiting[byte] else np.zeros(0, np.int64)
-        batch = larger
-        runs = [larger]
+        batch = np.concatenate(waiting[byte]) if waiting[byte] else np.zeros(0, np.int64)
+        waiting[byte] = []
+        runs = [batch]
         while len(batch):
             # Inside a run of one byte a suffix leads one of the same bucket.
-            batch = batch[batch > 0] - 1
-            batch = batch[(text[batch] == byte) & ~rises[batch]]
+            batch = batch - 1
+            batch = np.compress(larger_first[batch] == byte, batch)
             runs.append(batch)
         bucket = np.concatenate([*runs, small[bounds[byte] : bounds[byte + 1]]])
         out.append(bucket)
-        led = bucket[bucket > 0] - 1
-        led = led[~rises[led]]
-        led = led[text[led] > byte]
+        led = bucket - 1
+        to = larger_first[led]
+        ahead = to > byte
+        led, to = np.compress(ahead, led), np.compress(ahead, to)
         if len(led):
-            to = text[led]
             order = np.argsort(to, kind="stable")
             led, to = led[order], to[order]
             for target, a, b in _split_rows(to):
@@ -331,15 +341,16 @@ def covered_windows(parts: list[bytes], owners: np.ndarray, width: int) -> tuple
     # Zeros stand between the parts; UTF-8 text has no byte of 255, so one more fits.
     text = np.frombuffer(b"\0".join(p.translate(_UP) for p in parts) + b"\0", np.uint8)
     ends = np.cumsum(lengths + 1)
-    order = suffix_order(text, width)
+    words = _word_at_each(text, width)
+    order = suffix_order(text, width, words)
     part = np.repeat(np.arange(len(parts)), lengths + 1)
-    order = order[ends[part[order]] - 1 - order >= width]
-    padded = np.concatenate([text, np.zeros(16, np.uint8)]).astype(np.uint64)
+    whole = np.repeat(ends, lengths + 1) - np.arange(len(text)) > width
+    order = np.compress(whole[order], order)
     same = np.ones(max(0, len(order) - 1), bool)
     left, right = order[:-1], order[1:]
     for shift in [*range(0, width - 7, 8), width - 8]:
         alive = np.flatnonzero(same)
-        same[alive] = _words_at(padded, left[alive], shift) == _words_at(padded, right[alive], shift)
+        same[alive] = words[left[alive] + shift] == words[right[alive] + shift]
     starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
     who = owners[part[order]]
     least = np.repeat(np.minimum.reduceat(who, starts), np.diff(np.append(starts, len(order)))) if len(order) else who
